@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ribbonmill.llm import truncation
+from ribbonmill.llm import sentences, truncation
 from ribbonmill.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +20,14 @@ def p1_by_source(spark: SparkSession, d: str) -> DataFrame:
     return truncation.by_source(table(spark, d, "answers_llama3_natural"))
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return sentences.found(table(spark, d, "chunk"), table(spark, d, "answers_llama3_natural"), table(spark, d, "sentence_scope"))
+
+
+def p2_units(spark: SparkSession, d: str) -> DataFrame:
+    return sentences.all_units(table(spark, d, "chunk"), table(spark, d, "answers_llama3_natural"))
+
+
 def queries() -> dict[str, Query]:
     return {k: f for k, f in globals().items() if k[0] == "p" and k[1:2].isdigit() and callable(f)}
 
