@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ribbonmill.llm import sentences, truncation
+from ribbonmill.llm import sentences, splitting, truncation
 from ribbonmill.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,6 +28,14 @@ def p2_units(spark: SparkSession, d: str) -> DataFrame:
     return sentences.all_units(table(spark, d, "chunk"), table(spark, d, "answers_llama3_natural"))
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return splitting.found(table(spark, d, "chunk"), table(spark, d, "split_limit"))
+
+
+def p4_pieces(spark: SparkSession, d: str) -> DataFrame:
+    return splitting.split_items(table(spark, d, "chunk"), table(spark, d, "split_limit")).dropDuplicates(["chunk_id", "piece_no"])
+
+
 def queries() -> dict[str, Query]:
     return {k: f for k, f in globals().items() if k[0] == "p" and k[1:2].isdigit() and callable(f)}
 
