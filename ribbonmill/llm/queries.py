@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ribbonmill.llm import sentences, splitting, truncation
+from ribbonmill.llm import quality, sentences, splitting, truncation
 from ribbonmill.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -36,6 +36,14 @@ def p4_pieces(spark: SparkSession, d: str) -> DataFrame:
     return splitting.split_items(table(spark, d, "chunk"), table(spark, d, "split_limit")).dropDuplicates(["chunk_id", "piece_no"])
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return quality.found(table(spark, d, "chunk"), table(spark, d, "common_word"))
+
+
+def p5_statistics(spark: SparkSession, d: str) -> DataFrame:
+    return quality.document_statistics(table(spark, d, "chunk"), table(spark, d, "common_word"))
+
+
 def queries() -> dict[str, Query]:
     return {k: f for k, f in globals().items() if k[0] == "p" and k[1:2].isdigit() and callable(f)}
 
