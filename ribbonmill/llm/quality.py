@@ -39,6 +39,8 @@ _CELLS = re.compile(r"\|.*\|.*\|$|[^\t]{0,45}(?:\t[^\t]{0,30}){2,}$|\S+(?: \S+){
 _BULLET = re.compile(r"(?:[-–—*•◦▪·+☐☑□■→‣✓]|\(?[0-9]{1,3}[.)]|\(?[a-zA-Z][.)])\s+(?=\S)")
 _END = re.compile(r"[.!?。！？।…][\"'”’»)\]」』]*(?:\s*\[[^\]]*\])?$")
 _PUNCTUATED = re.compile(r"[.!?。！？।…,;:][\"'”’»)\]」』]*$")
+_WORDLIKE = re.compile(r"[^\W_]+")
+_DIGITS = re.compile(r"\d+")
 _ALNUM = re.compile(r"[^\W_]{2}")
 _MIXED = re.compile(r"(?:[0-9]+[a-z]|[a-z]+[0-9])[0-9a-z]*$", re.I)
 
@@ -80,6 +82,8 @@ def _line_kind(line: str, before: str, common: frozenset[str]) -> str:
     c = body[0]
     if n >= 10 or (n >= 5 and known and (c.isupper() or c in "\"“'(¿¡«„" or c.isdigit()) and line[-1] not in ";,:") or (n >= 4 and _VERB.search(line) and not c.islower()):
         return "s" if known or n < 14 or _VERB.search(line) else "n"
+    if n >= 6 and _VERB.search(line) and known > 1:
+        return "s"
     return "i"
 
 
@@ -98,13 +102,14 @@ def text_statistics(text: str | None, common: frozenset[str]) -> tuple[float, ..
     total = sum(map(len, lines))
     words = _WORD.findall(text)
     n = max(1, len(words))
-    known = sum(w.lower() in common for w in words) / n
+    known = sum(w in common for w in map(str.lower, words)) / n
     chars = "".join(text.split())
-    letters = sum(map(str.isalpha, chars))
-    marks = len(_OTHER.findall(chars)) if not chars.isascii() else 0
-    symbols = len(chars) - sum(map(str.isalnum, chars)) - (sum("฀" <= c <= "๿" or "ऀ" <= c <= "ॿ" for c in chars if not c.isalnum()) if marks else 0)
-    mixed = sum(1 for w in words if _MIXED.match(w)) / n
     c = len(chars)
+    marks = len(_OTHER.findall(chars)) if not chars.isascii() else 0
+    rest = _WORDLIKE.sub("", chars)
+    symbols = len(rest) - (len(_OTHER.findall(rest)) if marks else 0)
+    letters = c - len(rest) - sum(map(len, _DIGITS.findall(chars)))
+    mixed = sum(1 for w in words if not w.isalpha() and _MIXED.match(w)) / n
     return (len(words), sum(map(len, words)) / n, symbols / c, punctuated / len(lines), known, share["c"] / total, share["i"] / total, (share["r"] + share["n"]) / total, letters / c, marks / c, known, mixed)
 
 
