@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ribbonmill.llm import markup, quality, sentences, splitting, truncation
+from ribbonmill.llm import markup, quality, scans, sentences, splitting, truncation
 from ribbonmill.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -52,6 +52,14 @@ def p7_clean(spark: SparkSession, d: str) -> DataFrame:
     return markup.clean_table(table(spark, d, "chunk"))
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return scans.found(table(spark, d, "chunk"))
+
+
+def p3_repaired(spark: SparkSession, d: str) -> DataFrame:
+    return scans.repaired(table(spark, d, "chunk"))
+
+
 def queries() -> dict[str, Query]:
     return {k: f for k, f in globals().items() if k[0] == "p" and k[1:2].isdigit() and callable(f)}
 
