@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ribbonmill.llm import markup, quality, scans, sentences, splitting, truncation
+from ribbonmill.llm import encoding, markup, mixing, quality, repetition, scans, sentences, splitting, truncation
 from ribbonmill.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -60,6 +60,30 @@ def p3_repaired(spark: SparkSession, d: str) -> DataFrame:
     return scans.repaired(table(spark, d, "chunk"))
 
 
+def p8_ids(spark: SparkSession, d: str) -> DataFrame:
+    return encoding.encode_corpus(table(spark, d, "documents"))
+
+
+def p9_mix(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_target"))[0]
+
+
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_target"))[1]
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return repetition.found(table(spark, d, "documents"))
+
+
+def p10_shares(spark: SparkSession, d: str) -> DataFrame:
+    return repetition.shares(table(spark, d, "documents"))
+
+
+def p10_perplexity(spark: SparkSession, d: str) -> DataFrame:
+    return repetition.perplexities(table(spark, d, "documents"))
+
+
 def queries() -> dict[str, Query]:
     return {k: f for k, f in globals().items() if k[0] == "p" and k[1:2].isdigit() and callable(f)}
 
