@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ribbonmill.llm import encoding, markup, mixing, quality, repetition, scans, sentences, splitting, truncation
+from ribbonmill.llm import encoding, markup, mixing, pairs, quality, repetition, scans, sentences, splitting, truncation
 from ribbonmill.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -84,6 +84,10 @@ def p10_perplexity(spark: SparkSession, d: str) -> DataFrame:
     return repetition.perplexities(table(spark, d, "documents"))
 
 
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return pairs.found(table(spark, d, "answers_llama3_natural"), table(spark, d, "common_word"))
+
+
 def queries() -> dict[str, Query]:
     return {k: f for k, f in globals().items() if k[0] == "p" and k[1:2].isdigit() and callable(f)}
 
