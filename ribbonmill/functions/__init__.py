@@ -1 +1,53 @@
-"""functions of the engine."""
+"""Column functions, all built of JVM-side expressions unless a docstring says otherwise."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+
+def tokens(c: Column) -> Column:
+    """Lower-case tokens between white space; null and blank texts have none."""
+    return F.filter(F.split(F.lower(F.coalesce(c, F.lit(""))), r"\s+"), lambda x: x != "")
+
+
+def token_count(c: Column) -> Column:
+    """Number of tokens."""
+    return F.size(tokens(c))
+
+
+def dot(a: Column, b: Column) -> Column:
+    """Inner product of two arrays in double precision."""
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
+
+
+def norm(v: Column) -> Column:
+    """Euclidean norm."""
+    return F.sqrt(dot(v, v))
+
+
+def bound(c: Column, f) -> Column:
+    """f(c) with c computed once, however often f uses it."""
+    return F.transform(F.array(c), f)[0]
+
+
+def l2_normalise(v: Column) -> Column:
+    """The vector at length 1; a zero vector stays."""
+    return bound(F.struct(v.alias("v"), norm(v).alias("n")), lambda s: F.transform(s["v"], lambda x: F.when(s["n"] > 0, x.cast("double") / s["n"]).otherwise(F.lit(0.0))))
+
+
+def hash_vector(c: Column) -> Column:
+    """A stand-in for an encoder: token counts over the 16 first hexadecimal digits of the tokens' md5, at length 1."""
+    digits = F.array_join(F.transform(tokens(c), lambda x: F.substring(F.md5(x), 1, 1)), "")
+    counts = bound(digits, lambda d: F.transform(F.split(F.lit("0 1 2 3 4 5 6 7 8 9 a b c d e f"), " "), lambda h: (F.length(d) - F.length(F.replace(d, h, F.lit("")))).cast("double")))
+    return bound(counts, l2_normalise)
+
+
+def present(c: Column) -> Column:
+    """The string, or null if it is empty."""
+    return F.nullif(c, F.lit(""))
+
+
+def round6(c: Column) -> Column:
+    """Scores are compared and ranked at six decimals, so that the order of summation doesn't matter."""
+    return F.round(c, 6)
