@@ -40,6 +40,8 @@ SYMBOLS = {"¼": "=", "þ": "+"}
 SYMBOL = re.compile(r"(?<=\s)¼(?=\s*[\d.<])|(?<=\d)þ")
 HYPHENS = "-‐‑¬\xad"
 WORD = re.compile(r"[^\W_]+(?:[-‐‑][^\W_]+)*")
+LETTERED = re.compile(r"\d*[^\W\d_][^\W_]*(?:[-‐‑][^\W_]+)*")
+HAS_BREAK = re.compile(rf"[{HYPHENS}][ \t]*\n")
 BREAK_HYPHEN = re.compile(rf"(?P<left>[^\W_]+(?:[-‐‑][^\W_]+)*)(?P<mark>[{HYPHENS}])[ \t]*$")
 FIRST = re.compile(r"[^\W\d_]+")
 SKIPPED = re.compile(rf"[^\W_]*[{HYPHENS}][ \t]*\n\s*[^\W_]*")
@@ -125,11 +127,11 @@ def word_counts(df: DataFrame, text: str = "chunk_text") -> DataFrame:
             for t in b["t"]:
                 if "<" in t or "&" in t:
                     t = TAG.sub(" ", t)
-                if "\n" in t:
+                if "\n" in t and HAS_BREAK.search(t):
                     for m in SKIPPED.findall(t.lower()):
                         c["".join(WORD.findall(m))] += 0  # to be judged, though it proves nothing
                     t = SKIPPED.sub(" ", t)
-                c.update(WORD.findall(t.lower()))
+                c.update(LETTERED.findall(t.lower()))
             if len(c) > 300_000:  # a task's table stays small
                 yield pd.DataFrame({"w": list(c), "n": list(c.values())})
                 c = Counter()
@@ -351,8 +353,8 @@ class Reader:
 
     def readable(self, words: list[str]) -> bool:
         """Whether most words are in the dictionary; junk isn't read."""
-        w = [x for x in words if not x.isdigit()]
-        return sum(x in self.known for x in w) >= max(4, 0.5 * len(w))
+        known = sum(x in self.known or "-" in x and all(p in self.known or p.isdigit() for p in x.split("-")) for x in words)
+        return known >= max(4, 0.5 * len(words))
 
     def furniture(self, lines: list[str], title: str | None, journal: str | None) -> dict[int, set[str]]:
         """Index of each furniture line: its kinds."""
@@ -362,21 +364,22 @@ class Reader:
             return out
         for k, i in enumerate(full):
             v = lines[i].strip()
-            if len(v) > 130:
+            last = v[-1]
+            if len(v) > 130 or v[0] == "|" and last == "|":
                 continue
-            if PAGE.fullmatch(v):
+            if len(v) < 24 and PAGE.fullmatch(v):
                 before = lines[full[k - 1]].strip() if k else ""
                 after = lines[full[k + 1]].strip() if k + 1 < len(full) else ""
                 if not any(re.fullmatch(r"[\d\s.%()-]+", z) and not PAGE.fullmatch(z) for z in (before, after)):
                     out[i] = {"page_number"}
                 continue
-            if ENDS.search(v) and not VOLUME.search(v):
+            volume = last == ")" and VOLUME.search(v)
+            if not volume and ENDS.search(v[-3:]):
                 continue
-            form = " | " in v or "·" in v or "  " in v or VOLUME.search(v) or AUTHORS.match(v) or v.isupper()
-            if len(re.findall(r"\S\s{3,}(?=\S)", v)) > 1:
+            form = volume or " | " in v or "·" in v or "  " in v or v.isupper() or AUTHORS.match(v)
+            if not form or "\t" in v or len(re.findall(r"\S\s{3,}(?=\S)", v)) > 1:
                 continue
-            letters = sum(map(str.isalpha, v))
-            if not form or v.startswith("|") and v.endswith("|") or "\t" in v or letters < (0.5 if VOLUME.search(v) else 0.72) * len("".join(v.split())):
+            if sum(map(str.isalpha, v)) < (0.5 if volume else 0.72) * len("".join(v.split())):
                 continue
             before = lines[full[k - 1]].strip() if k else ""
             after = lines[full[k + 1]].strip() if k + 1 < len(full) else ""
@@ -389,7 +392,8 @@ class Reader:
         out = []
         body = [i for i, v in enumerate(lines) if v.strip() and i not in furniture]
         for i, j in zip(body, body[1:]):
-            m = BREAK_HYPHEN.search(lines[i])
+            end = lines[i].rstrip(" \t")
+            m = BREAK_HYPHEN.search(end, max(0, len(end) - 60)) if end[-1:] in HYPHENS else None
             if not m or not m["left"][-1].isalpha():
                 continue
             f = FIRST.match(lines[j].lstrip())
@@ -413,13 +417,16 @@ class Reader:
                 body = join_lines(lines, fur, hy)
         if "<" in body or "&" in body:
             body = TAG.sub(" ", body)
-        words = WORD.findall(body.lower())
-        flat = [p for w in words for p in (w.split("-") if "-" in w and w not in self.known else (w,))]
-        if not self.readable(flat):
+        found = LETTERED.findall(body.lower())
+        new = {w for w in set(found) - self.known if max(w) < "ɐ"}
+        parts = {p for w in new for p in (w.split("-") if "-" in w else (w,))} - self.known
+        unknown = {w for w in parts if len(w) > 1 and not w.isdigit()}
+        symbol = ("¼" in text or "þ" in text) and SYMBOL.search(text)
+        if (kinds or unknown or symbol) and not self.readable(found):
             return set(), set()
-        if SYMBOL.search(text):
+        if symbol:
             kinds.add("misread")
-        return kinds, {w for w in flat if w not in self.known and not w.isdigit() and len(w) > 1 and max(w) < "ɐ"}
+        return kinds, unknown
 
 
 def join_lines(lines: list[str], furniture: dict[int, set[str]], hyphens: list[tuple[int, int, str, str]], paragraphs: bool = False) -> str:
