@@ -79,7 +79,7 @@ def pack(pieces: Column, most: int, joiner: str) -> Column:
 
 def subsplit(body: Column, most: int = 512) -> Column:
     """A body within the limit whole; else packed paragraphs, what is still too large packed lines, then packed sentences."""
-    filled = lambda xs: F.filter(F.transform(xs, F.trim), lambda x: x != "")
+    filled = lambda xs: F.filter(F.transform(xs, lambda x: F.trim(x)), lambda x: x != "")
 
     def again(groups: Column, pattern: str, joiner: str) -> Column:
         return F.flatten(F.transform(groups, lambda g: F.when(token_count(g) <= most, F.array(g)).otherwise(pack(filled(F.split(g, pattern)), most, joiner))))

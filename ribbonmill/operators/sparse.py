@@ -68,14 +68,15 @@ def search(queries: DataFrame, df: DataFrame, k: int = 50, query: str = "query_i
 
         def run(batches: Iterator[pd.DataFrame], arrays=arrays, names=names) -> Iterator[pd.DataFrame]:
             for b in batches:
-                scores = np.zeros((len(names), len(b)))
+                scores, shared = np.zeros((len(names), len(b))), np.zeros((len(names), len(b)), bool)
                 for j, t in enumerate(b["t"]):
                     norm = p.k1 * (1 - p.b + p.b * len(t) / avg)
                     for term, tf in Counter(t).items():
                         at = arrays.get(term)
                         if at is not None:
+                            shared[at[0], j] = True
                             scores[at[0], j] += at[1] * (tf * (p.k1 + 1) / (tf + norm))
-                out = topk.candidates(b["id"].to_numpy(), np.where(scores == 0, -np.inf, scores), names, k, -np.inf)
+                out = topk.candidates(b["id"].to_numpy(), np.where(shared, scores, -np.inf), names, k, -np.inf)
                 yield out
 
         parts.append(src.mapInPandas(run, f"query {kinds['q']}, id {kinds['id']}, score double"))

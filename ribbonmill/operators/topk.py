@@ -32,6 +32,7 @@ def blocks(queries: DataFrame, key: str, size: int = BLOCK) -> Iterator[list]:
 def candidates(ids: np.ndarray, scores: np.ndarray, names: list, k: int, least: float | None = None) -> pd.DataFrame:
     """query, id, score of the rows of a batch (scores: queries by rows) that may be in a query's k best."""
     s = np.round(scores, 6) + 0.0
+    ids = np.asarray(ids, dtype=object)
     if s.shape[1] > k:
         kth = np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k][:, None]
         hit = s >= kth
@@ -40,7 +41,7 @@ def candidates(ids: np.ndarray, scores: np.ndarray, names: list, k: int, least:
     if least is not None:
         hit &= s > least
     q, r = np.nonzero(hit)
-    return pd.DataFrame({"query": [names[i] for i in q], "id": ids[r], "score": s[q, r]})
+    return pd.DataFrame({"query": pd.Series([names[i] for i in q], dtype=object), "id": pd.Series(ids[r], dtype=object), "score": s[q, r]})
 
 
 def ranked(df: DataFrame, query: str, key: str, k: int, score: str = "score") -> DataFrame:
