@@ -119,6 +119,8 @@ def encode_corpus(df: DataFrame, key: str = "doc_id", text: str = "text", folder
     def short(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         t = tokenizer(folder, name)
         for b in batches:
+            if not len(b):
+                continue
             texts = [x or "" for x in b["t"]]
             yield pd.DataFrame({"k": b["k"], "ids": [e.ids for e in t.encode_batch_fast(texts, add_special_tokens=False)]})
 
@@ -128,7 +130,8 @@ def encode_corpus(df: DataFrame, key: str = "doc_id", text: str = "text", folder
             for r, k, x in zip(b["r"], b["k"], b["t"]):
                 cuts = leaf_cuts(x, leaf_chars)
                 rows += [(r, k, i, x[a:c]) for i, (a, c) in enumerate(zip([0, *cuts], cuts))]
-            yield pd.DataFrame(rows, columns=["r", "k", "i", "leaf"])
+            if rows:
+                yield pd.DataFrame(rows, columns=["r", "k", "i", "leaf"])
 
     def leaves(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         t = tokenizer(folder, name)

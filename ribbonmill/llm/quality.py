@@ -120,6 +120,8 @@ def statistics(df: DataFrame, common: list[str], key: str = "chunk_id", text: st
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
+            if not len(b):
+                continue
             out = pd.DataFrame([text_statistics(t, words) for t in b["t"]], columns=names)
             out.insert(0, "k", b["k"].to_numpy())
             yield out

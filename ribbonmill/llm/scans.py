@@ -135,7 +135,8 @@ def word_counts(df: DataFrame, text: str = "chunk_text") -> DataFrame:
             if len(c) > 300_000:  # a task's table stays small
                 yield pd.DataFrame({"w": list(c), "n": list(c.values())})
                 c = Counter()
-        yield pd.DataFrame({"w": list(c), "n": list(c.values())}, columns=["w", "n"])
+        if c:
+            yield pd.DataFrame({"w": list(c), "n": list(c.values())})
 
     raw = df.select(F.col(text).alias("t")).where("t is not null").mapInPandas(run, "w string, n long")
     raw = raw.where(~F.col("w").rlike("^[0-9-]+$") & (F.length("w") <= 60))
@@ -200,7 +201,8 @@ def corrections(vocabulary: DataFrame, least: int, model: Boosted, ratio: float
     def keyed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = [(w, n, g) for w, n in zip(b["w"], b["n"]) for g in grams(w)]
-            yield pd.DataFrame(rows, columns=["w", "n", "g"])
+            if rows:
+                yield pd.DataFrame(rows, columns=["w", "n", "g"])
 
     read = usable.mapInPandas(keyed, "w string, n long, g string")
     printed = usable.where((F.col("n") >= least) & F.col("w").rlike(r"^[a-zà-öø-ýœ]{2,}$")).mapInPandas(keyed, "w string, n long, g string").select(F.col("w").alias("printed"), F.col("n").alias("n_printed"), "g")
@@ -503,7 +505,8 @@ def observed(chunk: DataFrame, reader: Reader) -> DataFrame:
             for k, t, title, j in zip(b["k"], b["t"], b["title"], b["journal"]):
                 kinds, words = reader.noise(t, title, j)
                 rows += [(k, x, None) for x in kinds] + [(k, None, w) for w in words]
-            yield pd.DataFrame(rows, columns=["k", "kind", "w"])
+            if rows:
+                yield pd.DataFrame(rows, columns=["k", "kind", "w"])
 
     src = chunk.where("chunk_text is not null").select(F.col("chunk_id").alias("k"), F.col("chunk_text").alias("t"), "title", "journal")
     return src.mapInPandas(run, f"k {src.schema['k'].dataType.simpleString()}, kind string, w string").withColumnRenamed("k", "chunk_id")

@@ -82,6 +82,8 @@ def cuts(text: str, max_tokens: int, overlap: int) -> tuple[list[tuple[int, int]
     lo = 0
     for j in range(1, len(full)):
         p, cost = full[j]
+        if p < overlap:  # the next piece begins with that many tokens of this one
+            continue
         while lo < j and p - full[lo][0] > (max_tokens if lo == 0 else room):
             lo += 1
         i = j - 1
@@ -132,7 +134,8 @@ def split_items(df: DataFrame, limits: DataFrame, key: str = "chunk_id", text: s
             for k, t, s, m, o in zip(b["k"], b["t"], b["s"], b["max_tokens"], b["overlap_tokens"]):
                 if count_tokens(t) > m:
                     rows += [(k, i, s, n, a, p) for i, (p, n, a) in enumerate(split_text(t, int(m), int(o)))]
-            yield pd.DataFrame(rows, columns=["k", "piece_no", "s", "token_count", "start_pos", "piece"])
+            if rows:
+                yield pd.DataFrame(rows, columns=["k", "piece_no", "s", "token_count", "start_pos", "piece"])
 
     kinds = {c: src.schema[c].dataType.simpleString() for c in ("k", "s")}
     out = src.mapInPandas(run, f"k {kinds['k']}, piece_no int, s {kinds['s']}, token_count int, start_pos int, piece string")
