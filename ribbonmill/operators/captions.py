@@ -94,7 +94,8 @@ def caption_documents(documents: DataFrame, log: DataFrame, folder: str = "figur
                 if lost:
                     out = f"{out}\n\n{heading}\n\n" + "\n\n".join(render(i, folder) for i in lost)
                 rows.append((d, out, made, len(lost)))
-            yield pd.DataFrame(rows, columns=["doc_id", "text", "replaced", "orphans"])
+            if rows:
+                yield pd.DataFrame(rows, columns=["doc_id", "text", "replaced", "orphans"])
 
     src = documents.select("doc_id", "text").join(items, "doc_id", "left")
     return src.mapInPandas(run, "doc_id string, text string, replaced int, orphans int")

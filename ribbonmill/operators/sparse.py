@@ -77,7 +77,8 @@ def search(queries: DataFrame, df: DataFrame, k: int = 50, query: str = "query_i
                             shared[at[0], j] = True
                             scores[at[0], j] += at[1] * (tf * (p.k1 + 1) / (tf + norm))
                 out = topk.candidates(b["id"].to_numpy(), np.where(shared, scores, -np.inf), names, k, -np.inf)
-                yield out
+                if len(out):
+                    yield out
 
         parts.append(src.mapInPandas(run, f"query {kinds['q']}, id {kinds['id']}, score double"))
     if not parts:

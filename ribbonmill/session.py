@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -41,3 +43,17 @@ def cut(df: DataFrame) -> DataFrame:
     """Compute df once and cut its lineage, in the shared folder, so that it survives a lost executor."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def ship(spark: SparkSession) -> None:
+    """Makes this package importable on all executors, wherever the driver has it from; once a session's context."""
+    sc = spark.sparkContext
+    if getattr(sc, "_ribbonmill_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    target = os.path.join(tempfile.mkdtemp(prefix="ribbonmill_"), "ribbonmill.zip")  # the driver serves it
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
+        for p in sorted(root.rglob("*.py")):
+            z.write(p, p.relative_to(root.parent))
+    sc.addPyFile(target)
+    sc._ribbonmill_shipped = True

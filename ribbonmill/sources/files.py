@@ -31,7 +31,8 @@ def parse_documents(raw: DataFrame, parse: Callable[[bytes], str]) -> DataFrame:
                     rows.append((p, s, parse(c), "ok"))
                 except Exception as e:
                     rows.append((p, s, None, f"failed: {type(e).__name__}"))
-            yield pd.DataFrame(rows, columns=["path", "stem", "text", "status"])
+            if rows:
+                yield pd.DataFrame(rows, columns=["path", "stem", "text", "status"])
 
     return raw.mapInPandas(run, "path string, stem string, text string, status string")
 
