@@ -12,6 +12,7 @@ from ribbonmill.functions import hash_vector, token_count, tokens
 from ribbonmill.operators import chunking, cleaning, dense, fusion, grounding, incremental, metadata, metrics, quality, sparse
 from ribbonmill.operators.retrieve import Index, Params, pools, retrieve
 from ribbonmill.plans import sweep
+from ribbonmill.session import spread
 from ribbonmill.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -39,7 +40,8 @@ def oracle_sql() -> dict[str, str]:
 
 def passages(spark: SparkSession, d: str, *cols: str) -> DataFrame:
     """Passages, each once: rows delivered twice are equal but for loaded_at."""
-    return table(spark, d, "chunk").select(*(cols or ("chunk_id", "doc_id", "chunk_text"))).dropDuplicates(["chunk_id"])
+    c = table(spark, d, "chunk").select(*(cols or ("chunk_id", "doc_id", "chunk_text"))).dropDuplicates(["chunk_id"])
+    return spread(c) if not cols else c
 
 
 def gold(spark: SparkSession, d: str) -> DataFrame:

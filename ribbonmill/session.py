@@ -57,3 +57,10 @@ def ship(spark: SparkSession) -> None:
             z.write(p, p.relative_to(root.parent))
     sc.addPyFile(target)
     sc._ribbonmill_shipped = True
+
+
+def spread(df: DataFrame, per_core: int = 4 << 20) -> DataFrame:
+    """df over all cores if it is small; larger inputs come in enough parts by themselves and aren't moved."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if 0 < size < per_core * cores else df
