@@ -8,6 +8,7 @@ import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(cores: str | int = 8, app: str = "ribbonmill", **conf: str) -> SparkSession:
@@ -64,3 +65,9 @@ def spread(df: DataFrame, per_core: int = 4 << 20) -> DataFrame:
     cores = df.sparkSession.sparkContext.defaultParallelism
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return df.repartition(cores) if 0 < size < per_core * cores else df
+
+
+def hash_sample(df: DataFrame, total: int, key: str, n: int) -> DataFrame:
+    """At most n rows of df, the first by a hash of key. A threshold on the hash comes first, so that no more than about 4 n rows leave the tasks, however many there are. total: rows of the table behind df."""
+    h = F.pmod(F.xxhash64(key), F.lit(1 << 31))
+    return df.where(h < min(1 << 31, int(4 * n / max(total, 1) * (1 << 31)) + 1)).orderBy(h, key).limit(n)
