@@ -21,6 +21,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ribbonmill.session import hash_sample
+
 #: Bound of the sample of texts from which labelled documents are made.
 SAMPLE = 1500
 KINDS = ("junk", "table", "list", "prose")
@@ -296,7 +298,7 @@ def learn(texts: Iterable[str], common: list[str]) -> str:
 def classify(df: DataFrame, common_word: DataFrame, key: str = "chunk_id", text: str = "chunk_text") -> DataFrame:
     """key, STATISTICS and text_kind of every row. Null and blank texts are junk: they hold no statement."""
     common = common_words(common_word)
-    sample = df.select(F.col(text).alias("t")).where("length(t) > 120").orderBy(F.xxhash64(F.col(key)), "t").limit(SAMPLE).collect()
+    sample = hash_sample(df.select(F.col(key).alias("k"), F.col(text).alias("t")).where("length(t) > 120"), df.count(), "k", SAMPLE).select("t").collect()
     case = learn([r[0] for r in sample], common)
     kind = F.when(F.col("words") + F.col("symbol_ratio") == 0, F.lit("junk")).otherwise(F.expr(case))
     return statistics(df, common, key, text).withColumn("text_kind", kind).drop(*FEATURES)

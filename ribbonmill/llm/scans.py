@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ribbonmill.llm.boosting import Boosted
-from ribbonmill.session import cut
+from ribbonmill.session import cut, hash_sample
 
 #: Bound of the dictionary, which is broadcast, and of the samples that train the classifiers.
 DICTIONARY = 200_000
@@ -492,7 +492,8 @@ def prepare(chunk: DataFrame) -> tuple[Reader, DataFrame]:
     frequent = vocabulary.where(F.col("n") >= least).select("w")
     for r in fixes.join(frequent, "w", "left_semi").collect():  # within the dictionary's bound
         words.pop(r["w"], None)
-    sample = [tuple(r) for r in chunk.where("length(chunk_text) > 200 AND content_type = 'prose'").select("chunk_text", F.coalesce("title", F.lit("")), F.coalesce("journal", "guideline_version", F.lit(""))).orderBy(F.xxhash64("chunk_id"), "chunk_text").limit(SAMPLE).collect()]
+    rows = chunk.where("length(chunk_text) > 200 AND content_type = 'prose'").select("chunk_id", "chunk_text", F.coalesce("title", F.lit("")).alias("t"), F.coalesce("journal", "guideline_version", F.lit("")).alias("j"))
+    sample = [tuple(r) for r in hash_sample(rows, chunk.count(), "chunk_id", SAMPLE).select("chunk_text", "t", "j").collect()]
     return Reader(frozenset(words), train_joins(words), train_lines(sorted(sample))), fixes
 
 
