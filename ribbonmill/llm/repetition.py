@@ -7,9 +7,9 @@ in a line or sentence of at least ``SHORT`` words that did. Single words and ord
 shorter than that. The share is that of repeated tokens.
 
 Perplexity. A modified Kneser-Ney trigram model is counted in Spark, over hashes of the n-grams, and kept
-as sorted hash arrays of at most ``ENTRIES`` entries each, the most frequent ones, so that its size is
-bounded; documents are scored by binary search, and those outside their language's band of perplexity
-are rejected. A corpus model doesn't see what a document itself repeats: see README for how far the bands
+as tables by hash that hold every entry and are joined, nowhere collected or broadcast as a whole: each
+distinct trigram gets its log probability once, which the documents' trigrams are then joined with. Documents
+outside their language's band of perplexity are rejected. A corpus model doesn't see what a document itself repeats: see README for how far the bands
 find repetitive documents, and why the share above decides.
 """
 
@@ -27,8 +27,6 @@ from pyspark.sql import functions as F
 from ribbonmill.session import cut
 
 PHRASE, SHORT = 8, 4
-#: Bound of each hash array of the model.
-ENTRIES = 1_000_000
 #: Scripts without spaces between words.
 UNSPACED = "฀-๿぀-ヿ㐀-鿿"
 _TOKEN = re.compile(rf"[{UNSPACED}]|[^\W_](?:[^\W_{UNSPACED}]|[̀-ͯऀ-ॿ‌‍])*|\n|[.!?。！？।]+(?=\s|$|[{UNSPACED}\"'”’»」])")
@@ -144,28 +142,58 @@ def ngram_counts(documents: DataFrame, text: str = "text") -> DataFrame:
 
 
 class Model:
-    """Sorted hash arrays: discounted probabilities of trigrams and bigrams, back-off weights of their contexts, probabilities of words."""
+    """Tables of all n-grams of a corpus, none dropped: discounted probabilities of trigrams and bigrams (a3, a2: h, v), back-off weights of their contexts (g3, g2), probabilities of words (p1)."""
 
-    def __init__(self, arrays: dict[str, tuple[np.ndarray, np.ndarray]], unknown: float) -> None:
-        self.arrays, self.unknown = arrays, unknown
+    def __init__(self, tables: dict[str, DataFrame], unknown: float, grams: DataFrame) -> None:
+        self.tables, self.unknown, self.grams = tables, unknown, grams
 
-    def get(self, name: str, h: np.ndarray, default: float) -> np.ndarray:
-        k, v = self.arrays[name]
-        if not len(k):
-            return np.full(len(h), default)
-        i = np.minimum(np.searchsorted(k, h), len(k) - 1)
-        return np.where(k[i] == h, v[i], default)
+    def get(self, df: DataFrame, name: str, h: str, default: float) -> DataFrame:
+        """df with column name: the table's value at hash h, or the default."""
+        t = self.tables[name].select(F.col("h").alias(h), F.col("v").alias(name))
+        return df.join(t, h, "left").withColumn(name, F.coalesce(name, F.lit(default)))
+
+    def scores(self, grams: DataFrame) -> DataFrame:
+        """h, v: the log probability of each trigram of grams, which is what ngram_counts gives."""
+        bi = grams.where("o = 2").select("h", "p", F.col("s").alias("w"))
+        bi = self.get(self.get(self.get(bi, "a2", "h", 0.0), "g2", "p", 1.0), "p1", "w", self.unknown)
+        bi = bi.select(F.col("h").alias("s"), (F.col("a2") + F.col("g2") * F.col("p1")).alias("p2"))
+        tri = grams.where("o = 3").select("h", "p", "s")
+        tri = self.get(self.get(tri, "a3", "h", 0.0), "g3", "p", 1.0).join(bi, "s")
+        return tri.select("h", F.log(F.greatest(F.col("a3") + F.col("g3") * F.col("p2"), F.lit(1e-12))).alias("v"))
 
     def perplexity(self, text: str | None) -> float | None:
         """Perplexity of a text; null without tokens."""
-        h = _hashes(text or "")
-        if len(h) < 3:
-            return None
-        bi = _mix(h[:-1], h[1:])
-        p1 = self.get("p1", h[2:], self.unknown)
-        p2 = self.get("a2", bi[1:], 0.0) + self.get("g2", h[1:-1], 1.0) * p1
-        p3 = self.get("a3", _mix(bi[:-1], h[2:]), 0.0) + self.get("g3", bi[:-1], 1.0) * p2
-        return float(np.exp(-np.log(np.maximum(p3, 1e-12)).mean()))
+        one = self.grams.sparkSession.createDataFrame([(text,)], "text string")
+        return _by_text(one.withColumnRenamed("text", "t"), self.scores(ngram_counts(one))).agg(F.max("perplexity")).first()[0]
+
+
+def _text_id() -> list[Column]:
+    """Two hashes of a text that together identify it."""
+    return [F.xxhash64("t").alias("t1"), F.crc32(F.encode("t", "utf-8")).alias("t2")]
+
+
+def _by_text(texts: DataFrame, scores: DataFrame) -> DataFrame:
+    """t1, t2, perplexity of each text in column t that has tokens. A text given more than once weighs all its n-grams more, which leaves their mean."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            keys, grams, counts = [], [], []
+            for i, t in enumerate(b["t"]):
+                h = _hashes(t)
+                if len(h) < 3:
+                    continue
+                g, n = np.unique(_mix(_mix(h[:-2], h[1:-1]), h[2:]), return_counts=True)
+                keys.append(np.full(len(g), i))
+                grams.append(g)
+                counts.append(n)
+            if keys:
+                k = np.concatenate(keys)
+                yield pd.DataFrame({"t1": b["t1"].to_numpy()[k], "t2": b["t2"].to_numpy()[k], "h": np.concatenate(grams).view(np.int64), "n": np.concatenate(counts).astype(np.int32)})
+
+    src = texts.where("t is not null").select(*_text_id(), "t")
+    grams = src.mapInPandas(run, "t1 long, t2 long, h long, n int")
+    total = grams.join(scores, "h").groupBy("t1", "t2").agg(F.sum(F.col("n") * F.col("v")).alias("v"), F.sum("n").alias("n"))
+    return total.select("t1", "t2", F.exp(-F.col("v") / F.col("n")).alias("perplexity"))
 
 
 def _discounts(c: dict[int, int]) -> tuple[float, float, float]:
@@ -174,52 +202,35 @@ def _discounts(c: dict[int, int]) -> tuple[float, float, float]:
     return max(0.1, 1 - 2 * y * n2 / n1), max(0.1, 2 - 3 * y * n3 / n2), max(0.1, 3 - 4 * y * n4 / n3)
 
 
-def train(documents: DataFrame, entries: int = ENTRIES) -> Model:
-    """The modified Kneser-Ney model of a corpus: counts over all of it, arrays of the most frequent entries."""
+def train(documents: DataFrame) -> Model:
+    """The modified Kneser-Ney model of a corpus: counts and tables over all of it."""
     grams = cut(ngram_counts(documents))
     tri, bi = grams.where("o = 3"), grams.where("o = 2")
     # continuation counts: distinct words before
-    bi = bi.join(tri.groupBy(F.col("s").alias("h")).agg(F.count("*").alias("c")), "h", "left").select("h", "p", "s", F.coalesce("c", F.lit(1)).alias("n"))
-    uni = grams.where("o = 1").select("h").join(grams.where("o = 2").groupBy(F.col("s").alias("h")).agg(F.count("*").alias("n")), "h", "left").select("h", F.coalesce("n", F.lit(1)).alias("n"))
-    arrays: dict[str, tuple[np.ndarray, np.ndarray]] = {}
-
-    def keep(name: str, df: DataFrame, order: str) -> None:
-        """The ``entries`` most frequent rows, by a threshold on their count rather than a sort."""
-        v = df.where(f"{order} > 1") if df.count() > entries else df
-        q = v.count()
-        if q > entries:
-            at = v.approxQuantile(order, [1 - entries / q], 0.001)[0]
-            v = v.where(F.col(order) > at)
-        pdf = v.select("h", "v").limit(entries).toPandas()
-        k = pdf["h"].to_numpy(np.int64).view(np.uint64)
-        i = np.argsort(k)
-        arrays[name] = (k[i], pdf["v"].to_numpy(float)[i])
-
+    bi = cut(bi.join(tri.groupBy(F.col("s").alias("h")).agg(F.count("*").alias("c")), "h", "left").select("h", "p", "s", F.coalesce("c", F.lit(1)).alias("n")))
+    uni = cut(grams.where("o = 1").select("h").join(grams.where("o = 2").groupBy(F.col("s").alias("h")).agg(F.count("*").alias("n")), "h", "left").select("h", F.coalesce("n", F.lit(1)).alias("n")))
+    tables: dict[str, DataFrame] = {}
     for name, df in (("3", tri), ("2", bi)):
         d1, d2, d3 = _discounts({r["n"]: r["c"] for r in df.where("n <= 4").groupBy("n").agg(F.count("*").alias("c")).collect()})
         d = F.when(F.col("n") == 1, d1).when(F.col("n") == 2, d2).otherwise(d3)
         ctx = df.groupBy("p").agg(F.sum("n").alias("total"), F.sum(d).alias("lost"))
-        alpha = df.join(ctx, "p").select("h", "n", ((F.col("n") - d) / F.col("total")).alias("v"))
-        keep("a" + name, alpha, "n")
-        keep("g" + name, ctx.select(F.col("p").alias("h"), F.col("total").alias("n"), (F.col("lost") / F.col("total")).alias("v")), "n")
+        tables["a" + name] = df.join(ctx, "p").select("h", ((F.col("n") - d) / F.col("total")).alias("v"))
+        tables["g" + name] = ctx.select(F.col("p").alias("h"), (F.col("lost") / F.col("total")).alias("v"))
     t = uni.agg(F.sum("n").alias("n"), F.count("*").alias("k")).first()
     total, kinds = (t["n"] or 0) + 1, (t["k"] or 0) + 1
-    keep("p1", uni.select("h", "n", ((F.col("n") - 0.75) / total + 0.75 * (kinds - 1) / total / kinds).alias("v")), "n")
-    return Model(arrays, 0.75 * (kinds - 1) / total / kinds + 1e-9)
+    tables["p1"] = uni.select("h", ((F.col("n") - 0.75) / total + 0.75 * (kinds - 1) / total / kinds).alias("v"))
+    return Model(tables, 0.75 * (kinds - 1) / total / kinds + 1e-9, grams)
 
 
 def perplexities(documents: DataFrame, key: str = "doc_id", text: str = "text", lang: Column | None = None, low: float = 0.02, high: float = 0.98, model: Model | None = None) -> DataFrame:
     """key, lang, perplexity, lower, upper, rejected: bands are the quantiles low and high of each language."""
-    model = model or train(documents.select(F.col(text).alias("text")))
+    texts = documents.select(F.col(text).alias("text"))
+    own = model is None
+    model = model or train(texts)
     language = F.coalesce(F.lower(F.trim(F.col("lang"))) if lang is None else lang, F.lit(""))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            if len(b):
-                yield pd.DataFrame({"k": b["k"], "lang": b["lang"], "perplexity": pd.Series([model.perplexity(t) for t in b["t"]], dtype=float)})
-
     src = documents.select(F.col(key).alias("k"), language.alias("lang"), F.col(text).alias("t"))
-    p = cut(src.mapInPandas(run, f"k {src.schema['k'].dataType.simpleString()}, lang string, perplexity double").withColumn("perplexity", F.nanvl("perplexity", F.lit(None))))
+    by = _by_text(src, model.scores(model.grams if own else ngram_counts(texts)))
+    p = cut(src.select("k", "lang", *_text_id()).join(by, ["t1", "t2"], "left").select("k", "lang", "perplexity"))
     band = p.groupBy("lang").agg(F.percentile_approx("perplexity", [low, high], 1000).alias("b"))
     out = p.join(F.broadcast(band), "lang", "left")  # a row a language
     return out.select(F.col("k").alias(key), "lang", "perplexity", F.col("b")[0].alias("lower"), F.col("b")[1].alias("upper"), F.coalesce((F.col("perplexity") < F.col("b")[0]) | (F.col("perplexity") > F.col("b")[1]), F.lit(False)).alias("rejected"))

@@ -187,3 +187,40 @@ def test_repetition(spark):
     assert len(p) == 5 and all(x["perplexity"] is None or x["perplexity"] > 0 for x in p) and [x["perplexity"] for x in p if x["doc_id"] == 3] == [None]
     m = repetition.train(df.select("text"))
     assert m.perplexity(sentence) < m.perplexity("stone river unknown words entirely")
+
+
+def test_perplexity_keeps_all_entries(spark):
+    """Against dictionaries that hold every n-gram, on more than a million of them."""
+    r = random.Random(5)
+    words = [f"w{i}" for i in range(3000)]
+    docs = [(i, " ".join(r.choices(words, k=3000)), "en") for i in range(350)]
+    n3, p3, p2, p1 = {}, {}, {}, {}
+    for _, t, _ in docs:
+        w = ["<s>", "<s>", *t.split()]
+        for g in zip(w, w[1:], w[2:]):
+            n3[g] = n3.get(g, 0) + 1
+    assert len(n3) > 1_000_000
+    n2 = {}
+    for g in n3:
+        n2[g[1:]] = n2.get(g[1:], 0) + 1
+    n1 = {}
+    for g in n2:
+        n1[g[1]] = n1.get(g[1], 0) + 1
+    total, kinds = sum(n1.values()) + 1, len(n1) + 1
+    for g, n in n1.items():
+        p1[g] = (n - 0.75 + 0.75 * (kinds - 1) / kinds) / total
+    for counts, out, lower in ((n2, p2, lambda g: p1[g[1]]), (n3, p3, lambda g: p2[g[1:]])):
+        c = {}
+        for n in counts.values():
+            c[n] = c.get(n, 0) + 1
+        d, all_, lost = repetition._discounts(c), {}, {}
+        for g, n in counts.items():
+            all_[g[:-1]] = all_.get(g[:-1], 0) + n
+            lost[g[:-1]] = lost.get(g[:-1], 0) + d[min(n, 3) - 1]
+        for g, n in counts.items():
+            out[g] = (n - d[min(n, 3) - 1] + lost[g[:-1]] * lower(g)) / all_[g[:-1]]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string, lang string").repartition(4)
+    got = {x["doc_id"]: x["perplexity"] for x in repetition.perplexities(df).collect()}
+    for i, t, _ in docs[::50]:
+        w = ["<s>", "<s>", *t.split()]
+        assert got[i] == pytest.approx(np.exp(-np.mean([np.log(p3[g]) for g in zip(w, w[1:], w[2:])])))
