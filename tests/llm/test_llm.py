@@ -224,3 +224,15 @@ def test_perplexity_keeps_all_entries(spark):
     for i, t, _ in docs[::50]:
         w = ["<s>", "<s>", *t.split()]
         assert got[i] == pytest.approx(np.exp(-np.mean([np.log(p3[g]) for g in zip(w, w[1:], w[2:])])))
+
+
+def test_markup_classes(spark):
+    """Opening and closing tokens are lexed apart: crossing and stray ones are in no valid class, and the template leaves them."""
+    rows = [("a", "d", "x *one <b>two* three</b> y", "prose"), ("b", "e", "x *one <b>two</b> three* y", "prose"), ("c", "f", "<p>P 5* and *more", "prose"), ("d", "g", "*a**b*", "prose"), ("e", "h", "*it* <i>x</i>", "prose"), ("f", "h", "a *b <i>c* d</i>", "prose")]
+    df = spark.createDataFrame(rows, "chunk_id string, doc_id string, chunk_text string, content_type string")
+    assert {(r[0], r[1]) for r in markup.found(df).collect()} == {("a", "html"), ("b", "html"), ("b", "markdown"), ("c", "html"), ("e", "html"), ("e", "markdown"), ("f", "html")}
+    weak = {(r["host"], r["token"], r["valid"]) for r in markup.classes(markup.occurrences(df).where("weak")).collect()}
+    assert {("d", "weak_star<?", False), ("d", "weak_star>?", False), ("e", "weak_star<", True), ("e", "weak_star>", True), ("f", "weak_star<?", False), ("f", "weak_star>?", False), ("h", "weak_star<", True), ("h", "weak_star<?", False)} <= weak
+    assert {r["host"]: r["tokens"] for r in markup.template(markup.occurrences(df)).collect()} == {h: ["weak_star<", "weak_star>"] for h in ("e", "h")}
+    out = {r["chunk_id"]: r["clean_text"] for r in markup.clean_table(df).collect()}
+    assert out["a"] == "x *one two* three y" and out["b"] == "x one two three y" and out["c"] == "P 5* and *more" and out["e"] == "it x" and out["f"] == "a *b c* d"
