@@ -550,6 +550,12 @@ def think_strip(spark, d):
     return a.select("answer_id", cleaning.strip_thinking(F.concat(F.lit("<think>let me\nsee</think>"), F.col("answer"))).alias("reply"))
 
 
+@register()
+def think_strip_all(spark, d):
+    """think_strip over all answers, those that are null, empty or have white space around them as well; tested by brute force instead of SQL."""
+    return answers(spark, d).select("answer_id", cleaning.strip_thinking(F.concat(F.lit("<think>let me\nsee</think>"), F.col("answer"))).alias("reply"))
+
+
 # grounding
 
 _MASK = "regexp_replace(regexp_replace(regexp_replace(regexp_replace({0}, '(\\d)\\.(\\d)', '\\1' || chr(57344) || '\\2', 'g'), '(\\d)\\.(\\d)', '\\1' || chr(57344) || '\\2', 'g'), '(\\s)\\.(\\d)', '\\1' || chr(57344) || '\\2', 'g'), '(?i)\\b(vs|e\\.g|i\\.e|approx|ca|cf|al|fig|no|ref)\\.', '\\1' || chr(57344), 'g')"

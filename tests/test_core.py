@@ -211,3 +211,20 @@ def test_against_sql(spark, data, name):
     assert sorted(a.columns) == sorted(b.columns) and len(a) == len(b) > 0
     rows = lambda z: sorted(str([round(float(v), 6) if isinstance(v, float) or hasattr(v, "dtype") and v.dtype.kind in "fi" else str(v) for v in r]) for r in z[sorted(z.columns)].astype(object).where(z.notna(), None).itertuples(index=False))
     assert rows(a) == rows(b)
+
+
+def test_think_strip_all(spark, data, tmp_path):
+    """Against re.sub and str.strip, on every answer."""
+    import re
+
+    from ribbonmill import registry
+
+    spaces = [chr(i) for i in range(0x3001) if chr(i).isspace()]
+    texts = [None, "", " ", "\n", "\u200b", "a\u200b", " a\n\n b \r\n", "\t<think>x</think> a", "a <think>x\ny</think>\n", "<think>open", *[f"{x}a{x}b{x}{x}" for x in spaces]]
+    schema = "answer_id bigint, answer string, loaded_at timestamp"
+    spark.createDataFrame([(i, t, None) for i, t in enumerate(texts)], schema).write.parquet(str(tmp_path / "answers_llama3_natural.parquet"))
+    for folder in (str(tmp_path), data):
+        rows = spark.read.parquet(f"{folder}/answers_llama3_natural.parquet").select("answer_id", "answer").distinct().collect()
+        want = {r[0]: r[1] if r[1] is None else re.sub(r"<think>.*?</think>", "", r[1], flags=re.S).strip() for r in rows}
+        got = registry.queries()["think_strip_all"](spark, folder).collect()
+        assert len(got) == len(want) and {r[0]: r[1] for r in got} == want
