@@ -157,7 +157,7 @@ def dense(query: str | None, answer: str, lang: Languages) -> list[float]:
 
 def hashed(answer: str) -> np.ndarray:
     """Slots of the answer's word n-grams of one and two words."""
-    w = words(answer)[:400] if len(answer) < 4000 else words(answer)
+    w = words(answer)
     return np.fromiter({zlib.crc32(x.encode()) % DIM for x in [*w, *map(" ".join, zip(w, w[1:]))]}, np.int64)
 
 

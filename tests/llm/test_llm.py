@@ -236,3 +236,9 @@ def test_markup_classes(spark):
     assert {r["host"]: r["tokens"] for r in markup.template(markup.occurrences(df)).collect()} == {h: ["weak_star<", "weak_star>"] for h in ("e", "h")}
     out = {r["chunk_id"]: r["clean_text"] for r in markup.clean_table(df).collect()}
     assert out["a"] == "x *one two* three y" and out["b"] == "x one two three y" and out["c"] == "P 5* and *more" and out["e"] == "it x" and out["f"] == "a *b c* d"
+
+
+def test_pairs_hash_whole_answers():
+    head, tail = "肝" * 1000, "尾声结束"
+    assert len(pairs.words(head + tail)) > 1000
+    assert set(pairs.hashed(tail)) <= set(pairs.hashed(head + tail))
