@@ -1,17 +1,25 @@
-"""Text cut off by field limits: trigrams inside texts against trigrams at natural ends.
+"""Text cut off by field limits: trigrams inside texts against trigrams at ends.
 
 All of it is Spark SQL. A text is a row of tokens: words (digits folded to 0), single characters of
-scripts that put no spaces between words, and marks. A *gram* is the last three tokens up to a
-position; where the token is one Han, kana or Thai character it is the last seven, about as much text.
-
-A gram occurs *at an end* where a line ends that another line follows (such an end is never a cut)
-and *inside* where other text follows in the line; the ends of whole texts, some of which are cuts, are
-evidence for neither. The end of a text is judged by the longest of its last gram, last pair and last
-token that has been seen at least ``min_seen`` times: if that is (nearly) never at an end, the text was
-cut. What was never seen, such as half a word, counts as inside. A text that closes with a sentence mark
-or a citation is cut only on evidence: its last gram goes on in lower case or a number ("vs.", "9."), or
-was seen ``min_seen_closed`` times without ending a line. An exact check follows: replies too short to
-hold a sentence, placeholders and repeats of the query are no cases.
+scripts that put no spaces between words, and marks; a citation after a sentence mark is left out. A
+*trigram* is the last three tokens up to a position; where the token is one Han, kana or Thai character it
+is the last seven, about as much text. A trigram occurs *at an end* where a line ends, or a text that
+closes with a sentence mark or a citation, and *inside* where the line goes on; the ends of other texts,
+some of which are cuts, are evidence for neither. A trigram also occurs inside where its last word is the
+beginning of a longer word, so that half a word is judged by the words it may be half of. Each text leaves its
+own end out, and equal texts count once.
+
+The last trigram of each text is joined with these counts. Its *end rate* is the share of occurrences at
+ends, smoothed with the rates of its last two tokens, its last token and the kind of that token (all
+measured on the corpus), each worth ``PRIOR`` occurrences: a trigram seen often speaks for itself, one
+never seen is judged by its shorter ends. Rates are compared, never counts, so what is cut doesn't depend on
+the size of the corpus.
+
+A text is cut where its last trigram is frequent inside and (nearly) never at an end: an end rate of at
+most ``MAX_END_RATE``. Where a text closes with a sentence mark or a citation, the trigram's own rate must also
+be under ``CONFIDENT`` with 95 % confidence (Wilson's bound), and it must go on in lower case or a number more
+often than not ("vs.", "9."). An exact check follows: placeholders and repeats of the query are no cases, and
+of replies of at most ``SHORT`` tokens only those that end in half a word of the corpus are.
 """
 
 from __future__ import annotations
@@ -19,6 +27,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ribbonmill.session import cut
+
 #: Characters of scripts without spaces between words.
 UNSPACED = r"฀-๿぀-ヿ㐀-䶿一-鿿"
 #: Marks that a cutter may leave behind.
@@ -27,6 +37,16 @@ TOKEN = rf"[{UNSPACED}]|[\p{{L}}\p{{M}}\p{{N}}]+|\n|[^\s]"
 #: Marks that end a sentence, with what may close after them.
 END_MARK = "[.?!。？！।．؟][\"'”’»」』)\\]“*_]*\\s*$"
 CITED = r"(?:\[[^\[\]]*\]|\((?i:sources?)[^()]*\))\s*$"
+#: Citations after a sentence's mark.
+CITED_SENTENCE = r"([.?!。？！।][\"'”’»」』)]*)(?:[ \t]*(?:\[[^\[\]\n]*\]|\((?i:sources?)[^()\n]*\)))+"
+#: A trigram that ends a line or a text at most this often is one that goes on.
+MAX_END_RATE = 0.02
+#: Where a text is closed by a mark, the end rate must be under this with 95 % confidence as well.
+CONFIDENT = 0.05
+#: Occurrences that a shorter gram's rate is worth.
+PRIOR = 3.0
+#: Tokens of a short reply, such as a value or a name.
+SHORT = 9
 
 
 def normal_ends(c: Column) -> Column:
@@ -42,12 +62,6 @@ def tokens(c: Column) -> Column:
     return F.regexp_extract_all(F.regexp_replace(c, r"\s*\n\s*", "\n"), F.lit(f"({TOKEN})"), F.lit(1))
 
 
-def _gram(t: str, i: str, wide: int, narrow: int) -> str:
-    """SQL: the tokens of array t up to position i; ``wide`` of them if the last is an unspaced character."""
-    k = f"if(get({t}, {i}-1) rlike '^[{UNSPACED}]$', {wide}, {narrow})"
-    return f"array_join(slice({t}, greatest(1, {i}-{k}+1), least({i}, {k})), ' ')"
-
-
 def distinct_answers(df: DataFrame, key: str = "answer_id", text: str = "answer") -> DataFrame:
     """Rows delivered twice count once: one row per key, the earliest delivery."""
     order = "loaded_at" if "loaded_at" in df.columns else key
@@ -55,8 +69,25 @@ def distinct_answers(df: DataFrame, key: str = "answer_id", text: str = "answer"
     return df.groupBy(key).agg(F.min_by(F.struct(*others), F.coalesce(F.col(order).cast("string"), F.lit(""))).alias("r")).select(key, "r.*")
 
 
-def truncation_scores(df: DataFrame, key: str = "answer_id", text: str = "answer", query: str | None = "query", min_seen: int = 3, min_seen_closed: int = 60, max_end_rate: float = 0.02) -> DataFrame:
-    """key, end_rate, seen, level (3, 2 or 1 tokens), cut: one row per key with a text.
+def _grams(t: DataFrame) -> DataFrame:
+    """t with c3, c2, c1 and c0: hashes of what stands before w, the token last, in its last gram, pair, token and kind of token; from the six tokens before it, a to f."""
+    wide = F.col("w").rlike(f"^[{UNSPACED}]$")
+    kind = F.when(wide, 1).when(F.col("w").rlike(r"^[\p{L}\p{M}\p{N}]"), 2).when(F.col("w").rlike("^[.?!。？！।．؟]"), 3).when(F.col("w").rlike("^[\"'”’»」』)\\]]"), 4).otherwise(5)
+    h = lambda level, *c: F.xxhash64(F.lit(level), *c)
+    return t.select(
+        "*",
+        F.when(wide, h(3, "a", "b", "c", "d", "e", "f")).otherwise(h(3, "e", "f")).alias("c3"),
+        F.when(wide, h(2, "c", "d", "e", "f")).otherwise(h(2, "f")).alias("c2"),
+        F.when(wide, h(1, "e", "f")).otherwise(h(1)).alias("c1"),
+        h(0, kind).alias("c0"),
+    )
+
+
+_BEFORE = "abcdef"
+
+
+def truncation_scores(df: DataFrame, key: str = "answer_id", text: str = "answer", query: str | None = "query", max_end_rate: float = MAX_END_RATE, prior: float = PRIOR, short: int = SHORT) -> DataFrame:
+    """key, end_rate, seen, level (3, 2, 1 or 0: of the longest gram seen), half (ends in half a word), cut: one row per key with a text.
 
     ``cut`` is null for null and blank texts. Equal texts count once in the statistics. Other columns of
     df, clashing names included, don't matter. An empty table gives no rows.
@@ -65,34 +96,60 @@ def truncation_scores(df: DataFrame, key: str = "answer_id", text: str = "answer
     base = df.select(F.col(key).alias("k"), F.col(text).alias("a"), q.alias("q"))
     base = base.withColumn("marked", F.coalesce(F.col("a").rlike(CUT_MARK), F.lit(False)))
     base = base.withColumn("n", normal_ends(F.regexp_replace(F.coalesce("a", F.lit("")), CUT_MARK, "")))
-    # the grams of distinct texts; count() combines before the shuffle, so a hot gram is small there
-    texts = base.where("n != ''").groupBy("n").agg(F.max("marked").alias("marked")).withColumn("t", tokens(F.col("n")))
-    grams = texts.selectExpr(
-        "n",
-        "posexplode(transform(sequence(1, size(t)), i -> named_struct("
-        f"'g3', {_gram('t', 'i', 7, 3)}, 'g2', {_gram('t', 'i', 5, 2)}, 'g1', {_gram('t', 'i', 3, 1)},"
-        "'tok', get(t, i-1), 'nx', get(t, i)))) as (pos, s)",
-    ).select("s.*").where("tok != '\\n' and nx is not null")
-    goes_on = F.col("nx").rlike(r"^[\p{Ll}0,;:.%/)-]")
-    levels = grams.withColumn("on", goes_on).selectExpr("stack(3, 3, lower(g3), 2, lower(g2), 1, lower(g1)) as (level, gram)", "nx = '\\n' as line", "on")
-    counts = levels.groupBy("level", "gram").agg(F.count("*").alias("n_all"), F.count_if("line").alias("n_line"), F.count_if("on").alias("n_on"))
-    last = texts.selectExpr("n", f"{_gram('t', 'size(t)', 7, 3)} as g3", f"{_gram('t', 'size(t)', 5, 2)} as g2", f"{_gram('t', 'size(t)', 3, 1)} as g1")
-    ends = last.selectExpr("stack(3, 3, lower(g3), 2, lower(g2), 1, lower(g1)) as (level, gram)", "n")
-    seen = ends.join(counts, ["level", "gram"]).selectExpr("n", "level", "n_all as seen", "n_line / n_all as end_rate", "n_on / n_all as on_rate")
-    best = seen.where(F.col("seen") >= min_seen).groupBy("n").agg(F.max_by(F.struct("level", "seen", "end_rate", "on_rate"), "level").alias("b"))
-    judged = base.join(best, "n", "left").select("k", "a", "q", "n", "marked", F.coalesce("b.level", F.lit(0)).alias("level"), F.coalesce("b.seen", F.lit(0)).alias("seen"), F.coalesce("b.end_rate", F.lit(0.0)).alias("end_rate"), F.coalesce("b.on_rate", F.lit(0.0)).alias("on_rate"))
-    one_line = ~F.col("n").contains("\n")
     bare = F.regexp_replace(F.lower("n"), r"[^\p{L}\p{N}\p{M}]+", "")
     asked = F.regexp_replace(F.lower(F.coalesce("q", F.lit(""))), r"[^\p{L}\p{N}\p{M}]+", "")
-    n_tok = F.size(tokens(F.col("n")))
-    short = one_line & (n_tok <= 9) & ~F.col("n").rlike(f"[{UNSPACED}ऀ-ॿ]") & ~F.col("marked")
-    echo = (asked != "") & (F.length(bare) <= 2 * F.length(asked) + 60) & F.endswith(bare, F.right(asked, F.lit(12)))
-    closed = F.col("n").rlike(END_MARK) | F.col("n").rlike(CITED)
-    evident = (F.col("level") >= 2) & ((F.col("on_rate") > 0.5) | ((F.col("seen") >= min_seen_closed) & (F.col("level") == 3) & (F.col("end_rate") <= max_end_rate / 10)))
-    never = (F.col("end_rate") <= max_end_rate) & (~closed | evident)
-    empty = bare == ""
-    cut = F.when(F.col("a").isNull() | empty, None).otherwise(~short & ~echo & never)
-    return judged.select(F.col("k").alias(key), "level", "seen", "end_rate", cut.alias("cut"))
+    base = base.select(
+        "k", "a", "n", "marked",
+        F.xxhash64("n").alias("id"), F.xxhash64(F.lit("second"), "n").alias("id2"),
+        (bare == "").alias("blank"),
+        ((asked != "") & (F.length(bare) <= 2 * F.length(asked) + 60) & F.endswith(bare, F.right(asked, F.lit(12)))).alias("echo"),
+        (F.col("n").rlike(END_MARK) | F.col("n").rlike(CITED)).alias("closed"),
+    )
+    texts = base.where("n != ''").groupBy("id", "id2").agg(F.first("n").alias("n"), F.first("closed").alias("own")).withColumn("t", F.transform(tokens(F.regexp_replace("n", CITED_SENTENCE, "$1")), F.lower))
+    start = F.array(*[F.lit("\n")] * len(_BEFORE))
+    # each position with the six tokens before it and the one after it, as parallel arrays; the lower-cased one after it says how the text goes on
+    n = len(_BEFORE)
+    padded = texts.select("id", "id2", "own", F.concat(start, "t").alias("p"), F.size("t").alias("m"), tokens(F.regexp_replace("n", CITED_SENTENCE, "$1")).alias("o"))
+    shifted = [F.slice("p", i + 1, F.col("m")).alias(c) for i, c in enumerate(_BEFORE + "w")]
+    at = padded.select("own", F.explode(F.arrays_zip(*shifted, F.slice("o", F.lit(2), F.col("m")).alias("nx"))).alias("s")).select("own", "s.*").where((F.col("w") != "\n") & (F.col("nx").isNotNull() | F.col("own")))
+    line = F.coalesce(F.col("nx") == "\n", F.lit(True))
+    on = F.coalesce(F.col("nx").rlike(r"^[\p{Ll}0,;:.%/)-]"), F.lit(False))
+    rows = _grams(at.select(*_BEFORE, "w", line.cast("long").alias("line"), on.cast("long").alias("on")))
+    # sums combine before the shuffle, so a hot gram is small there
+    levels = rows.selectExpr("stack(4, c3, w, c2, w, c1, w, c0, '') as (c, w)", "line", "on")
+    counts = levels.groupBy("c", "w").agg(F.count("*").alias("n"), F.sum("line").alias("e"), F.sum("on").alias("o"))
+    counts = cut(counts)  # read twice: as it is, and by the beginnings of its words
+    # beginnings of a gram's last word: rows of distinct grams, not of occurrences
+    begun = counts.where(F.col("w").rlike(r"^[\p{L}\p{M}]{2,}$")).select("c", F.explode(F.expr("transform(sequence(1, length(w) - 1), i -> left(w, i))")).alias("w"), "n").groupBy("c", "w").agg(F.sum("n").alias("p"))
+    tail = _grams(padded.select("id", "id2", F.col("own").cast("int").alias("own"), *[F.element_at("p", F.col("m") + i).alias(c) for i, c in enumerate(_BEFORE)], F.element_at("p", -1).alias("w")))
+    ends = tail.selectExpr("stack(4, 3, c3, w, 2, c2, w, 1, c1, w, 0, c0, '') as (level, c, w)", "id", "id2", "own")
+    zero = F.lit(0)
+    seen = ends.join(counts, ["c", "w"], "left").join(begun, ["c", "w"], "left")
+    seen = seen.groupBy("id", "id2").agg(F.max("own").alias("own"), *[F.max(F.when(F.col("level") == i, F.struct(*[F.coalesce(c, zero).alias(c) for c in "neop"]))).alias(f"l{i}") for i in range(4)])
+    # a text's own end is no evidence
+    rate: Column = F.lit(0.0)
+    for i in range(4):
+        here, own = F.col(f"l{i}"), F.col("own")
+        total = F.greatest(here["n"] - own, zero) + here["p"]
+        rate = (F.greatest(here["e"] - own, zero) + prior * rate) / (total + prior) if i else F.greatest(here["e"] - own, zero) / F.greatest(total, F.lit(1))
+    l3, l1 = F.col("l3"), F.col("l1")
+    n3, e3 = F.nullif(F.greatest(l3["n"] - F.col("own"), zero), zero), F.greatest(l3["e"] - F.col("own"), zero)
+    z2 = F.lit(1.645**2)
+    upper = (e3 / n3 + z2 / (2 * n3) + F.sqrt(z2) * F.sqrt(e3 / n3 * (1 - e3 / n3) / n3 + z2 / (4 * n3 * n3))) / (1 + z2 / n3)
+    level = F.lit(0)
+    for i in (1, 2, 3):
+        level = F.when(F.col(f"l{i}.n") + F.col(f"l{i}.p") > F.col("own"), i).otherwise(level)
+    scored = seen.select(
+        "id", "id2", level.alias("level"), n3.alias("seen"), rate.alias("end_rate"),
+        F.coalesce((rate <= max_end_rate) & (upper <= CONFIDENT) & (l3["o"] / n3 > 0.5), F.lit(False)).alias("evident"),
+        # the word is no word of its own: it stands before something no oftener than one time in twenty that it begins a longer one
+        ((l1["p"] > 0) & (l1["n"] - l1["e"] <= 0.05 * l1["p"])).alias("half"),
+    )
+    j = base.join(scored, ["id", "id2"], "left")
+    few = ~F.col("n").contains("\n") & (F.size(tokens(F.col("n"))) <= short) & ~F.col("n").rlike(f"[{UNSPACED}ऀ-ॿ]") & ~F.col("marked")
+    hit = F.when(F.col("closed"), F.col("evident")).otherwise(F.col("end_rate") <= max_end_rate) & (~few | F.col("half"))
+    is_cut = F.when(F.col("a").isNull() | F.col("blank"), None).otherwise(~F.col("echo") & hit)
+    return j.select(F.col("k").alias(key), F.coalesce("level", zero).alias("level"), F.coalesce("seen", zero).alias("seen"), F.coalesce("end_rate", F.lit(0.0)).alias("end_rate"), F.coalesce("half", F.lit(False)).alias("half"), is_cut.alias("cut"))
 
 
 def with_query(df: DataFrame, query_id: str = "query_id", query: str = "query") -> DataFrame:

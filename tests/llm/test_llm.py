@@ -30,6 +30,19 @@ def test_truncation(spark):
     assert truncation.found(df.withColumn("n", F.lit(1)).withColumn("k", F.lit("x")).withColumn("level", F.lit(2))).count() == 2
 
 
+def test_truncation_by_trigrams(spark):
+    """Closed texts are cut only on evidence, short replies only in half a word, and the share of cuts is the same on more rows."""
+    refusal = "It is impossible to tell on the basis of this material."
+    body = "Blood was drawn between 7.5 and 9.25 hours after the dose of zotrelide. The dose was kept. The dose was kept for all of the patients."
+    for times in (60, 600):
+        rows = [("why?", True, f"{h} {refusal}{t}", "a") for h in ("Hmm.", "So:", "Answer:") for t in ("", " Please rephrase the query.", " [SOURCE 1]")]
+        rows += [("why?", True, f"Case {w}.\n{body} Dose group{w} did well.", "a") for w in ("x" * (i + 1) for i in range(times))]
+        n = len(rows)
+        rows += [("why?", True, "The dose was kept. Blood was drawn between 9.", "b"), ("why?", True, "We saw 4.2 here. The dose was kept. The dose was ke", "b"), ("why?", True, "zotrelide", "b"), ("why?", True, "zotreli", "b"), ("why?", True, "The dose was kept.", "b"), ("why?", True, "The dose was kept for all of the pat…", "b")]
+        got = {r[0] - n for r in truncation.found(answers(spark, rows)).collect()}
+        assert got == {0, 1, 3, 5}
+
+
 @pytest.mark.parametrize(
     ("text", "units"),
     [
