@@ -99,17 +99,17 @@ def truncation_scores(df: DataFrame, key: str = "answer_id", text: str = "answer
     bare = F.regexp_replace(F.lower("n"), r"[^\p{L}\p{N}\p{M}]+", "")
     asked = F.regexp_replace(F.lower(F.coalesce("q", F.lit(""))), r"[^\p{L}\p{N}\p{M}]+", "")
     base = base.select(
-        "k", "a", "n", "marked",
-        F.xxhash64("n").alias("id"), F.xxhash64(F.lit("second"), "n").alias("id2"),
-        (bare == "").alias("blank"),
+        "k", "n", "marked", F.col("a").isNull().alias("none"), (bare == "").alias("blank"),
         ((asked != "") & (F.length(bare) <= 2 * F.length(asked) + 60) & F.endswith(bare, F.right(asked, F.lit(12)))).alias("echo"),
         (F.col("n").rlike(END_MARK) | F.col("n").rlike(CITED)).alias("closed"),
+        F.xxhash64("n").alias("id"), F.xxhash64(F.lit("second"), "n").alias("id2"),
     )
-    texts = base.where("n != ''").groupBy("id", "id2").agg(F.first("n").alias("n"), F.first("closed").alias("own")).withColumn("t", F.transform(tokens(F.regexp_replace("n", CITED_SENTENCE, "$1")), F.lower))
+    base = cut(base)  # read three times: for the statistics, for the last grams, and at the end
+    texts = base.where("n != ''").groupBy("n", "id", "id2", F.col("closed").alias("own")).agg(F.lit(1)).withColumn("o", tokens(F.regexp_replace("n", CITED_SENTENCE, "$1"))).withColumn("t", F.transform("o", F.lower))
     start = F.array(*[F.lit("\n")] * len(_BEFORE))
     # each position with the six tokens before it and the one after it, as parallel arrays; the lower-cased one after it says how the text goes on
     n = len(_BEFORE)
-    padded = texts.select("id", "id2", "own", F.concat(start, "t").alias("p"), F.size("t").alias("m"), tokens(F.regexp_replace("n", CITED_SENTENCE, "$1")).alias("o"))
+    padded = texts.select("id", "id2", "own", F.concat(start, "t").alias("p"), F.size("t").alias("m"), "o")
     shifted = [F.slice("p", i + 1, F.col("m")).alias(c) for i, c in enumerate(_BEFORE + "w")]
     at = padded.select("own", F.explode(F.arrays_zip(*shifted, F.slice("o", F.lit(2), F.col("m")).alias("nx"))).alias("s")).select("own", "s.*").where((F.col("w") != "\n") & (F.col("nx").isNotNull() | F.col("own")))
     line = F.coalesce(F.col("nx") == "\n", F.lit(True))
@@ -125,30 +125,28 @@ def truncation_scores(df: DataFrame, key: str = "answer_id", text: str = "answer
     ends = tail.selectExpr("stack(4, 3, c3, w, 2, c2, w, 1, c1, w, 0, c0, '') as (level, c, w)", "id", "id2", "own")
     zero = F.lit(0)
     seen = ends.join(counts, ["c", "w"], "left").join(begun, ["c", "w"], "left")
-    seen = seen.groupBy("id", "id2").agg(F.max("own").alias("own"), *[F.max(F.when(F.col("level") == i, F.struct(*[F.coalesce(c, zero).alias(c) for c in "neop"]))).alias(f"l{i}") for i in range(4)])
+    seen = seen.groupBy("id", "id2").agg(F.max("own").alias("own"), *[F.coalesce(F.max(F.when(F.col("level") == i, F.col(c))), zero).alias(f"{c}{i}") for i in range(4) for c in "neop"])
     # a text's own end is no evidence
-    rate: Column = F.lit(0.0)
-    for i in range(4):
-        here, own = F.col(f"l{i}"), F.col("own")
-        total = F.greatest(here["n"] - own, zero) + here["p"]
-        rate = (F.greatest(here["e"] - own, zero) + prior * rate) / (total + prior) if i else F.greatest(here["e"] - own, zero) / F.greatest(total, F.lit(1))
-    l3, l1 = F.col("l3"), F.col("l1")
-    n3, e3 = F.nullif(F.greatest(l3["n"] - F.col("own"), zero), zero), F.greatest(l3["e"] - F.col("own"), zero)
-    z2 = F.lit(1.645**2)
-    upper = (e3 / n3 + z2 / (2 * n3) + F.sqrt(z2) * F.sqrt(e3 / n3 * (1 - e3 / n3) / n3 + z2 / (4 * n3 * n3))) / (1 + z2 / n3)
+    others = lambda i: F.greatest(F.col(f"n{i}") - F.col("own"), zero)
+    at_end = lambda i: F.greatest(F.col(f"e{i}") - F.col("own"), zero)
+    rate: Column = at_end(0) / F.greatest(others(0), F.lit(1))
     level = F.lit(0)
     for i in (1, 2, 3):
-        level = F.when(F.col(f"l{i}.n") + F.col(f"l{i}.p") > F.col("own"), i).otherwise(level)
+        rate = (at_end(i) + prior * rate) / (others(i) + F.col(f"p{i}") + prior)
+        level = F.when(others(i) + F.col(f"p{i}") > 0, i).otherwise(level)
+    n3, share = F.nullif(others(3), zero), at_end(3) / F.nullif(others(3), zero)
+    z2 = F.lit(1.645**2)
+    upper = (share + z2 / (2 * n3) + F.sqrt(z2) * F.sqrt(share * (1 - share) / n3 + z2 / (4 * n3 * n3))) / (1 + z2 / n3)
     scored = seen.select(
         "id", "id2", level.alias("level"), n3.alias("seen"), rate.alias("end_rate"),
-        F.coalesce((rate <= max_end_rate) & (upper <= CONFIDENT) & (l3["o"] / n3 > 0.5), F.lit(False)).alias("evident"),
+        F.coalesce((rate <= max_end_rate) & (upper <= CONFIDENT) & (F.col("o3") / n3 > 0.5), F.lit(False)).alias("evident"),
         # the word is no word of its own: it stands before something no oftener than one time in twenty that it begins a longer one
-        ((l1["p"] > 0) & (l1["n"] - l1["e"] <= 0.05 * l1["p"])).alias("half"),
+        ((F.col("p1") > 0) & (F.col("n1") - F.col("e1") <= 0.05 * F.col("p1"))).alias("half"),
     )
     j = base.join(scored, ["id", "id2"], "left")
     few = ~F.col("n").contains("\n") & (F.size(tokens(F.col("n"))) <= short) & ~F.col("n").rlike(f"[{UNSPACED}ऀ-ॿ]") & ~F.col("marked")
     hit = F.when(F.col("closed"), F.col("evident")).otherwise(F.col("end_rate") <= max_end_rate) & (~few | F.col("half"))
-    is_cut = F.when(F.col("a").isNull() | F.col("blank"), None).otherwise(~F.col("echo") & hit)
+    is_cut = F.when(F.col("none") | F.col("blank"), None).otherwise(~F.col("echo") & hit)
     return j.select(F.col("k").alias(key), F.coalesce("level", zero).alias("level"), F.coalesce("seen", zero).alias("seen"), F.coalesce("end_rate", F.lit(0.0)).alias("end_rate"), F.coalesce("half", F.lit(False)).alias("half"), is_cut.alias("cut"))
 
 
