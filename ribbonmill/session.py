@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -30,20 +32,31 @@ def local_session(cores: str | int = 8, app: str = "ribbonmill", **conf: str) ->
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a local one where that is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir. Only a local session may go without; it gets a folder of its own."""
     d = spark.conf.get("spark.checkpoint.dir", "")
     if not d:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         d = "file://" + tempfile.mkdtemp(prefix="ribbonmill_")
         spark.conf.set("spark.checkpoint.dir", d)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(d)
     return d
 
 
+def _remove(spark: SparkSession, path: str) -> None:
+    try:
+        jvm = spark.sparkContext._jvm
+        jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(jvm.org.apache.hadoop.fs.Path(path), True)
+    except Exception:  # the session is gone, and with it the way to the folder
+        pass
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Compute df once and cut its lineage, in the shared folder, so that it survives a lost executor."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Compute df once and cut its lineage: a table written to the shared folder, so that a lost executor costs only its own tasks. It is removed when the session's program ends."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark).rstrip('/')}/ribbonmill_{uuid.uuid4().hex}"
+    atexit.register(_remove, spark, path)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def ship(spark: SparkSession) -> None:
