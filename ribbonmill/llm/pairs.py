@@ -1,13 +1,18 @@
 """Broken prompt and response pairs.
 
-A multi-label linear classifier over hashed n-grams of the answer and features of the pair, for the
-defects refusal, copied_query and wrong_language. It is trained on synthetic responses made from at
-most ``SAMPLE`` rows of the table: copies of queries, whole or changed or introduced; answers swapped
-between languages; refused ones, written here or taken from short answers to queries recorded as
-unanswerable; truncated ones; and sound ones, reservations followed by an answer among them. Its
-thresholds are calibrated on a third of the made pairs that is held out. Exact checks follow: what is
-empty is decided by rule, what is truncated by truncation.found; a refusal is a defect only where
-answerable is true; a language is wrong only where a query is given and the answer is a real one.
+A multi-label linear classifier over hashed n-grams of the answer and features of the pair decides the
+defects refusal, copied_query, wrong_language and truncated. Among the features are the language of
+either text and by how much it is the likelier one, the words they share, and how the answer ends: its
+marks and the end rate of its last trigram (module truncation). It is trained on synthetic responses
+made from at most ``SAMPLE`` rows of the table: copies of queries, whole or changed or introduced;
+answers swapped between languages; refused ones, written here or taken from short answers to queries
+recorded as unanswerable; ones truncated inside a word or sentence, with and without a mark; and sound
+ones, short replies and reservations followed by an answer among them. The threshold of each label is
+calibrated on a third of the made pairs that is held out.
+
+What is defined by form alone is checked exactly: empty answers; a refusal is a defect only where answerable
+is true; a language can be wrong only where a query is given, and of a real answer, neither refused
+nor copied.
 
 Null queries, answers and answerables are allowed. Rows delivered twice count once.
 """
@@ -26,10 +31,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ribbonmill.llm import truncation
-from ribbonmill.session import hash_sample
+from ribbonmill.session import cut, hash_sample
 
 SAMPLE = 4000
-LABELS = ("refusal", "copied_query", "wrong_language")
+LABELS = ("refusal", "copied_query", "wrong_language", "truncated")
+#: How an answer ends, from the module truncation.
+ENDS = ("cut", "end_rate", "evident", "half", "few", "echo", "closed", "marked")
 DIM = 1 << 14
 #: Placeholders, without marks and spaces.
 PLACEHOLDERS = frozenset("none null na nan nil undefined empty tbd todo blank noanswer noresponse notapplicable pending error".split())
@@ -100,6 +107,7 @@ class Languages:
             for w in self.lists[k]:
                 for g in self._grams(w):
                     counts[k][g] += 3
+        self.memo: dict[str, list[float] | None] = {}
         every = sorted(set().union(*counts.values()))
         self.logs = {g: np.array([np.log((counts[k][g] + 0.5) / (sum(counts[k].values()) + 0.5 * len(every))) for k in self.names]) for g in every}
 
@@ -107,58 +115,81 @@ class Languages:
     def _grams(w: str) -> list[str]:
         return [f" {w} "[i : i + 3] for i in range(len(w))]
 
-    def of(self, text: str) -> str:
+    def _word(self, w: str) -> list[float] | None:
+        """What a word adds to each language, or None where nothing is known of it."""
+        if len(self.memo) > 100_000:
+            self.memo.clear()
+        if w not in self.memo:
+            total, known = np.zeros(len(self.names)), False
+            if w.isalpha() and w not in self.neutral:
+                total = np.array([4.0 * (w in self.lists[k]) for k in self.names])
+                for g in self._grams(w):
+                    v = self.logs.get(g)
+                    if v is not None:
+                        total, known = total + v, True
+            self.memo[w] = total.tolist() if known else None
+        return self.memo[w]
+
+    def scores(self, text: str) -> tuple[str, dict[str, float]]:
+        """The likeliest language ("" if nothing is known) and what each language of Latin script scores a word."""
         latin = len(_LATIN.findall(text))
         best, n = "", 0
-        for k, p in _SCRIPTS:
-            c = len(p.findall(text)) * (3 if k in ("ja", "zh") else 1)
-            if c > n:
-                best, n = ("ja" if k == "zh" and _SCRIPTS[0][1].search(text) else k), c
+        if not text.isascii():
+            for k, p in _SCRIPTS:
+                c = len(p.findall(text)) * (3 if k in ("ja", "zh") else 1)
+                if c > n:
+                    best, n = ("ja" if k == "zh" and _SCRIPTS[0][1].search(text) else k), c
         if n * 2 > latin:
-            return best
-        total, known = np.zeros(len(self.names)), False
-        for w in words(text):
-            if not w.isalpha() or w in self.neutral:
-                continue
-            for i, k in enumerate(self.names):
-                total[i] += 4.0 * (w in self.lists[k])
-            for g in self._grams(w):
-                v = self.logs.get(g)
-                if v is not None:
-                    total, known = total + v, True
-        return self.names[int(np.argmax(total))] if known else ""
-
-
-def dense(query: str | None, answer: str, lang: Languages) -> list[float]:
-    """Features of the pair."""
-    a, q = words(answer), words(query or "")
+            return best, {}
+        rows = [v for v in map(self._word, words(text)) if v is not None]
+        if not rows:
+            return "", {}
+        total = [sum(c) / len(rows) for c in zip(*rows)]
+        return self.names[total.index(max(total))], dict(zip(self.names, total))
+
+    def of(self, text: str) -> str:
+        return self.scores(text)[0]
+
+
+def dense(query: str | None, answer: str, lang: Languages, end: dict[str, float], asked: tuple | None = None) -> list[float]:
+    """Features of the pair; end: ENDS of the answer; asked: words and language of the query, if they are at hand."""
+    a = words(answer)
+    q, lq = asked or (words(query or ""), lang.of(query) if query else "")
     ca, cq = Counter(a), Counter(q)
     shared = sum(min(n, ca[w]) for w, n in cq.items())
     inside = sum(n for w, n in ca.items() if w in cq)
-    la, lq = lang.of(answer), lang.of(query) if query else ""
     n = len(a)
     cov_q, cov_a = shared / max(1, len(q)), inside / max(1, n)
+    both = min(cov_q, cov_a) if q else 0.0
+    la, each = lang.scores(answer)
+    other = bool(la and lq) and la != lq
+    margin = min(3.0, each[la] - each[lq] if la in each and lq in each else 3.0) if other else 0.0
+    real = float(n >= 5)
     return [
         1.0,
         float(bool(q)),
         cov_q if q else 0.0,
         cov_a if q else 0.0,
-        3 * max(0.0, min(cov_q, cov_a) - 0.6) if q else 0.0,
-        float(bool(q) and cov_a > 0.8 and cov_q > 0.8),
-        float(bool(lq) and bool(la) and la != lq),
+        15 * max(0.0, both - 0.6),
+        6.0 * (both >= 0.7),
+        float(bool(q)) * min(n - inside, 20) / 20,
+        6 * real * other,
+        2 * real * margin,
+        float(other) - real * other,
         min(3.0, np.log1p(n) / 2),
         float(n > 40),
         float(n < 30),
-        min(2.0, len(re.findall(r"\d", answer)) / max(1, n) * 4),
+        min(2.0, sum(map(str.isdigit, answer)) / max(1, n) * 4),
         float("[SOURCE" in answer or "(SOURCE" in answer),
-        float(re.search(r"[.?!。！？।][\"'”’»)\]」』]*\s*$", answer) is not None),
+        *[(6.0 if k == "cut" else 1.0) * end[k] for k in ENDS],
     ]
 
 
 def hashed(answer: str) -> np.ndarray:
-    """Slots of the answer's word n-grams of one and two words."""
+    """Slots of the answer's word n-grams of one and two words, and of its last one, two and three words."""
     w = words(answer)
-    return np.fromiter({zlib.crc32(x.encode()) % DIM for x in [*w, *map(" ".join, zip(w, w[1:]))]}, np.int64)
+    grams = {*w, *map(" ".join, zip(w, w[1:])), *(f"{i} last {' '.join(w[-i:])}" for i in (1, 2, 3))}
+    return np.fromiter({zlib.crc32(x.encode()) % DIM for x in grams}, np.int64)
 
 
 class Classifier:
@@ -173,7 +204,7 @@ class Classifier:
         z = np.asarray(d) @ self.wd + (self.wh[h].sum(0) / np.sqrt(len(h)) if len(h) else 0)
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
-    def fit(self, rows: list[tuple[list[float], np.ndarray, np.ndarray]], epochs: int = 8, seed: int = 1) -> Classifier:
+    def fit(self, rows: list[tuple[list[float], np.ndarray, np.ndarray]], epochs: int = 12, seed: int = 1) -> Classifier:
         rng = np.random.default_rng(seed)
         order = rng.permutation(len(rows))
         held, used = order[: len(rows) // 3], order[len(rows) // 3 :]
@@ -190,7 +221,7 @@ class Classifier:
                 if len(h):
                     v = e / np.sqrt(len(h))
                     gh[h] += v * v
-                    self.wh[h] -= 0.3 * v / np.sqrt(gh[h]) + 1e-5 * self.wh[h]
+                    self.wh[h] -= 0.3 * v / np.sqrt(gh[h]) + 1e-4 * self.wh[h]
         p = np.array([self.score(rows[i][0], rows[i][1]) for i in held])
         y = np.array([rows[i][2] for i in held])
         for j in range(len(LABELS)):
@@ -204,99 +235,144 @@ class Classifier:
         return self
 
 
-def make_pairs(rows: list[tuple[str | None, bool | None, str]], lang: Languages, seed: int = 13) -> list[tuple[str | None, str, tuple[int, int, int]]]:
-    """(query, answer, labels) made from (query, answerable, answer) rows."""
+def _break(text: str, r: random.Random) -> str | None:
+    """The text cut inside a word or sentence, or None where no such place was found."""
+    for _ in range(8):
+        i = r.randrange(min(40, len(text) - 1), len(text)) if len(text) > 60 else 0
+        if i and text[i - 1].isalnum() and (text[i].isalnum() or text[i] == " " and text[i + 1 : i + 2].islower()):
+            return text[:i] + r.choice(("", "", "", "", "…", "...", " [...]"))
+    return None
+
+
+Made = tuple[str | None, str, tuple[int, int, int, int]]
+
+
+def make_pairs(rows: list[tuple[str | None, bool | None, str, bool]], lang: Languages, seed: int = 13) -> list[Made]:
+    """(query, answer, labels) made from (query, answerable, answer, whether its end is sound) rows."""
     r = random.Random(seed)
-    asked = [q for q, _, _ in rows if q]
+    asked = [x[0] for x in rows if x[0]]
     if not asked:
         asked = ["What does this text say?"]
     weak, sound = [], []
-    for q, ok, a in rows:
+    for q, ok, a, whole in rows:
         if is_empty(a):
             continue
-        n = len(words(a))
-        cov = sum(w in set(words(q or "")) for w in words(a)) / max(1, n)
+        w = words(a)
+        n, known = len(w), set(words(q or ""))
+        cov = sum(x in known for x in w) / max(1, n)
         cjk = any(p.search(a) for _, p in _SCRIPTS)
         if ok is False and 5 <= n <= (60 if cjk else 32) and cov < 0.6 and not re.match(r"^[\W\d]*\d", a) and a.count("\n") == 0:
             weak.append(a)
-        elif n > (60 if cjk else 45) and cov < 0.5:
-            sound.append((q, a))
+        elif n > (60 if cjk else 45) and cov < 0.5 and whole:
+            sound.append((q, a, lang.of(a)))
     by_lang: dict[str, list[str]] = {}
-    for _, a in sound:
-        by_lang.setdefault(lang.of(a), []).append(a)
-    refusals = [*REFUSALS * 3, *weak[:SAMPLE // 4]]
-    out: list[tuple[str | None, str, tuple[int, int, int]]] = []
+    for _, a, k in sound:
+        by_lang.setdefault(k, []).append(a)
+    refusals = [*REFUSALS * 3, *weak[: SAMPLE // 4]]
+    out: list[Made] = []
     tails = ("", "", "", " Please rephrase the query.", " Consider asking a specialist.", " More context is needed.", " [SOURCE 1]")
     heads = ("", "", "", "", "Answer: ", "Hmm. ", "**Answer:** ")
+    language = {q: lang.of(q) for q in set(asked)}
     for a in refusals:
         q = r.choice(asked) if r.random() < 0.9 else None
-        out.append((q, r.choice(heads) + a + r.choice(tails), (1, 0, 0)))
+        out.append((q, r.choice(heads) + a + r.choice(tails), (1, 0, 0, 0)))
     for q in r.sample(asked, min(len(asked), SAMPLE // 5)):
         w = q.split()
         v = r.choice((q, q.upper(), q.lower().rstrip("?？ "), q.rstrip("?？") + ".", "  ".join(w), " ".join(w[1:]) if len(w) > 3 else q, f"{q}\n\n{q}", f"Sure! {q}", f'You asked: "{q}"', f"Your question was: {q.rstrip('?')}…", f'"{q}"', f"Question: {q}"))
-        out.append((q, v, (0, 1, 0)))
-        if sound:  # begins with the query but answers it
-            out.append((q, f"{q}\n\n{r.choice(sound)[1][:900]}", (0, 0, 0)))
-    for q, a in sound[:SAMPLE // 3]:
-        q0 = q if q and lang.of(q) == lang.of(a) else None
-        k = r.random()
-        if k < 0.15:
+        out.append((q, v, (0, 1, 0, 0)))
+        # begins with the query but answers it
+        same = [a for a in (r.choice(sound)[1] for _ in range(8) if sound) if lang.of(a) == language[q]]
+        if same:
+            out.append((q, f"{q}\n\n{same[0]}", (0, 0, 0, 0)))
+    for q, a, k in sound[: SAMPLE // 2]:
+        q0 = q if q and language[q] == k else None
+        p = r.random()
+        if p < 0.15:
             a = f"{r.choice(RESERVATIONS)}\n\n{a}"
-        elif k < 0.3:
-            a = a[: r.randrange(len(a) // 3, len(a))]
-        elif k < 0.4:
-            a = re.split(r"(?<=[.?!。！？।])\s*", a)[0]
-        out.append((q0, a, (0, 0, 0)))
+        elif p < 0.55:
+            if b := _break(a, r):
+                out.append((q0, b, (0, 0, 0, 1)))
+            continue
+        elif p < 0.65:
+            a = re.match(r".+?(?<![^\W\d_]\.[^\W\d_])[.?!。！？।](?=\s|[぀-鿿]|$)|.+", a, re.S)[0]
+            if len(words(a)) < 8:
+                continue
+        out.append((q0, a, (0, 0, 0, 0)))
     langs = [k for k in by_lang if k]
     for q in r.sample(asked, min(len(asked), SAMPLE // 5)):
-        others = [k for k in langs if k != lang.of(q)]
+        others = [k for k in langs if k != language[q]]
         if others:
-            out.append((q, r.choice(by_lang[r.choice(others)])[: r.randrange(60, 900)], (0, 0, 1)))
+            a = r.choice(by_lang[r.choice(others)])
+            if r.random() < 0.6:  # as often as the languages are
+                a = next((x for x, k in ((x[1], x[2]) for x in (r.choice(sound) for _ in range(20))) if k and k != language[q]), a)
+            b = _break(a, r) if r.random() < 0.3 else None
+            out.append((q, b or a, (0, 0, 1, int(b is not None))))
     for a in ("Yes", "No", "31%", "HR 0.93", "4 cycles", "6.2 months [SOURCE 1]", "Yes, for early disease", "tamoxifen", "Twice a day.", "letrozole 2.5 mg"):
         for _ in range(15):
-            out.append((r.choice(asked), a, (0, 0, 0)))
+            out.append((r.choice(asked), a, (0, 0, 0, 0)))
+    for q in r.sample(asked, min(len(asked), SAMPLE // 10)):  # short replies in the words of the query
+        w = q.rstrip("?？. ").split()
+        out.append((q, r.choice((r.choice(w), f"Yes, for {' '.join(w[-r.randrange(2, 5) :])}", f"No, not in {' '.join(w[-r.randrange(2, 5) :])}")), (0, 0, 0, 0)))
     return out
 
 
-def train(one: DataFrame, total: int, common_word: DataFrame) -> tuple[Classifier, Languages]:
+def train(one: DataFrame, ends: DataFrame, counts: DataFrame, total: int, common_word: DataFrame) -> tuple[Classifier, Languages]:
     """The classifier and the languages, from a bounded sample in the order of a hash; total is the number of rows."""
-    rows = hash_sample(one.where("answer is not null").select("query", "answerable", "answer", "answer_id"), total, "answer_id", SAMPLE).collect()
-    rows = [(x[0], x[1], x[2]) for x in rows]
+    spark = one.sparkSession
+    rows = hash_sample(one.where("answer is not null").select("query", "answerable", "answer", "answer_id"), total, "answer_id", SAMPLE)
+    # an end is sound where its trigram is no cut's and it is closed by a mark, or is one of natural ends
+    rows = rows.join(ends.select(F.col("k").alias("answer_id"), (~F.coalesce("cut", F.lit(True)) & (F.col("closed") | (F.col("end_rate") > 0.2))).alias("whole")), "answer_id", "left")
+    rows = [(x["query"], x["answerable"], x["answer"], bool(x["whole"])) for x in rows.orderBy(F.xxhash64("answer_id"), "answer_id").collect()]
     common = sorted({(x[0], x[1].lower()) for x in common_word.where("lang is not null and word is not null").collect()})
     lang = Languages(common, [x[2] for x in rows])
     made = make_pairs(rows, lang)
-    return Classifier().fit([(dense(q, a, lang), hashed(a), np.array(y, float)) for q, a, y in made]), lang
+    pairs = spark.createDataFrame([(i, q, a) for i, (q, a, _) in enumerate(made)], "answer_id long, query string, answer string")
+    seen = {x["k"]: x for x in truncation.judged(truncation.prepared(pairs), counts, own=False).collect()}
+    x = [(dense(q, a, lang, {k: seen[i][k] or 0.0 for k in ENDS}), hashed(a), np.array(y, float)) for i, (q, a, y) in enumerate(made)]
+    return Classifier().fit(x), lang
 
 
 def defects(answers: DataFrame, common_word: DataFrame) -> DataFrame:
     """answer_id, defect: a row per defect of each pair."""
-    one = truncation.with_query(truncation.distinct_answers(answers).withColumn("given", F.col("query")))
-    model, lang = train(one, answers.count(), common_word)
+    one = cut(truncation.with_query(truncation.distinct_answers(answers).withColumn("given", F.col("query"))).select("answer_id", "query", "given", "answerable", "answer"))
+    base = truncation.prepared(one)
+    counts = cut(truncation.trigram_counts(base))
+    ends = cut(truncation.judged(base, counts).select("k", *ENDS))
+    model, lang = train(one, ends, counts, one.count(), common_word)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known: dict[str, tuple] = {}
+
+        def asked(q: str) -> tuple:
+            if q not in known:
+                if len(known) > 20_000:
+                    known.clear()
+                known[q] = (words(q), lang.of(q))
+            return known[q]
+
         for b in batches:
             out = []
-            for k, q, given, ok, a in zip(b["answer_id"], b["query"], b["given"], b["answerable"], b["answer"]):
+            for k, q, given, ok, a, *end in zip(b["answer_id"], b["query"], b["given"], b["answerable"], b["answer"], *(b[c] for c in ENDS)):
                 if is_empty(a):
                     out.append((k, "empty"))
                     continue
                 q = q if isinstance(q, str) else None
-                p = model.score(dense(q, a, lang), hashed(a)) >= model.cut
-                refusal, copied, wrong = map(bool, p)
-                if copied and q and sum(w in set(words(q)) for w in words(a)) >= 0.7 * len(words(a)):
+                d = dense(q, a, lang, {c: v if v == v and v is not None else 0.0 for c, v in zip(ENDS, end)}, asked(q) if q else None)
+                refusal, copied, wrong, truncated = map(bool, model.score(d, hashed(a)) >= model.cut)
+                if copied:
                     out.append((k, "copied_query"))
                 elif refusal:
-                    if ok is not None and bool(ok) and ok == ok:
+                    if ok is not None and ok == ok and bool(ok):
                         out.append((k, "refusal"))
-                elif isinstance(given, str) and len(words(a)) >= 5 and (wrong or lang.of(a) != lang.of(given)) and lang.of(a) and lang.of(given) and lang.of(a) != lang.of(given):
+                elif wrong and isinstance(given, str):
                     out.append((k, "wrong_language"))
+                if truncated:
+                    out.append((k, "truncated"))
             if out:
                 yield pd.DataFrame(out, columns=["answer_id", "defect"])
 
-    src = one.select("answer_id", "query", "given", "answerable", "answer")
-    seen = src.mapInPandas(run, "answer_id long, defect string")
-    cut = truncation.truncation_scores(one).where("cut").select(F.col("answer_id").cast("long").alias("answer_id"), F.lit("truncated").alias("defect"))
-    return seen.union(cut).distinct()
+    src = one.join(ends.withColumnRenamed("k", "answer_id"), "answer_id")
+    return src.mapInPandas(run, "answer_id long, defect string").distinct()
 
 
 def found(answers: DataFrame, common_word: DataFrame) -> DataFrame:

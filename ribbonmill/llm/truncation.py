@@ -86,45 +86,58 @@ def _grams(t: DataFrame) -> DataFrame:
 _BEFORE = "abcdef"
 
 
-def truncation_scores(df: DataFrame, key: str = "answer_id", text: str = "answer", query: str | None = "query", max_end_rate: float = MAX_END_RATE, prior: float = PRIOR, short: int = SHORT) -> DataFrame:
-    """key, end_rate, seen, level (3, 2, 1 or 0: of the longest gram seen), half (ends in half a word), cut: one row per key with a text.
-
-    ``cut`` is null for null and blank texts. Equal texts count once in the statistics. Other columns of
-    df, clashing names included, don't matter. An empty table gives no rows.
-    """
+def prepared(df: DataFrame, key: str = "answer_id", text: str = "answer", query: str | None = "query") -> DataFrame:
+    """k, n (text without cut marks and end spaces) and what is seen on a text by itself; read several times, so written once."""
     q = F.col(query) if query else F.lit(None).cast("string")
     base = df.select(F.col(key).alias("k"), F.col(text).alias("a"), q.alias("q"))
     base = base.withColumn("marked", F.coalesce(F.col("a").rlike(CUT_MARK), F.lit(False)))
     base = base.withColumn("n", normal_ends(F.regexp_replace(F.coalesce("a", F.lit("")), CUT_MARK, "")))
     bare = F.regexp_replace(F.lower("n"), r"[^\p{L}\p{N}\p{M}]+", "")
     asked = F.regexp_replace(F.lower(F.coalesce("q", F.lit(""))), r"[^\p{L}\p{N}\p{M}]+", "")
-    base = base.select(
-        "k", "n", "marked", F.col("a").isNull().alias("none"), (bare == "").alias("blank"),
-        ((asked != "") & (F.length(bare) <= 2 * F.length(asked) + 60) & F.endswith(bare, F.right(asked, F.lit(12)))).alias("echo"),
-        (F.col("n").rlike(END_MARK) | F.col("n").rlike(CITED)).alias("closed"),
-        F.xxhash64("n").alias("id"), F.xxhash64(F.lit("second"), "n").alias("id2"),
+    return cut(
+        base.select(
+            "k", "n", "marked", F.col("a").isNull().alias("none"), (bare == "").alias("blank"),
+            ((asked != "") & (F.length(bare) <= 2 * F.length(asked) + 60) & F.endswith(bare, F.right(asked, F.lit(12)))).alias("echo"),
+            (F.col("n").rlike(END_MARK) | F.col("n").rlike(CITED)).alias("closed"),
+            F.xxhash64("n").alias("id"), F.xxhash64(F.lit("second"), "n").alias("id2"),
+        )
     )
-    base = cut(base)  # read three times: for the statistics, for the last grams, and at the end
-    texts = base.where("n != ''").groupBy("n", "id", "id2", F.col("closed").alias("own")).agg(F.lit(1)).withColumn("o", tokens(F.regexp_replace("n", CITED_SENTENCE, "$1"))).withColumn("t", F.transform("o", F.lower))
+
+
+def _padded(base: DataFrame) -> DataFrame:
+    """id, id2, own, o (tokens), p (lower-cased tokens after six line breaks), m (number of tokens) of each distinct text; own: its end counts as one."""
+    texts = base.where("n != ''").groupBy("n", "id", "id2", F.col("closed").alias("own")).agg(F.lit(1)).withColumn("o", tokens(F.regexp_replace("n", CITED_SENTENCE, "$1")))
     start = F.array(*[F.lit("\n")] * len(_BEFORE))
-    # each position with the six tokens before it and the one after it, as parallel arrays; the lower-cased one after it says how the text goes on
-    n = len(_BEFORE)
-    padded = texts.select("id", "id2", "own", F.concat(start, "t").alias("p"), F.size("t").alias("m"), "o")
+    return texts.select("id", "id2", "own", F.concat(start, F.transform("o", F.lower)).alias("p"), F.size("o").alias("m"), "o")
+
+
+def trigram_counts(base: DataFrame) -> DataFrame:
+    """c (hash of what stands before, by level), w (last word), n, e, o (occurrences; of these at ends; going on), p (occurrences of longer words that begin so before the same words)."""
     shifted = [F.slice("p", i + 1, F.col("m")).alias(c) for i, c in enumerate(_BEFORE + "w")]
-    at = padded.select("own", F.explode(F.arrays_zip(*shifted, F.slice("o", F.lit(2), F.col("m")).alias("nx"))).alias("s")).select("own", "s.*").where((F.col("w") != "\n") & (F.col("nx").isNotNull() | F.col("own")))
+    # each position with the six tokens before it and the one after it, from parallel arrays
+    at = _padded(base).select("own", F.explode(F.arrays_zip(*shifted, F.slice("o", F.lit(2), F.col("m")).alias("nx"))).alias("s")).select("own", "s.*")
+    at = at.where((F.col("w") != "\n") & (F.col("nx").isNotNull() | F.col("own")))
     line = F.coalesce(F.col("nx") == "\n", F.lit(True))
     on = F.coalesce(F.col("nx").rlike(r"^[\p{Ll}0,;:.%/)-]"), F.lit(False))
     rows = _grams(at.select(*_BEFORE, "w", line.cast("long").alias("line"), on.cast("long").alias("on")))
     # sums combine before the shuffle, so a hot gram is small there
     levels = rows.selectExpr("stack(4, c3, w, c2, w, c1, w, c0, '') as (c, w)", "line", "on")
     counts = levels.groupBy("c", "w").agg(F.count("*").alias("n"), F.sum("line").alias("e"), F.sum("on").alias("o"))
-    counts = cut(counts)  # read twice: as it is, and by the beginnings of its words
     # beginnings of a gram's last word: rows of distinct grams, not of occurrences
-    begun = counts.where(F.col("w").rlike(r"^[\p{L}\p{M}]{2,}$")).select("c", F.explode(F.expr("transform(sequence(1, length(w) - 1), i -> left(w, i))")).alias("w"), "n").groupBy("c", "w").agg(F.sum("n").alias("p"))
-    tail = _grams(padded.select("id", "id2", F.col("own").cast("int").alias("own"), *[F.element_at("p", F.col("m") + i).alias(c) for i, c in enumerate(_BEFORE)], F.element_at("p", -1).alias("w")))
+    begun = F.expr("if(w rlike '^[\\\\p{L}\\\\p{M}]{2,}$', sequence(1, length(w)), array(length(w)))")
+    each = counts.select("c", "w", "n", "e", "o", F.explode(begun).alias("i"))
+    whole = F.col("i") == F.length("w")
+    one = lambda x: F.when(whole, F.col(x)).otherwise(F.lit(0)).alias(x)
+    each = each.select("c", F.left("w", F.col("i")).alias("w"), one("n"), one("e"), one("o"), F.when(whole, F.lit(0)).otherwise(F.col("n")).alias("p"))
+    return each.groupBy("c", "w").agg(*[F.sum(x).alias(x) for x in "neop"])
+
+
+def judged(base: DataFrame, counts: DataFrame, own: bool = True, max_end_rate: float = MAX_END_RATE, prior: float = PRIOR, short: int = SHORT) -> DataFrame:
+    """k, level, seen, end_rate, half, evident, few, echo, closed, marked, cut of each row of base. own: its texts are among the counted ones."""
+    tail = _grams(_padded(base).select("id", "id2", (F.col("own").cast("int") * int(own)).alias("own"), *[F.element_at("p", F.col("m") + i).alias(c) for i, c in enumerate(_BEFORE)], F.element_at("p", -1).alias("w")))
     ends = tail.selectExpr("stack(4, 3, c3, w, 2, c2, w, 1, c1, w, 0, c0, '') as (level, c, w)", "id", "id2", "own")
-    zero = F.lit(0)
-    seen = ends.join(counts, ["c", "w"], "left").join(begun, ["c", "w"], "left")
+    zero, no = F.lit(0), F.lit(False)
+    seen = ends.join(counts, ["c", "w"], "left")
     seen = seen.groupBy("id", "id2").agg(F.max("own").alias("own"), *[F.coalesce(F.max(F.when(F.col("level") == i, F.col(c))), zero).alias(f"{c}{i}") for i in range(4) for c in "neop"])
     # a text's own end is no evidence
     others = lambda i: F.greatest(F.col(f"n{i}") - F.col("own"), zero)
@@ -139,15 +152,27 @@ def truncation_scores(df: DataFrame, key: str = "answer_id", text: str = "answer
     upper = (share + z2 / (2 * n3) + F.sqrt(z2) * F.sqrt(share * (1 - share) / n3 + z2 / (4 * n3 * n3))) / (1 + z2 / n3)
     scored = seen.select(
         "id", "id2", level.alias("level"), n3.alias("seen"), rate.alias("end_rate"),
-        F.coalesce((rate <= max_end_rate) & (upper <= CONFIDENT) & (F.col("o3") / n3 > 0.5), F.lit(False)).alias("evident"),
+        F.coalesce((rate <= max_end_rate) & (upper <= CONFIDENT) & (F.col("o3") / n3 > 0.5), no).alias("evident"),
         # the word is no word of its own: it stands before something no oftener than one time in twenty that it begins a longer one
         ((F.col("p1") > 0) & (F.col("n1") - F.col("e1") <= 0.05 * F.col("p1"))).alias("half"),
     )
-    j = base.join(scored, ["id", "id2"], "left")
     few = ~F.col("n").contains("\n") & (F.size(tokens(F.col("n"))) <= short) & ~F.col("n").rlike(f"[{UNSPACED}ऀ-ॿ]") & ~F.col("marked")
-    hit = F.when(F.col("closed"), F.col("evident")).otherwise(F.col("end_rate") <= max_end_rate) & (~few | F.col("half"))
+    j = base.join(scored, ["id", "id2"], "left").withColumn("few", few)
+    hit = F.when(F.col("closed"), F.col("evident")).otherwise(F.col("end_rate") <= max_end_rate) & (~F.col("few") | F.col("half"))
     is_cut = F.when(F.col("none") | F.col("blank"), None).otherwise(~F.col("echo") & hit)
-    return j.select(F.col("k").alias(key), F.coalesce("level", zero).alias("level"), F.coalesce("seen", zero).alias("seen"), F.coalesce("end_rate", F.lit(0.0)).alias("end_rate"), F.coalesce("half", F.lit(False)).alias("half"), is_cut.alias("cut"))
+    fill = lambda c, v: F.coalesce(c, F.lit(v)).alias(c)
+    return j.select("k", fill("level", 0), fill("seen", 0), fill("end_rate", 0.0), fill("half", False), fill("evident", False), "few", "echo", "closed", "marked", is_cut.alias("cut"))
+
+
+def truncation_scores(df: DataFrame, key: str = "answer_id", text: str = "answer", query: str | None = "query", max_end_rate: float = MAX_END_RATE, prior: float = PRIOR, short: int = SHORT) -> DataFrame:
+    """key, end_rate, seen, level (3, 2, 1 or 0: of the longest gram seen), half (ends in half a word), cut: one row per key with a text.
+
+    ``cut`` is null for null and blank texts. Equal texts count once in the statistics. Other columns of
+    df, clashing names included, don't matter. An empty table gives no rows.
+    """
+    base = prepared(df, key, text, query)
+    rows = judged(base, trigram_counts(base), True, max_end_rate, prior, short)
+    return rows.select(F.col("k").alias(key), "level", "seen", "end_rate", "half", "cut")
 
 
 def with_query(df: DataFrame, query_id: str = "query_id", query: str = "query") -> DataFrame:
