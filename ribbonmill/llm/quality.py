@@ -1,13 +1,17 @@
 """Per-document text statistics, and an ordered rule list that tells prose from lists, tables and junk.
 
-The statistics come from one Arrow pass over the texts: as SQL functions over lines they took about ten
-times the CPU. The rule list is induced by incremental reduced-error pruning: rules of one class after
-another are grown condition by condition on two thirds of the labelled documents by information gain,
-and pruned on the other third. The labelled documents are made here, from at most ``SAMPLE`` texts of
-the table at hand: prose of the corpus as it is, wrapped, or put one sentence to a line; lists and
-tables of its words and phrases in many layouts; junk of several kinds; and mixtures, which belong to
-the kind that holds most characters. The learned thresholds become a CASE expression, which Spark
-applies natively to the statistics.
+The same plain statistics are taken of each document and of each of its lines: numbers of words and
+characters, mean word length, shares of symbols, digits, letters, capitals and common words, closing
+punctuation, and how the line before ended. They come from one Arrow pass over the texts: as SQL functions over
+lines they took about ten times the CPU.
+
+The rule list is induced by incremental reduced-error pruning: rules of one class after another are grown
+condition by condition on two thirds of the labelled lines by information gain, and pruned on the other
+third. The labelled documents are made here, from at most ``SAMPLE`` texts of the table at hand: prose of the
+corpus as it is, wrapped, or put one sentence to a line; lists and tables of its words and phrases in many
+layouts; junk of several kinds; and mixtures, so that each line's kind is known. The learned thresholds
+become a CASE expression, which Spark applies natively to the statistics of a document's lines; a document
+is of the kind that holds most of its characters, and prose unless more than half of them aren't.
 """
 
 from __future__ import annotations
@@ -28,23 +32,20 @@ SAMPLE = 1500
 KINDS = ("junk", "table", "list", "prose")
 #: Scripts without spaces, and Indic ones, whose words common_word doesn't hold.
 OTHER_SCRIPT = r"[฀-๿぀-ヿ㐀-鿿ऀ-ॿ]"
-#: Words that make a statement of a short line.
-VERB = r"(?i)\b(?:is|are|was|were|be|had|has|have|did|does|do|should|could|can|will|may|came|rose|fell|wrote|asked|agree|predicted|est|ont|sont|ist|wird|wurde|es|fue|debe)\b"
 STATISTICS = ("words", "mean_word_length", "symbol_ratio", "punctuated_line_share", "common_word_share")
-FEATURES = ("cell_share", "item_share", "waste_share", "letter_share", "script_share", "common_share", "mixed_share")
+#: Statistics of a line. The first is its length, by which it counts; d_ are those of its document; ended, before: closing marks of it and of the line before.
+FEATURES = ("chars", "words", "mean_word_length", "symbol_ratio", "common_word_share", "digit_ratio", "letter_ratio", "word_ratio", "capital_share", "mixed_share", "longest", "gaps", "bullet", "ended", "punctuated", "before", "before_chars", "lower", "script_ratio", "d_words", "d_mean_word_length", "d_symbol_ratio", "d_punctuated_line_share", "d_common_word_share", "d_lines")
 
 _OTHER = re.compile(OTHER_SCRIPT)
-_VERB = re.compile(VERB)
 _WORD = re.compile(r"[^\W_][^\W_'’-]*(?:['’-][^\W_]+)*")
 _LINES = re.compile("[\n\r\x0b\x0c\x85\u2028\u2029]+")
-_CELLS = re.compile(r"\|.*\|.*\|$|[^\t]{0,45}(?:\t[^\t]{0,30}){2,}$|\S+(?: \S+){0,5}(?:\s{2,}\S+(?: \S+){0,2}){2,}$|[^;]{0,45}(?:;[^;]{1,28}){2,}$")
+_GAP = re.compile(r"\||\t|;|\S {2,}(?=\S)")
 _BULLET = re.compile(r"(?:[-–—*•◦▪·+☐☑□■→‣✓]|\(?[0-9]{1,3}[.)]|\(?[a-zA-Z][.)])\s+(?=\S)")
 _END = re.compile(r"[.!?。！？।…][\"'”’»)\]」』]*(?:\s*\[[^\]]*\])?$")
 _PUNCTUATED = re.compile(r"[.!?。！？।…,;:][\"'”’»)\]」』]*$")
 _WORDLIKE = re.compile(r"[^\W_]+")
 _DIGITS = re.compile(r"\d+")
-_ALNUM = re.compile(r"[^\W_]{2}")
-_MIXED = re.compile(r"(?:[0-9]+[a-z]|[a-z]+[0-9])[0-9a-z]*$", re.I)
+_LETTERS = re.compile(r"[^\W\d_]{3,}")
 
 
 def common_words(common: DataFrame) -> list[str]:
@@ -52,107 +53,104 @@ def common_words(common: DataFrame) -> list[str]:
     return sorted({r[0].strip().lower() for r in common.select("word").where("word is not null").collect()} - {""})
 
 
-def _line_kind(line: str, before: str, common: frozenset[str]) -> str:
-    """s sentence, i item, c cells, r rule, n noise: what a line is, given the line before it ("s": a long line in which a sentence ends, "s+": one whose sentence goes on)."""
-    if not _ALNUM.search(line):
-        return "r"
-    if _OTHER.search(line):
-        return "i" if _BULLET.match(line) and len(line) < 25 else "s"
+def _line(line: str, common: frozenset[str]) -> list[float]:
+    """The statistics of a line by itself, in the order of FEATURES, without those that need its neighbours."""
     tokens = line.split()
     n = len(tokens)
-    soup = sum(not t.isalpha() and len(t) > 3 and (any(x.isdigit() for x in t) and any(x.isalpha() for x in t) or sum(not x.isalnum() for x in t) > 1) for t in tokens)
-    if n > 5 and soup > 0.5 * n:
-        return "n"
-    if (("|" in line or "\t" in line or "  " in line or ";" in line) and _CELLS.match(line)) and not _VERB.search(line):
-        return "c"
-    letters = sum(map(str.isalpha, line))
-    if max(map(len, tokens)) > 60 and "://" not in line:
-        return "n"
-    if letters < 0.45 * (len(line) - n + 1) and not (len(line) < 60 and letters > 1 and n > 1 and sum(map(str.isdigit, tokens)) < 0.6 * n):
-        return "n"
-    known = sum(t.lower().strip(".,;:()\"'") in common for t in tokens)
-    b = _BULLET.match(line)
-    body = line[b.end():] if b else line
-    if b:
-        return "s" if n > 8 and (known > 2 or _VERB.search(body)) else "i"
-    if before == "s+" and (len(line) >= 30 or _END.search(line)) or before == "s" and len(line) >= 30 and line[0].islower():
-        return "s"
-    if n >= 6 and not known and not _VERB.search(line):
-        odd = sum(not t.isascii() or not t.isalpha() or t[0].isupper() for t in (x.strip(".,;:()") or "-" for x in tokens))
-        if odd > 0.6 * n:
-            return "n"
-    c = body[0]
-    if n >= 10 or (n >= 5 and known and (c.isupper() or c in "\"“'(¿¡«„" or c.isdigit()) and line[-1] not in ";,:") or (n >= 4 and _VERB.search(line) and not c.islower()):
-        return "s" if known or n < 14 or _VERB.search(line) else "n"
-    if n >= 6 and _VERB.search(line) and known > 1:
-        return "s"
-    return "i"
-
-
-def text_statistics(text: str | None, common: frozenset[str]) -> tuple[float, ...]:
-    """STATISTICS and FEATURES of one text; null and blank texts have 0 in all."""
+    chars = "".join(tokens)
+    c = len(chars)
+    plain = chars.isascii()
+    rest = _WORDLIKE.sub("", chars)
+    script = 0 if plain else len(_OTHER.findall(chars))
+    signs = len(_OTHER.findall(rest)) if script else 0  # vowel signs and the like are letters
+    symbols = len(rest) - signs
+    digits = sum(map(len, _DIGITS.findall(chars)))
+    known = capitals = mixed = longest = 0
+    for t in tokens:
+        if len(t) > longest:
+            longest = len(t)
+        w = t.strip(".,;:()[]\"'|")
+        if not w:
+            continue
+        if w.isalpha():
+            known += w.lower() in common
+            capitals += w[0].isupper()
+        elif not w.isdigit():
+            mixed += any(map(str.isdigit, w)) and any(map(str.isalpha, w)) or sum(not x.isalnum() for x in w) > 1
+    return [c, n, c / n, symbols / c, known / n, digits / c, (c - len(rest) - digits + signs) / c, (sum(map(len, _LETTERS.findall(chars if script else line))) + signs) / c, capitals / n, mixed / n, longest, len(_GAP.findall(line)), _BULLET.match(line) is not None, _END.search(line) is not None, _PUNCTUATED.search(line) is not None]
+
+
+def line_statistics(text: str | None, common: frozenset[str]) -> tuple[tuple[float, ...], list[tuple[float, ...]]]:
+    """STATISTICS of a text, and FEATURES of each of its lines that aren't blank; null and blank texts have 0 in all and no lines."""
     if not text or not text.strip():
-        return (0,) + (0.0,) * (len(STATISTICS) + len(FEATURES) - 1)
+        return (0,) + (0.0,) * (len(STATISTICS) - 1), []
     lines = [x for x in map(str.strip, _LINES.split(text)) if x]
-    share = dict.fromkeys("sicrn", 0)
-    before, punctuated = "", 0
-    for x in lines:
-        k = _line_kind(x, before, common)
-        share[k] += len(x)
-        before = k if k != "s" else "s+" if not _END.search(x) else "s" if len(x) >= 35 else ""
-        punctuated += _PUNCTUATED.search(x) is not None
-    total = sum(map(len, lines))
+    own = [_line(x, common) for x in lines]
     words = _WORD.findall(text)
     n = max(1, len(words))
     known = sum(w in common for w in map(str.lower, words)) / n
     chars = "".join(text.split())
-    c = len(chars)
-    marks = len(_OTHER.findall(chars)) if not chars.isascii() else 0
     rest = _WORDLIKE.sub("", chars)
-    symbols = len(rest) - (len(_OTHER.findall(rest)) if marks else 0)
-    letters = c - len(rest) - sum(map(len, _DIGITS.findall(chars)))
-    mixed = sum(1 for w in words if not w.isalpha() and _MIXED.match(w)) / n
-    return (len(words), sum(map(len, words)) / n, symbols / c, punctuated / len(lines), known, share["c"] / total, share["i"] / total, (share["r"] + share["n"]) / total, letters / c, marks / c, known, mixed)
+    symbols = len(rest) - (len(_OTHER.findall(rest)) if not chars.isascii() else 0)
+    length = sum(map(len, words)) / n
+    share = sum(v[14] for v in own) / len(own)
+    doc = (len(words), length, symbols / len(chars), share, known)
+    out = []
+    ended, before = 1.0, 0.0
+    for x, v in zip(lines, own):
+        script = 0.0 if x.isascii() else len(_OTHER.findall(x)) / len(x)
+        out.append((*map(float, v), ended, before, float(x[0].islower()), script, *map(float, doc), float(len(lines))))
+        ended, before = float(v[13]), float(v[0])
+    return doc, out
 
 
 def statistics(df: DataFrame, common: list[str], key: str = "chunk_id", text: str = "chunk_text") -> DataFrame:
-    """key, STATISTICS, FEATURES of every row of df."""
+    """key, STATISTICS and lines (an array of FEATURES) of every row of df."""
     words = frozenset(common)
-    names = [*STATISTICS, *FEATURES]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             if not len(b):
                 continue
-            out = pd.DataFrame([text_statistics(t, words) for t in b["t"]], columns=names)
+            docs, lines = zip(*(line_statistics(t, words) for t in b["t"]))
+            out = pd.DataFrame(docs, columns=list(STATISTICS))
             out.insert(0, "k", b["k"].to_numpy())
+            # the lines' statistics one after another: a flat array of numbers costs far less to pass on than one of structs
+            out["lines"] = [np.array(x, np.float32).ravel() for x in lines]
             yield out
 
     src = df.select(F.col(key).alias("k"), F.col(text).alias("t"))
     kind = src.schema["k"].dataType.simpleString()
-    return src.mapInPandas(run, f"k {kind}, words int, " + ", ".join(f"{c} double" for c in names[1:])).withColumnRenamed("k", key)
+    return src.mapInPandas(run, f"k {kind}, words int, " + ", ".join(f"{c} double" for c in STATISTICS[1:]) + ", lines array<float>").withColumnRenamed("k", key)
 
 
 # labelled documents
 
 
 def _is_seed(text: str, common: frozenset[str]) -> bool:
-    """Whether a text is prose beyond doubt: nearly all lines are sentences, of common words or another script."""
-    v = dict(zip([*STATISTICS, *FEATURES], text_statistics(text, common)))
-    return len(text) > 120 and v["cell_share"] + v["item_share"] + v["waste_share"] < 0.12 and (v["common_share"] > 0.12 or v["script_share"] > 0.3)
+    """Whether a text is prose beyond doubt: nearly all of it stands in long lines of common words, or of another script, that close with a mark or go on."""
+    doc, lines = line_statistics(text, common)
+    whole = sum(v[0] for v in lines)
+    plain = sum(v[0] for v in lines if v[1] > 7 and v[10] < 40 and v[11] < 3 and not v[12] and (v[4] > 0.1 and v[6] > 0.7 or v[13] and v[7] > 0.35) or v[18] > 0.3 and v[0] > 25 and not v[12])
+    return len(text) > 120 and plain > 0.9 * whole
 
 
-def labelled(texts: list[str], common: frozenset[str], n: int = 1800, seed: int = 7) -> list[tuple[str, str]]:
-    """(text, kind) of n made documents, from a bounded list of texts of the corpus."""
+def labelled(texts: list[str], common: frozenset[str], n: int = 3000, seed: int = 7) -> list[list[tuple[str, str]]]:
+    """n made documents, each a list of (lines, kind), from a bounded list of texts of the corpus."""
     r = random.Random(seed)
     plain = [t for t in texts if _is_seed(t, common)] or ["No text was given here, so this sentence stands for prose. It was written by hand."]
-    phrases = [p.strip() for t in plain[:400] if not re.search(OTHER_SCRIPT, t) for p in re.findall(r"(?:of|with|by|in|to|for) ((?:[A-Za-z0-9-]+ ){1,3}[A-Za-z0-9-]+)", t) if not re.search(VERB, p)] or ["red apples", "blue plums"]
-    nouns = [w for w in re.findall(r"\b[a-z]{5,}\b", " ".join(plain[:200]))] or ["apple", "plum"]
+    latin = [t for t in plain if not re.search(OTHER_SCRIPT, t)]
+    phrases = [p.strip() for t in latin for p in re.findall(r"(?:of|with|by|in|to|for) ((?:[A-Za-z0-9-]+ ){1,3}[A-Za-z0-9-]+)", t) if not any(w.lower() in common for w in p.split())] or ["red apples", "blue plums"]
+    nouns = [w for t in latin for w in re.findall(r"\b[a-z]{5,}\b", t)] or ["apple", "plum"]
+    spans = [p for t in latin for p in re.findall(r"(?<=[a-z] )([a-z-]+ (?:with|who|of|on|to|in|from|under|for|a) (?:[a-zA-Z0-9-]+ ){1,3}[a-zA-Z0-9-]+)", t)] or phrases
+    short = [p.strip() for t in plain if re.search(OTHER_SCRIPT, t) for p in re.split(r"[。，、；।,;.!?！？\n ]+", t) if 3 < len(p.strip()) < 24] or phrases
     num = lambda: r.choice((f"{r.random() * 99:.1f}", f"{r.randrange(100)}%", f"{r.randrange(300)} ({r.randrange(99)})", "-", "NR", str(r.randrange(99))))
 
     def prose() -> str:
         t = r.choice(plain)
         k = r.random()
+        if r.random() < 0.3:  # that stops anywhere
+            t = t[: r.randrange(len(t) // 2, len(t))].strip()
         if re.search(OTHER_SCRIPT, t) or k < 0.5:
             return t
         if k < 0.8:
@@ -169,6 +167,10 @@ def labelled(texts: list[str], common: frozenset[str], n: int = 1800, seed: int
     def items() -> str:
         marks = r.choice(("- ", "• ", "•\t", "* ", "– ", "+ ", "☐ ", "{}. ", "({}) ", "{}) ", "", "", ""))
         end = r.choice(("", "", ";", ",", "."))
+        if r.random() < 0.12:  # items in other scripts
+            return "\n".join(marks.format(i + 1) + r.choice(short) + (end if end != "." else "") for i in range(r.randrange(4, 30)))
+        if r.random() < 0.25:  # items with common words in them
+            return r.choice(("", "", "Criteria:\n", "Who may take part\n")) + "\n".join(marks.format(i + 1) + r.choice(spans) + end for i in range(r.randrange(4, 60)))
         form = r.choice(("{p}", "{p}: {w}", "{w} {n} mg, weekly", "{p} >= {n}", "prior {w} within {n} months", "{w} (grade {n})", "{x}"))
         k = r.randrange(4, 45)
         head = r.choice(("", "", "Criteria:\n", "Schemes in use\n"))
@@ -209,14 +211,11 @@ def labelled(texts: list[str], common: frozenset[str], n: int = 1800, seed: int
     for i in range(n):
         kind = ("prose", "list", "table", "junk", "prose", "mix")[i % 6]
         if kind != "mix":
-            out.append((make[kind](), kind))
+            out.append([(make[kind](), kind)])
             continue
         other = r.choice(("list", "table", "junk"))
-        a, b = prose()[:1500], make[other]()
-        first, second = (a, b) if r.random() < 0.8 else (b, a)
-        if 0.85 < len(a) / max(1, len(b)) < 1.15:
-            continue
-        out.append((first + "\n" + second, "prose" if len(a) > len(b) else other))
+        doc = [(prose(), "prose"), (make[other](), other)]
+        out.append(doc if r.random() < 0.8 else doc[::-1])
     return out
 
 
@@ -232,26 +231,28 @@ def _covers(rule: Rule, x: np.ndarray) -> np.ndarray:
     return m
 
 
-def _grow(x: np.ndarray, y: np.ndarray, most: int = 4) -> Rule:
+def _grow(x: np.ndarray, y: np.ndarray, w: np.ndarray, most: int = 5) -> Rule:
     """Conditions added one at a time, each of the greatest information gain."""
     rule: Rule = []
     inside = np.ones(len(x), bool)
     while len(rule) < most and (inside & ~y).any():
-        p0, n0 = (inside & y).sum(), inside.sum()
+        p0, n0 = w[inside & y].sum(), w[inside].sum()
         best = (1e-9, None)
+        wi, yi = w[inside], w[inside] * y[inside]
         for f in range(x.shape[1]):
             v = x[inside, f]
-            grid = np.unique(np.quantile(v, np.linspace(0.03, 0.97, 32)))
-            pos = v[y[inside]]
-            for op in (">=", "<"):
-                hit = (v[:, None] >= grid) if op == ">=" else (v[:, None] < grid)
-                p = ((pos[:, None] >= grid) if op == ">=" else (pos[:, None] < grid)).sum(0)
-                n = hit.sum(0)
+            order = np.argsort(v, kind="stable")
+            s = v[order]
+            edge = np.flatnonzero(np.diff(s)) + 1  # a threshold before each new value
+            if not len(edge):
+                continue
+            n, p = np.cumsum(wi[order])[edge - 1], np.cumsum(yi[order])[edge - 1]
+            for op, pp, nn in (("<", p, n), (">=", p0 - p, n0 - n)):
                 with np.errstate(divide="ignore", invalid="ignore"):
-                    gain = np.where(p > 0, p * (np.log2(p / np.maximum(n, 1)) - np.log2(p0 / n0)), -1)
+                    gain = np.where(pp > 1e-9, pp * (np.log2(pp / np.maximum(nn, 1e-12)) - np.log2(p0 / n0)), -1)
                 i = int(np.argmax(gain))
                 if gain[i] > best[0]:
-                    best = (gain[i], (f, op, float(grid[i])))
+                    best = (gain[i], (f, op, float((s[edge[i] - 1] + s[edge[i]]) / 2)))
         if best[1] is None:
             break
         rule.append(best[1])
@@ -259,23 +260,26 @@ def _grow(x: np.ndarray, y: np.ndarray, most: int = 4) -> Rule:
     return rule
 
 
-def induce(x: np.ndarray, y: np.ndarray, classes: tuple[str, ...] = KINDS, seed: int = 3) -> list[tuple[str, Rule]]:
-    """Ordered rules (class, conditions); the last class is the default and has none."""
+def induce(x: np.ndarray, y: np.ndarray, w: np.ndarray | None = None, classes: tuple[str, ...] = KINDS, seed: int = 3) -> list[tuple[str, Rule]]:
+    """Ordered rules (class, conditions) from rows of weights w; the last class is the default and has none."""
     out: list[tuple[str, Rule]] = []
     rng = np.random.default_rng(seed)
+    w = np.ones(len(x)) if w is None else w
     left = np.ones(len(x), bool)
     for c in classes[:-1]:
-        for _ in range(12):
+        failed = 0
+        while failed < 3 and len(out) < 60:  # another split may find what one missed
             idx = rng.permutation(np.flatnonzero(left))
             if not (y[idx] == c).any():
                 break
             g, p = idx[: len(idx) * 2 // 3], idx[len(idx) * 2 // 3 :]
-            rule = _grow(x[g], y[g] == c)
-            value = lambda r: (lambda m: ((m & (y[p] == c)).sum() - (m & (y[p] != c)).sum()) / max(1, m.sum()))(_covers(r, x[p]))  # noqa: B023, E731
+            rule = _grow(x[g], y[g] == c, w[g])
+            value = lambda r: (lambda m: (w[p][m & (y[p] == c)].sum() - w[p][m & (y[p] != c)].sum()) / max(1e-9, w[p][m].sum()))(_covers(r, x[p]))  # noqa: B023, E731
             rule = max((rule[: i + 1] for i in range(len(rule))), key=value, default=[])  # of equals the shortest
             hit = _covers(rule, x) & left
-            if not rule or value(rule) < 0.6 or (_covers(rule, x[p]) & (y[p] == c)).sum() < 4 or not (hit & (y == c)).any():
-                break
+            if not rule or value(rule) < 0.85 or (_covers(rule, x[p]) & (y[p] == c)).sum() < 4 or not (hit & (y == c)).any():
+                failed += 1
+                continue
             out.append((c, rule))
             left &= ~hit
     return [*out, (classes[-1], [])]
@@ -283,16 +287,26 @@ def induce(x: np.ndarray, y: np.ndarray, classes: tuple[str, ...] = KINDS, seed:
 
 def to_sql(rules: list[tuple[str, Rule]], names: tuple[str, ...] = FEATURES) -> str:
     """The rule list as a CASE expression."""
-    when = " ".join(f"WHEN {' AND '.join(f'{names[f]} {op} {v!r}D' for f, op, v in r)} THEN '{c}'" for c, r in rules if r)
+    when = " ".join(f"WHEN {' AND '.join(f'{names[f]} {op} {float(v)!r}D' for f, op, v in r)} THEN '{c}'" for c, r in rules if r)
     return f"CASE {when} ELSE '{rules[-1][0]}' END" if when else f"'{rules[-1][0]}'"
 
 
 def learn(texts: Iterable[str], common: list[str]) -> str:
-    """The CASE expression learned from documents made of the texts."""
-    words = frozenset(common)
-    made = labelled(sorted(texts), words)
-    x = np.array([text_statistics(t, words)[len(STATISTICS):] for t, _ in made])
-    return to_sql(induce(x, np.array([k for _, k in made])))
+    """The CASE expression over a line's statistics, learned from documents made of the texts."""
+    x, y, w = lines_of(labelled(sorted(texts), frozenset(common)), frozenset(common))
+    return to_sql(induce(x, y, w))
+
+
+def lines_of(docs: list[list[tuple[str, str]]], common: frozenset[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """FEATURES, kind and weight of each line; a document's lines weigh 1 together, each by its length."""
+    x, y, w = [], [], []
+    for doc in docs:
+        rows = line_statistics("\n".join(t for t, _ in doc), common)[1]
+        total = sum(v[0] for v in rows)
+        x += rows
+        y += [k for t, k in doc for p in _LINES.split(t) if p.strip()]
+        w += [v[0] / total for v in rows]
+    return np.array(x), np.array(y), np.array(w)
 
 
 def classify(df: DataFrame, common_word: DataFrame, key: str = "chunk_id", text: str = "chunk_text") -> DataFrame:
@@ -300,8 +314,20 @@ def classify(df: DataFrame, common_word: DataFrame, key: str = "chunk_id", text:
     common = common_words(common_word)
     sample = hash_sample(df.select(F.col(key).alias("k"), F.col(text).alias("t")).where("length(t) > 120"), df.count(), "k", SAMPLE).select("t").collect()
     case = learn([r[0] for r in sample], common)
-    kind = F.when(F.col("words") + F.col("symbol_ratio") == 0, F.lit("junk")).otherwise(F.expr(case))
-    return statistics(df, common, key, text).withColumn("text_kind", kind).drop(*FEATURES)
+    # the CASE expression, on the numbers of line i of the flat array
+    width = len(FEATURES)
+    at = {c: f"x[{j}]" for j, c in enumerate(FEATURES)}
+    on_line = re.sub(r"\b(?:" + "|".join(sorted(FEATURES, key=len, reverse=True)) + r")\b(?= [><])", lambda m: at[m[0]], case)
+    kinds = F.expr(f"transform(sequence(0, size(lines) - 1, {width}), i -> transform(array(slice(lines, i + 1, {width})), x -> struct(x[0] as chars, {on_line} as kind))[0])")
+    rows = statistics(df, common, key, text).withColumn("kinds", F.when(F.size("lines") > 0, kinds))
+    share = {k: F.expr(f"aggregate(kinds, 0D, (s, v) -> s + if(v.kind = '{k}', double(v.chars), 0D))") for k in KINDS}
+    for k, c in share.items():
+        rows = rows.withColumn(f"_{k}", c)
+    other = F.greatest("_junk", "_table", "_list")
+    kind = F.when(F.col("kinds").isNull(), "junk").when(F.col("_prose") >= F.col("_junk") + F.col("_table") + F.col("_list"), "prose")
+    for k in KINDS[:-1]:
+        kind = kind.when(F.col(f"_{k}") == other, k)
+    return rows.select(key, *STATISTICS, kind.alias("text_kind"))
 
 
 def document_statistics(chunk: DataFrame, common_word: DataFrame) -> DataFrame:
