@@ -18,7 +18,7 @@ from __future__ import annotations
 
 import random
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -43,9 +43,8 @@ _GAP = re.compile(r"\||\t|;|\S {2,}(?=\S)")
 _BULLET = re.compile(r"(?:[-–—*•◦▪·+☐☑□■→‣✓]|\(?[0-9]{1,3}[.)]|\(?[a-zA-Z][.)])\s+(?=\S)")
 _END = re.compile(r"[.!?。！？।…][\"'”’»)\]」』]*(?:\s*\[[^\]]*\])?$")
 _PUNCTUATED = re.compile(r"[.!?。！？।…,;:][\"'”’»)\]」』]*$")
-_WORDLIKE = re.compile(r"[^\W_]+")
-_DIGITS = re.compile(r"\d+")
-_LETTERS = re.compile(r"[^\W\d_]{3,}")
+_SYMBOLS = re.compile(r"[\W_]+")
+_ASCII_SYMBOLS = bytes(i for i in range(33, 127) if not chr(i).isalnum())
 
 
 def common_words(common: DataFrame) -> list[str]:
@@ -53,31 +52,34 @@ def common_words(common: DataFrame) -> list[str]:
     return sorted({r[0].strip().lower() for r in common.select("word").where("word is not null").collect()} - {""})
 
 
-def _line(line: str, common: frozenset[str]) -> list[float]:
-    """The statistics of a line by itself, in the order of FEATURES, without those that need its neighbours."""
-    tokens = line.split()
-    n = len(tokens)
-    chars = "".join(tokens)
+def _line(line: str, common: frozenset[str]) -> tuple[list[float], tuple[float, ...]]:
+    """The statistics of a line by itself, in the order of FEATURES, and its numbers of words, of their letters, of symbols and of common words."""
+    chars = "".join(line.split())
     c = len(chars)
-    plain = chars.isascii()
-    rest = _WORDLIKE.sub("", chars)
-    script = 0 if plain else len(_OTHER.findall(chars))
-    signs = len(_OTHER.findall(rest)) if script else 0  # vowel signs and the like are letters
-    symbols = len(rest) - signs
-    digits = sum(map(len, _DIGITS.findall(chars)))
-    known = capitals = mixed = longest = 0
-    for t in tokens:
-        if len(t) > longest:
-            longest = len(t)
-        w = t.strip(".,;:()[]\"'|")
-        if not w:
-            continue
-        if w.isalpha():
-            known += w.lower() in common
+    words = _WORD.findall(line)
+    n = len(words)
+    length = sum(map(len, words))
+    known = len(list(filter(common.__contains__, map(str.lower, words))))
+    capitals = mixed = letters = 0
+    for w in words:
+        if w.isalpha() or not any(map(str.isdigit, w)):
+            letters += len(w) if len(w) > 2 else 0
             capitals += w[0].isupper()
         elif not w.isdigit():
-            mixed += any(map(str.isdigit, w)) and any(map(str.isalpha, w)) or sum(not x.isalnum() for x in w) > 1
-    return [c, n, c / n, symbols / c, known / n, digits / c, (c - len(rest) - digits + signs) / c, (sum(map(len, _LETTERS.findall(chars if script else line))) + signs) / c, capitals / n, mixed / n, longest, len(_GAP.findall(line)), _BULLET.match(line) is not None, _END.search(line) is not None, _PUNCTUATED.search(line) is not None]
+            mixed += 1
+    if chars.isascii():
+        symbols, script, signs = c - len(chars.encode().translate(None, _ASCII_SYMBOLS)), 0, 0
+    else:
+        rest = "".join(_SYMBOLS.findall(chars))
+        script = len(_OTHER.findall(chars))
+        signs = len(_OTHER.findall(rest)) if script else 0  # vowel signs and the like are letters
+        symbols = len(rest) - signs
+    digits = sum(map(chars.count, "0123456789"))
+    longest = max(map(len, line.split()))
+    gaps = len(_GAP.findall(line)) if "|" in line or "\t" in line or ";" in line or "  " in line else 0
+    m = max(1, n)
+    own = [c, n, length / m, symbols / c, known / m, digits / c, (c - symbols - digits) / c, (letters + signs) / c, capitals / m, mixed / m, longest, gaps, _BULLET.match(line) is not None, _END.search(line, max(0, len(line) - 60)) is not None, _PUNCTUATED.search(line, max(0, len(line) - 60)) is not None]
+    return own, (n, length, symbols, known, script)
 
 
 def line_statistics(text: str | None, common: frozenset[str]) -> tuple[tuple[float, ...], list[tuple[float, ...]]]:
@@ -86,27 +88,20 @@ def line_statistics(text: str | None, common: frozenset[str]) -> tuple[tuple[flo
         return (0,) + (0.0,) * (len(STATISTICS) - 1), []
     lines = [x for x in map(str.strip, _LINES.split(text)) if x]
     own = [_line(x, common) for x in lines]
-    words = _WORD.findall(text)
-    n = max(1, len(words))
-    known = sum(w in common for w in map(str.lower, words)) / n
-    chars = "".join(text.split())
-    rest = _WORDLIKE.sub("", chars)
-    symbols = len(rest) - (len(_OTHER.findall(rest)) if not chars.isascii() else 0)
-    length = sum(map(len, words)) / n
-    share = sum(v[14] for v in own) / len(own)
-    doc = (len(words), length, symbols / len(chars), share, known)
+    n, length, symbols, known, _ = map(sum, zip(*(s for _, s in own)))
+    doc = (n, length / max(1, n), symbols / sum(v[0] for v, _ in own), sum(v[14] for v, _ in own) / len(own), known / max(1, n))
     out = []
-    ended, before = 1.0, 0.0
-    for x, v in zip(lines, own):
-        script = 0.0 if x.isascii() else len(_OTHER.findall(x)) / len(x)
-        out.append((*map(float, v), ended, before, float(x[0].islower()), script, *map(float, doc), float(len(lines))))
-        ended, before = float(v[13]), float(v[0])
+    ended, before = 1, 0
+    for x, (v, s) in zip(lines, own):
+        out.append((*v, ended, before, x[0].islower(), s[4] / v[0], *doc, len(lines)))
+        ended, before = v[13], v[0]
     return doc, out
 
 
-def statistics(df: DataFrame, common: list[str], key: str = "chunk_id", text: str = "chunk_text") -> DataFrame:
-    """key, STATISTICS and lines (an array of FEATURES) of every row of df."""
+def statistics(df: DataFrame, common: list[str], key: str = "chunk_id", text: str = "chunk_text", used: Iterable[str] = FEATURES) -> DataFrame:
+    """key, STATISTICS and lines (the used FEATURES of one line after another, a flat array) of every row of df."""
     words = frozenset(common)
+    at = [FEATURES.index(c) for c in used]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -115,8 +110,9 @@ def statistics(df: DataFrame, common: list[str], key: str = "chunk_id", text: st
             docs, lines = zip(*(line_statistics(t, words) for t in b["t"]))
             out = pd.DataFrame(docs, columns=list(STATISTICS))
             out.insert(0, "k", b["k"].to_numpy())
-            # the lines' statistics one after another: a flat array of numbers costs far less to pass on than one of structs
-            out["lines"] = [np.array(x, np.float32).ravel() for x in lines]
+            # a flat array of numbers costs far less to pass on than one of structs
+            every = np.array([v for x in lines for v in x], np.float32).reshape(-1, len(FEATURES))[:, at].ravel()
+            out["lines"] = np.split(every, np.cumsum([len(x) * len(at) for x in lines])[:-1])
             yield out
 
     src = df.select(F.col(key).alias("k"), F.col(text).alias("t"))
@@ -131,11 +127,11 @@ def _is_seed(text: str, common: frozenset[str]) -> bool:
     """Whether a text is prose beyond doubt: nearly all of it stands in long lines of common words, or of another script, that close with a mark or go on."""
     doc, lines = line_statistics(text, common)
     whole = sum(v[0] for v in lines)
-    plain = sum(v[0] for v in lines if v[1] > 7 and v[10] < 40 and v[11] < 3 and not v[12] and (v[4] > 0.1 and v[6] > 0.7 or v[13] and v[7] > 0.35) or v[18] > 0.3 and v[0] > 25 and not v[12])
+    plain = sum(v[0] for v in lines if v[1] > 7 and v[10] < 60 and (v[11] < 3 or v[4] > 0.1) and not v[12] and (v[4] > 0.1 and v[6] > 0.7 or v[13] and v[7] > 0.35) or v[18] > 0.3 and v[0] > 25 and not v[12])
     return len(text) > 120 and plain > 0.9 * whole
 
 
-def labelled(texts: list[str], common: frozenset[str], n: int = 3000, seed: int = 7) -> list[list[tuple[str, str]]]:
+def labelled(texts: list[str], common: frozenset[str], n: int = 4000, seed: int = 7) -> list[list[tuple[str, str]]]:
     """n made documents, each a list of (lines, kind), from a bounded list of texts of the corpus."""
     r = random.Random(seed)
     plain = [t for t in texts if _is_seed(t, common)] or ["No text was given here, so this sentence stands for prose. It was written by hand."]
@@ -268,7 +264,7 @@ def induce(x: np.ndarray, y: np.ndarray, w: np.ndarray | None = None, classes: t
     left = np.ones(len(x), bool)
     for c in classes[:-1]:
         failed = 0
-        while failed < 3 and len(out) < 60:  # another split may find what one missed
+        while failed < 8 and len(out) < 60:  # another split may find what one missed
             idx = rng.permutation(np.flatnonzero(left))
             if not (y[idx] == c).any():
                 break
@@ -277,7 +273,7 @@ def induce(x: np.ndarray, y: np.ndarray, w: np.ndarray | None = None, classes: t
             value = lambda r: (lambda m: (w[p][m & (y[p] == c)].sum() - w[p][m & (y[p] != c)].sum()) / max(1e-9, w[p][m].sum()))(_covers(r, x[p]))  # noqa: B023, E731
             rule = max((rule[: i + 1] for i in range(len(rule))), key=value, default=[])  # of equals the shortest
             hit = _covers(rule, x) & left
-            if not rule or value(rule) < 0.85 or (_covers(rule, x[p]) & (y[p] == c)).sum() < 4 or not (hit & (y == c)).any():
+            if not rule or value(rule) < 0.9 or (_covers(rule, x[p]) & (y[p] == c)).sum() < 4 or not (hit & (y == c)).any():
                 failed += 1
                 continue
             out.append((c, rule))
@@ -285,16 +281,17 @@ def induce(x: np.ndarray, y: np.ndarray, w: np.ndarray | None = None, classes: t
     return [*out, (classes[-1], [])]
 
 
-def to_sql(rules: list[tuple[str, Rule]], names: tuple[str, ...] = FEATURES) -> str:
-    """The rule list as a CASE expression."""
-    when = " ".join(f"WHEN {' AND '.join(f'{names[f]} {op} {float(v)!r}D' for f, op, v in r)} THEN '{c}'" for c, r in rules if r)
-    return f"CASE {when} ELSE '{rules[-1][0]}' END" if when else f"'{rules[-1][0]}'"
+def to_sql(rules: list[tuple[str, Rule]], names: Sequence[str] = FEATURES, values: dict[str, str] | None = None) -> str:
+    """The rule list as a CASE expression over names; values: what it gives for each class instead of its name."""
+    value = values or {c: f"'{c}'" for c, _ in rules}
+    when = " ".join(f"WHEN {' AND '.join(f'{names[f]} {op} {float(v)!r}F' for f, op, v in r)} THEN {value[c]}" for c, r in rules if r)
+    return f"CASE {when} ELSE {value[rules[-1][0]]} END" if when else value[rules[-1][0]]
 
 
-def learn(texts: Iterable[str], common: list[str]) -> str:
-    """The CASE expression over a line's statistics, learned from documents made of the texts."""
+def learn(texts: Iterable[str], common: list[str]) -> list[tuple[str, Rule]]:
+    """The rules over a line's statistics, learned from documents made of the texts."""
     x, y, w = lines_of(labelled(sorted(texts), frozenset(common)), frozenset(common))
-    return to_sql(induce(x, y, w))
+    return induce(x, y, w)
 
 
 def lines_of(docs: list[list[tuple[str, str]]], common: frozenset[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -310,24 +307,21 @@ def lines_of(docs: list[list[tuple[str, str]]], common: frozenset[str]) -> tuple
 
 
 def classify(df: DataFrame, common_word: DataFrame, key: str = "chunk_id", text: str = "chunk_text") -> DataFrame:
-    """key, STATISTICS and text_kind of every row. Null and blank texts are junk: they hold no statement."""
+    """key, STATISTICS and text_kind of every row, repeated ones once. Null and blank texts are junk: they hold no statement."""
     common = common_words(common_word)
     sample = hash_sample(df.select(F.col(key).alias("k"), F.col(text).alias("t")).where("length(t) > 120"), df.count(), "k", SAMPLE).select("t").collect()
-    case = learn([r[0] for r in sample], common)
-    # the CASE expression, on the numbers of line i of the flat array
-    width = len(FEATURES)
-    at = {c: f"x[{j}]" for j, c in enumerate(FEATURES)}
-    on_line = re.sub(r"\b(?:" + "|".join(sorted(FEATURES, key=len, reverse=True)) + r")\b(?= [><])", lambda m: at[m[0]], case)
-    kinds = F.expr(f"transform(sequence(0, size(lines) - 1, {width}), i -> transform(array(slice(lines, i + 1, {width})), x -> struct(x[0] as chars, {on_line} as kind))[0])")
-    rows = statistics(df, common, key, text).withColumn("kinds", F.when(F.size("lines") > 0, kinds))
-    share = {k: F.expr(f"aggregate(kinds, 0D, (s, v) -> s + if(v.kind = '{k}', double(v.chars), 0D))") for k in KINDS}
-    for k, c in share.items():
-        rows = rows.withColumn(f"_{k}", c)
-    other = F.greatest("_junk", "_table", "_list")
-    kind = F.when(F.col("kinds").isNull(), "junk").when(F.col("_prose") >= F.col("_junk") + F.col("_table") + F.col("_list"), "prose")
-    for k in KINDS[:-1]:
-        kind = kind.when(F.col(f"_{k}") == other, k)
-    return rows.select(key, *STATISTICS, kind.alias("text_kind"))
+    rules = learn([r[0] for r in sample], common)
+    used = ["chars", *sorted({FEATURES[f] for _, r in rules for f, _, _ in r} - {"chars"})]
+    # the flat array holds the numbers of one line after another; a row for each, summed up again before anything moves
+    case = to_sql(rules, [f"lines[i + {used.index(c)}]" if c in used else "" for c in FEATURES])
+    each = statistics(df, common, key, text, used).select(key, *STATISTICS, F.explode(F.expr(f"if(size(lines) > 0, sequence(0, size(lines) - 1, {len(used)}), array(-1))")).alias("i"), "lines")
+    each = each.select(key, *STATISTICS, F.expr(f"if(i < 0, null, {case})").alias("kind"), F.expr("if(i < 0, 0F, lines[i])").cast("double").alias("chars"))
+    sums = each.groupBy(key, *STATISTICS).agg(*[F.sum(F.when(F.col("kind") == k, F.col("chars")).otherwise(F.lit(0.0))).alias(f"_{k}") for k in KINDS])
+    others = [F.col(f"_{k}") for k in KINDS[:-1]]
+    kind = F.when(sum(others, F.col("_prose")) == 0, "junk").when(F.col("_prose") >= sum(others, F.lit(0.0)), "prose")
+    for k, c in zip(KINDS, others):
+        kind = kind.when(c == F.greatest(*others), k)
+    return sums.select(key, *STATISTICS, kind.alias("text_kind"))
 
 
 def document_statistics(chunk: DataFrame, common_word: DataFrame) -> DataFrame:

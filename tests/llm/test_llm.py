@@ -136,7 +136,7 @@ def test_quality(spark, data):
     assert s["prose"]["words"] == 76 and s["prose"]["punctuated_line_share"] == 1.0 and s["null"]["words"] == 0
     assert quality.found(extra.where("false"), w).count() == 0
     texts = [r[0] for r in c.where("content_type = 'prose'").orderBy("chunk_id").select("chunk_text").collect()]
-    case = quality.learn(texts, quality.common_words(w))
+    case = quality.to_sql(quality.learn(texts, quality.common_words(w)))
     assert case.startswith("CASE WHEN") and sum(x in case for x in quality.STATISTICS) >= 3
 
 
