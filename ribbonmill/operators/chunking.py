@@ -44,37 +44,36 @@ def breadcrumbs(secs: DataFrame, titles: DataFrame | None = None, key: str = "do
     return x.select(*secs.columns, F.coalesce("_1.heading", title).alias("section_h1"), F.when(no(2) > no(1), F.col("_2.heading")).alias("section_h2"), F.when((no(3) > no(2)) & (no(3) > no(1)), F.col("_3.heading")).alias("section_h3"))
 
 
-def suppressed(secs: DataFrame, key: str = "doc_id") -> DataFrame:
-    """key, section_no, suppressed: whether the section lies under a junk heading.
+def with_suppressed(secs: DataFrame, key: str = "doc_id") -> DataFrame:
+    """secs with suppressed: whether the section lies under a junk heading.
 
-    An ordered fold over a document's headings: a heading of the same or a higher level that is no junk
-    ends a suppression, a junk heading starts or widens one.
+    A junk heading suppresses what follows up to a heading of its level or a higher one that is no junk, so a
+    section is suppressed if, for some level, the last junk heading of that level comes after the last other
+    heading of that level or a higher one.
     """
-    item = F.struct("section_no", "level", is_junk_heading(F.col("heading")).alias("junk"))
-    folded = F.aggregate(
-        F.array_sort(F.collect_list(item)),
-        F.struct(F.lit(0).alias("j"), F.array().cast("array<struct<section_no:int,suppressed:boolean>>").alias("out")),
-        lambda a, x: F.transform(
-            F.array(F.when(x["junk"], F.when(a["j"] == 0, x["level"]).otherwise(F.least(a["j"], x["level"]))).when((a["j"] > 0) & (x["level"] <= a["j"]), F.lit(0)).otherwise(a["j"])),
-            lambda j: F.struct(j.alias("j"), F.concat(a["out"], F.array(F.struct(x["section_no"].cast("int").alias("section_no"), (j > 0).alias("suppressed")))).alias("out")),
-        )[0],
-        lambda a: a["out"],
-    )
-    return secs.groupBy(key).agg(folded.alias("o")).select(key, F.inline("o"))
+    w = Window.partitionBy(key).orderBy("section_no").rowsBetween(Window.unboundedPreceding, 0)
+    junk, level = is_junk_heading(F.col("heading")), F.col("level")
+    last = lambda hit: F.coalesce(F.max(F.when(hit, F.col("section_no"))).over(w), F.lit(-1))
+    under = [last(junk & (level == i)) > last(~junk & (level <= i)) for i in (1, 2, 3)]
+    return secs.withColumn("suppressed", under[0] | under[1] | under[2])
+
+
+def suppressed(secs: DataFrame, key: str = "doc_id") -> DataFrame:
+    """key, section_no, suppressed."""
+    return with_suppressed(secs, key).select(key, F.col("section_no").cast("int").alias("section_no"), "suppressed")
 
 
 def pack(pieces: Column, most: int, joiner: str) -> Column:
-    """Pieces put together in order while a group stays within ``most`` tokens; a larger piece stays whole."""
+    """Pieces put together in order while a group stays within ``most`` tokens; a larger piece stays whole. The joiner is white space, so counts add up."""
     empty = F.array().cast("array<string>")
-    both = lambda cur, x: F.when(cur == "", x).otherwise(F.concat(cur, F.lit(joiner), x))
-    return F.aggregate(
-        pieces,
-        F.struct(empty.alias("done"), F.lit("").alias("cur")),
-        lambda a, x: F.when(
-            (a["cur"] == "") | (token_count(both(a["cur"], x)) <= most), F.struct(a["done"].alias("done"), both(a["cur"], x).alias("cur"))
-        ).otherwise(F.struct(F.concat(a["done"], F.array(a["cur"])).alias("done"), x.alias("cur"))),
-        lambda a: F.when(a["cur"] == "", a["done"]).otherwise(F.concat(a["done"], F.array(a["cur"]))),
-    )
+    first = F.struct(empty.alias("done"), F.lit("").alias("cur"), F.lit(0).alias("n"))
+
+    def step(a: Column, x: Column) -> Column:
+        grown = F.struct(a["done"].alias("done"), F.when(a["cur"] == "", x).otherwise(F.concat(a["cur"], F.lit(joiner), x)).alias("cur"), (a["n"] + token_count(x)).cast("int").alias("n"))
+        anew = F.struct(F.array_append(a["done"], a["cur"]).alias("done"), x.alias("cur"), token_count(x).cast("int").alias("n"))
+        return F.when((a["cur"] == "") | (a["n"] + token_count(x) <= most), grown).otherwise(anew)
+
+    return F.aggregate(pieces, first, step, lambda a: F.when(a["cur"] == "", a["done"]).otherwise(F.array_append(a["done"], a["cur"])))
 
 
 def subsplit(body: Column, most: int = 512) -> Column:
@@ -99,7 +98,7 @@ def chunk_documents(docs: DataFrame, metadata: DataFrame | None = None, key: str
 
     secs = sections(docs, key, text)
     titles = metadata.select(key, "title") if metadata is not None and "title" in metadata.columns else None
-    x = breadcrumbs(secs, titles, key).join(suppressed(secs, key), [key, "section_no"]).where("NOT suppressed AND body != ''")
+    x = breadcrumbs(with_suppressed(secs, key), titles, key).where("NOT suppressed AND body != ''")
     x = x.select(key, "section_no", "section_h1", "section_h2", "section_h3", F.posexplode(subsplit(F.col("body"), most)).alias("sub", "chunk_text"))
     x = x.where(~is_table_noise(F.col("chunk_text"))).withColumn("content_type", content_type(F.col("chunk_text"))).withColumn("token_count", token_count(F.col("chunk_text")))
     x = x.where((F.col("token_count") >= least) | (F.col("content_type") == "figure_caption"))

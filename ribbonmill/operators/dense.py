@@ -35,31 +35,69 @@ def search(queries: DataFrame, vectors: DataFrame, k: int = 50, query: str = "qu
     return out.select(F.col("query").alias(query), F.col("id").alias(key), "score", "rank")
 
 
-def approximate(queries: DataFrame, vectors: DataFrame, k: int = 10, query: str = "query_id", key: str = "chunk_id", vector: str = "vector", tables: int = 24, bits: int = 4, seed: int = 17) -> DataFrame:
-    """Approximate search: sign random projections of ``bits`` bits in ``tables`` tables, equal buckets are compared exactly.
+#: Bound of the sample of vectors on which the lists' centres are fitted.
+SAMPLE = 20_000
 
-    The planes come from the seed, so nothing is fitted. A bucket joins queries with rows of its own only;
-    both sides are salted by nothing but the table, as queries are few. Recall is measured by ``agreement``.
+
+def centres(vectors: DataFrame, k: int = 10, vector: str = "vector", lists: int | None = None, recall: float = 0.95, seed: int = 17) -> tuple[np.ndarray, int]:
+    """Centres of an inverted file's lists, and how many of its nearest lists a query must probe.
+
+    The centres are the means of a k-means of unit vectors on at most SAMPLE of them, about the root of their
+    number. The number of probes is the least by which as many sampled vectors, as queries against the sample, find
+    the share ``recall`` of their k nearest; vectors without structure need most lists, clustered ones a few.
     """
-    dim = vectors.select(F.size(vector)).first()
-    planes = np.random.default_rng(seed).standard_normal((tables * bits, dim[0] if dim else 1))
+    rows = vectors.select(F.col(vector).cast("array<double>").alias("v")).where("v is not null")
+    n = rows.count()
+    rows = rows.orderBy(F.xxhash64("v")).limit(SAMPLE) if n > SAMPLE else rows
+    x = np.array([r[0] for r in rows.collect()]) if n else np.zeros((1, 1))
+    order = np.random.default_rng(seed).permutation(len(x))
+    c = x[order[: lists or max(1, min(1024, round(len(x) ** 0.5)))]]
+    for _ in range(8):
+        near = (x @ c.T).argmax(1)
+        s = np.zeros_like(c)
+        np.add.at(s, near, x)
+        length = np.linalg.norm(s, axis=1, keepdims=True)
+        c = np.where(length > 0, s / np.maximum(length, 1e-12), c)
+    asked = x[order[-500:]]
+    best = np.argsort(-(asked @ x.T), axis=1, kind="stable")[:, :k]
+    at = np.argsort(np.argsort(-(asked @ c.T), axis=1, kind="stable"), axis=1)  # the rank of each list for each query
+    near = (x @ c.T).argmax(1)
+    rank = np.sort(at[np.arange(len(asked))[:, None], near[best]].ravel())
+    return c, int(rank[min(len(rank) - 1, int(np.ceil(recall * len(rank))))]) + 1
+
+
+def approximate(queries: DataFrame, vectors: DataFrame, k: int = 10, query: str = "query_id", key: str = "chunk_id", vector: str = "vector", lists: int | None = None, recall: float = 0.95) -> DataFrame:
+    """Approximate search by an inverted file: every vector is in the list of its nearest centre, and a query is compared exactly with as many lists as reach ``recall`` on a sample.
+
+    Only rows in the lists probed are compared, and each task passes on k a query of them; recall is measured by
+    ``agreement``. Queries are taken in blocks, as in the exact search.
+    """
+    c, probes = centres(vectors, k, vector, lists, recall)
+    kinds = dict(queries.dtypes)[query], dict(vectors.dtypes)[key]
+    src = vectors.select(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("v")).where("v is not null")
+    asked = queries.select(F.col(query).alias("q"), F.col(vector).cast("array<double>").alias("v")).where("v is not null")
+    parts = []
+    for rows in topk.blocks(asked, "q"):
+        names, m = [r["q"] for r in rows], np.array([r["v"] for r in rows])
+        probed = np.argsort(-(m @ c.T), axis=1, kind="stable")[:, :probes]
+        by_list = {j: np.flatnonzero((probed == j).any(1)) for j in range(len(c))}
 
-    def keyed(df: DataFrame, idc: str) -> DataFrame:
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def run(batches: Iterator[pd.DataFrame], m=m, names=names, by_list=by_list) -> Iterator[pd.DataFrame]:
             for b in batches:
                 if not len(b):
                     continue
-                s = (np.stack(b["v"].to_numpy()) @ planes.T > 0).reshape(len(b), tables, bits)
-                code = (s * (1 << np.arange(bits))).sum(2) + np.arange(tables) * (1 << bits)
-                yield pd.DataFrame({"id": np.repeat(b["id"].to_numpy(), tables), "code": code.ravel()})
-
-        src = df.select(F.col(idc).alias("id"), F.col(vector).cast("array<double>").alias("v")).where("v is not null")
-        return src.mapInPandas(run, f"id {dict(df.dtypes)[idc]}, code long")
+                x, ids = np.stack(b["v"].to_numpy()), b["id"].to_numpy()
+                near = (x @ c.T).argmax(1)
+                for j in np.unique(near):
+                    at, q = np.flatnonzero(near == j), by_list[int(j)]
+                    if len(q):
+                        yield topk.candidates(ids[at], m[q] @ x[at].T, [names[i] for i in q], k)
 
-    pairs = keyed(queries, query).withColumnRenamed("id", query).join(keyed(vectors, key).withColumnRenamed("id", key), "code").select(query, key).distinct()
-    full = pairs.join(queries.select(query, F.col(vector).alias("_q")), query).join(vectors.select(key, F.col(vector).alias("_v")), key)
-    score = F.round(F.aggregate(F.zip_with("_q", "_v", lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda a, x: a + x), 6)
-    return topk.ranked(full.select(query, key, score.alias("score")), query, key, k)
+        parts.append(src.mapInPandas(run, f"query {kinds[0]}, id {kinds[1]}, score double"))
+    if not parts:
+        return search(queries, vectors, k, query, vector, key, vector)
+    out = topk.ranked(reduce(DataFrame.union, parts), "query", "id", k)
+    return out.select(F.col("query").alias(query), F.col("id").alias(key), "score", "rank")
 
 
 def agreement(exact: DataFrame, other: DataFrame, query: str = "query_id", key: str = "chunk_id") -> DataFrame:

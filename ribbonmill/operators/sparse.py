@@ -2,18 +2,14 @@
 
 from __future__ import annotations
 
-from collections import Counter
-from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import reduce
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ribbonmill.functions import tokens
 from ribbonmill.operators import topk
+from ribbonmill.session import cut
 
 
 @dataclass(frozen=True)
@@ -35,53 +31,42 @@ def lengths(df: DataFrame, key: str = "chunk_id", text: str = "chunk_text") -> D
     return df.select(key, F.size(tokens(F.col(text))).cast("long").alias("dl"))
 
 
+def corpus_stats(df: DataFrame, text: str = "chunk_text", p: BM25 = BM25()) -> DataFrame:
+    """term, df, idf, mean (tokens of a text) of every term, in one pass over the texts; a negative idf is replaced by epsilon times the mean over all terms."""
+    t = df.select(tokens(F.col(text)).alias("t"))
+    each = F.concat(F.array(F.struct(F.lit(None).cast("string").alias("term"), F.size("t").alias("dl"))), F.transform(F.array_distinct("t"), lambda x: F.struct(x.alias("term"), F.lit(0).alias("dl"))))
+    # a text counts once for each of its terms and once, with its length, for none
+    d = cut(t.select(F.explode(each).alias("x")).groupBy("x.term").agg(F.count("*").alias("df"), F.sum("x.dl").alias("dl")))
+    total = d.where("term is null").select(F.col("df").alias("n"), (F.col("dl") / F.col("df")).alias("mean"))  # one row
+    raw = d.where("term is not null").crossJoin(F.broadcast(total)).withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
+    low = raw.select((p.epsilon * F.avg("raw")).alias("low"))  # one row
+    idf = F.when(F.col("raw") < 0, F.col("low")).otherwise(F.col("raw"))
+    return raw.crossJoin(F.broadcast(low)).select("term", "df", idf.alias("idf"), "mean")
+
+
 def term_stats(df: DataFrame, text: str = "chunk_text", p: BM25 = BM25()) -> DataFrame:
-    """term, df, idf of every term; a negative idf is replaced by epsilon times the mean over all terms."""
-    n = df.select(F.count("*").alias("n"))  # one row
-    d = df.select(F.explode(F.array_distinct(tokens(F.col(text)))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
-    raw = d.crossJoin(F.broadcast(n)).withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
-    mean = raw.select(F.avg("raw").alias("mean"))  # one row
-    idf = F.when(F.col("raw") < 0, p.epsilon * F.col("mean")).otherwise(F.col("raw"))
-    return raw.crossJoin(F.broadcast(mean)).select("term", "df", idf.alias("idf"))
+    """term, df, idf of every term."""
+    return corpus_stats(df, text, p).select("term", "df", "idf")
 
 
 def search(queries: DataFrame, df: DataFrame, k: int = 50, query: str = "query_id", query_text: str = "query", key: str = "chunk_id", text: str = "chunk_text", p: BM25 = BM25()) -> DataFrame:
     """query, key, score, rank: the k best texts of each query. Texts that share no term with it aren't results.
 
+    All queries are answered in one pass: the postings of their terms meet the terms' weights and are summed
+    by text and query. Where df is partitioned by its key, as passages that count once are, nothing moves before
+    each task has cut its own rows to k a query. A term in very many texts is only as large as its postings; the
+    weights are broadcast where their size allows it and joined by term otherwise.
+
     Null and blank texts count in the number of texts and match nothing; a null or blank query has no results.
     """
-    terms = queries.select(F.col(query).alias("q"), F.explode(tokens(F.col(query_text))).alias("term")).groupBy("q", "term").agg(F.count("*").alias("qtf"))
-    weighted = terms.join(term_stats(df, text, p), "term").select("q", F.struct("term", (F.col("qtf") * F.col("idf")).alias("w")).alias("x")).groupBy("q").agg(F.collect_list("x").alias("terms"))
-    avg = df.select(F.avg(F.size(tokens(F.col(text))))).first()[0] or 1.0
+    asked = queries.select(F.col(query).alias("q"), F.explode(tokens(F.col(query_text))).alias("term")).groupBy("q", "term").agg(F.count("*").alias("qtf"))
+    weights = asked.join(corpus_stats(df, text, p), "term").select("term", "q", (F.col("qtf") * F.col("idf")).alias("w"), "mean")
+    weights = cut(weights.groupBy("term", "mean").agg(F.collect_list(F.struct("q", "w")).alias("qs")))  # a row a query term
     src = df.select(F.col(key).alias("id"), tokens(F.col(text)).alias("t"))
-    kinds = {c: d for c, d in (("q", dict(queries.dtypes)[query]), ("id", dict(df.dtypes)[key]))}
-    parts = []
-    for rows in topk.blocks(weighted, "q"):
-        names = [r["q"] for r in rows]
-        index: dict[str, tuple[list[int], list[float]]] = {}
-        for i, r in enumerate(rows):
-            for x in r["terms"]:
-                at = index.setdefault(x["term"], ([], []))
-                at[0].append(i)
-                at[1].append(x["w"])
-        arrays = {t: (np.array(i), np.array(w)) for t, (i, w) in index.items()}
-
-        def run(batches: Iterator[pd.DataFrame], arrays=arrays, names=names) -> Iterator[pd.DataFrame]:
-            for b in batches:
-                scores, shared = np.zeros((len(names), len(b))), np.zeros((len(names), len(b)), bool)
-                for j, t in enumerate(b["t"]):
-                    norm = p.k1 * (1 - p.b + p.b * len(t) / avg)
-                    for term, tf in Counter(t).items():
-                        at = arrays.get(term)
-                        if at is not None:
-                            shared[at[0], j] = True
-                            scores[at[0], j] += at[1] * (tf * (p.k1 + 1) / (tf + norm))
-                out = topk.candidates(b["id"].to_numpy(), np.where(shared, scores, -np.inf), names, k, -np.inf)
-                if len(out):
-                    yield out
-
-        parts.append(src.mapInPandas(run, f"query {kinds['q']}, id {kinds['id']}, score double"))
-    if not parts:
-        return queries.select(F.col(query), F.lit(None).cast(kinds["id"]).alias(key), F.lit(0.0).alias("score"), F.lit(0).alias("rank")).where("false")
-    out = topk.ranked(reduce(DataFrame.union, parts), "query", "id", k)
-    return out.select(F.col("query").alias(query), F.col("id").alias(key), "score", "rank")
+    hits = src.select("id", F.size("t").alias("dl"), F.explode("t").alias("term")).join(weights.select("term"), "term", "left_semi")
+    tf = hits.groupBy("id", "dl", "term").agg(F.count("*").alias("tf")).join(weights, "term")
+    norm = p.k1 * (1 - p.b + p.b * F.col("dl") / F.col("mean"))
+    part = tf.select("id", (F.col("tf") * (p.k1 + 1) / (F.col("tf") + norm)).alias("part"), F.explode("qs").alias("x"))
+    scores = part.groupBy("id", "x.q").agg(F.sum(F.col("x.w") * F.col("part")).alias("score"))
+    out = topk.ranked(scores.select("q", "id", (F.round("score", 6) + 0.0).alias("score")), "q", "id", k)
+    return out.select(F.col("q").alias(query), F.col("id").alias(key), "score", "rank")

@@ -41,7 +41,7 @@ def oracle_sql() -> dict[str, str]:
 def passages(spark: SparkSession, d: str, *cols: str) -> DataFrame:
     """Passages, each once: rows delivered twice are equal but for loaded_at."""
     c = table(spark, d, "chunk").select(*(cols or ("chunk_id", "doc_id", "chunk_text"))).dropDuplicates(["chunk_id"])
-    return spread(c) if not cols else c
+    return spread(c, "chunk_id") if not cols else c
 
 
 def gold(spark: SparkSession, d: str) -> DataFrame:

@@ -73,11 +73,11 @@ def ship(spark: SparkSession) -> None:
     sc._ribbonmill_shipped = True
 
 
-def spread(df: DataFrame, per_core: int = 4 << 20) -> DataFrame:
-    """df over all cores if it is small; larger inputs come in enough parts by themselves and aren't moved."""
+def spread(df: DataFrame, *keys: str, per_core: int = 4 << 20) -> DataFrame:
+    """df over all cores, by keys if any are given, if it is small; larger inputs come in enough parts by themselves and aren't moved."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(cores) if 0 < size < per_core * cores else df
+    return df.repartition(cores, *keys) if 0 < size < per_core * cores else df
 
 
 def hash_sample(df: DataFrame, total: int, key: str, n: int) -> DataFrame:
