@@ -63,6 +63,11 @@ def suppressed(secs: DataFrame, key: str = "doc_id") -> DataFrame:
     return with_suppressed(secs, key).select(key, F.col("section_no").cast("int").alias("section_no"), "suppressed")
 
 
+def without_figures(passages: DataFrame, exclude: bool, kind: str = "content_type") -> DataFrame:
+    """passages, without figure captions if they are switched off."""
+    return passages.where(F.coalesce(kind, F.lit("")) != "figure_caption") if exclude else passages
+
+
 def pack(pieces: Column, most: int, joiner: str) -> Column:
     """Pieces put together in order while a group stays within ``most`` tokens; a larger piece stays whole. The joiner is white space, so counts add up."""
     empty = F.array().cast("array<string>")

@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ribbonmill.functions import hash_vector, token_count, tokens
-from ribbonmill.operators import chunking, cleaning, dense, fusion, grounding, incremental, metadata, metrics, quality, sparse
+from ribbonmill.operators import answering, chunking, cleaning, dense, figures, fusion, grounding, incremental, metadata, metrics, quality, review, sparse
 from ribbonmill.operators.retrieve import Index, Params, pools, retrieve
 from ribbonmill.plans import sweep
-from ribbonmill.session import spread
+from ribbonmill.session import cut, spread
 from ribbonmill.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -417,11 +417,17 @@ def suppressed_sections(spark, d):
     return chunking.suppressed(chunking.sections(_papers(spark, d))).select("doc_id", F.col("section_no").cast("long").alias("section_no"), "suppressed")
 
 
-@register()
+@register(
+    f"""WITH RECURSIVE {C}, l0 AS (SELECT chunk_id, unnest(string_split(chunk_text, chr(10))) AS line, generate_subscripts(string_split(chunk_text, chr(10)), 1) AS p FROM c),
+l AS (SELECT chunk_id, line, len({TOK.format('line')}) AS k, row_number() OVER (PARTITION BY chunk_id ORDER BY p) AS i FROM l0 WHERE trim(line) <> ''),
+f AS (SELECT chunk_id, i, 0 AS g, k AS n FROM l WHERE i = 1 UNION ALL SELECT l.chunk_id, l.i, CASE WHEN f.n + l.k <= 40 THEN f.g ELSE f.g + 1 END, CASE WHEN f.n + l.k <= 40 THEN f.n + l.k ELSE l.k END FROM f JOIN l ON l.chunk_id = f.chunk_id AND l.i = f.i + 1)
+SELECT chunk_id, CAST(g AS BIGINT) AS group_no, md5(string_agg(line, chr(10) ORDER BY i)) AS text FROM f JOIN l USING (chunk_id, i) GROUP BY chunk_id, g"""
+)
 def line_pack(spark, d):
     """Passages packed from their lines into groups of at most 40 tokens."""
     c = passages(spark, d)
-    return c.select("chunk_id", F.posexplode(chunking.pack(F.filter(F.split("chunk_text", r"\n"), lambda x: F.trim(x) != ""), 40, "\n")).alias("group_no", "text"))
+    x = c.select("chunk_id", F.posexplode(chunking.pack(F.filter(F.split("chunk_text", r"\n"), lambda x: F.trim(x) != ""), 40, "\n")).alias("group_no", "text"))
+    return x.select("chunk_id", F.col("group_no").cast("long").alias("group_no"), F.md5("text").alias("text"))
 
 
 @register()
@@ -529,13 +535,15 @@ def placeholder_formats(spark, d):
     return passages(spark, d).groupBy(cleaning.placeholder_format(F.col("chunk_text")).alias("format")).agg(F.count("*").alias("n"))
 
 
-@register(f"WITH {C}, t AS (SELECT doc_id, string_agg(chunk_text, ' ') AS t FROM c WHERE content_type <> 'prose' GROUP BY doc_id), k AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(chunk_text, '\\b[A-Z]{{2,4}}-?\\d{{3,6}}\\b')) AS code FROM c WHERE content_type = 'prose') SELECT k.doc_id, code FROM k LEFT JOIN t USING (doc_id) WHERE NOT contains(lower(coalesce(t, '')), lower(code))")
+_TRIAL = r"\b[A-Z]{5,}(?:-[A-Z])?-\d{2}\b"
+
+
+@register(f"WITH {C}, k AS (SELECT DISTINCT doc_id, content_type = 'prose' AS prose, unnest(regexp_extract_all(chunk_text, '{_TRIAL}')) AS code FROM c WHERE content_type IS NOT NULL) SELECT doc_id, code FROM k WHERE prose EXCEPT SELECT doc_id, code FROM k WHERE NOT prose")
 def ungrounded_tokens(spark, d):
-    """Code names in a paper's prose that its tables and captions don't hold."""
-    c = passages(spark, d, "chunk_id", "doc_id", "content_type", "chunk_text")
-    t = c.where("content_type != 'prose'").groupBy("doc_id").agg(F.array_join(F.collect_list("chunk_text"), " ").alias("t"))
-    k = c.where("content_type = 'prose'").select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all("chunk_text", F.lit(r"(\b[A-Z]{2,4}-?\d{3,6}\b)"), F.lit(1)))).alias("code")).distinct()
-    return k.join(t, "doc_id", "left").where(F.size(cleaning.ungrounded_codes(F.col("code"), F.col("t"))) > 0).select("doc_id", "code")
+    """Names of trials in a paper's prose that its tables and captions don't hold; names are compared, so that no paper's text is put together."""
+    c = passages(spark, d, "chunk_id", "doc_id", "content_type", "chunk_text").where("content_type is not null")
+    k = c.select("doc_id", (F.col("content_type") == "prose").alias("prose"), F.explode(F.array_distinct(F.regexp_extract_all("chunk_text", F.lit(r"(?<![A-Za-z0-9_])([A-Z]{5,}(?:-[A-Z])?-\d{2})(?![A-Za-z0-9_])"), F.lit(1)))).alias("code"))
+    return k.where("prose").select("doc_id", "code").distinct().join(k.where("NOT prose"), ["doc_id", "code"], "left_anti")
 
 
 @register(f"WITH {A}, r AS (SELECT answer_id, '```json' || chr(10) || '{{\"n\": ' || answer_id || '}}' || chr(10) || '```' AS raw FROM a) SELECT answer_id, CAST(json_extract('{{\"n\": ' || answer_id || '}}', '$.n') AS BIGINT) AS n FROM r")
@@ -604,11 +612,32 @@ def evidence(spark, d):
     return e.select("answer_id", F.col("claim_index").cast("long").alias("claim_index"), F.col("invalid_citations").cast("long").alias("invalid"), F.when(F.size("cited") == 0, F.col("n")).otherwise(F.size("cited") - F.col("invalid_citations")).cast("long").alias("sources"))
 
 
-@register()
+def _numbers(text: str) -> str:
+    """SQL: the numbers of a text as strings, by the same masks."""
+    t = f"coalesce({text}, '')"
+    for p in (r"(?i)[\[(]\s*sources?\b[^\])]*[\])]", r"(?i)\bsources?\s+\d+", r"(?m)^\s*\d+[.)]\s+", r"\pL+\d+/\d+|\pL[-/]?\d[\d,]*(?:\.\d+)?\pL*|\d[\d,]*(?:\.\d+)?%?\pL+"):
+        t = f"regexp_replace({t}, '{p}', '  ', 'g')"
+    return f"list_transform(regexp_extract_all({t}, '\\$?\\d[\\d,]*(?:\\.\\d+)?%?'), lambda x: regexp_replace(x, ',+$', ''))"
+
+
+_BARE = "regexp_replace({0}, '[$%,]', '', 'g')"
+_VALUES = "list_transform({0}, lambda y: TRY_CAST(" + _BARE.format("y") + " AS DOUBLE))"
+_PLACES = "length(regexp_extract(" + _BARE.format("x") + ", '\\.(\\d+)$', 1))"
+_LOST = f"list_filter({{0}}, lambda x: len(list_filter({{1}}, lambda e: e = CAST({_BARE.format('x')} AS DOUBLE) OR abs(round_even(e * pow(10, {_PLACES}), 0) / pow(10, {_PLACES}) - CAST({_BARE.format('x')} AS DOUBLE)) < 1e-9)) = 0)"
+_FLAGS = f"""{{claims}}, {{src}}, tx AS (SELECT query_id, list(text ORDER BY position) AS texts FROM s GROUP BY 1),
+e AS (SELECT cl.answer_id, claim_index, claim, {_CITE.format('claim')} AS cited, coalesce(texts, []) AS texts FROM cl JOIN a USING (answer_id) LEFT JOIN tx USING (query_id)),
+e2 AS (SELECT *, CASE WHEN len(cited) = 0 THEN texts ELSE list_transform(list_filter(cited, lambda i: i::INT BETWEEN 1 AND len(texts)), lambda i: texts[i::INT]) END AS picked FROM e),
+e3 AS (SELECT answer_id, claim_index, {_numbers('claim')} AS ns, {_VALUES.format(_numbers("array_to_string(picked, chr(10))"))} AS ev, {_VALUES.format(_numbers("array_to_string(texts, chr(10))"))} AS every FROM e2),
+fl AS (SELECT answer_id, claim_index, CAST(len(ns) AS BIGINT) AS n_numbers, {_LOST.format('ns', 'ev')} AS lost, {_LOST.format('ns', 'every')} AS nowhere FROM e3)"""
+_FLAGS = f"WITH {A}, {C}, {G}, " + _FLAGS.format(claims=_CLAIMS, src=_SRC)
+_FLAG = "CASE WHEN len(lost) = 0 THEN 'grounded' WHEN len(nowhere) = 0 THEN 'miscited' ELSE 'unsupported' END"
+
+
+@register(f"{_FLAGS} SELECT answer_id, claim_index, n_numbers, array_to_string(lost, ' ') AS unmatched, {_FLAG} AS flag FROM fl")
 def numeric_flags(spark, d):
-    """Numbers of claims against the gold passages; lookarounds and match masks have no counterpart in RE2."""
+    """Numbers of claims against the gold passages."""
     f = grounding.numeric_flags(grounding.claims(answers(spark, d)), _sources(spark, d))
-    return f.select("answer_id", "claim_index", "n_numbers", F.array_join("unmatched", " ").alias("unmatched"), "flag")
+    return f.select("answer_id", F.col("claim_index").cast("long").alias("claim_index"), F.col("n_numbers").cast("long").alias("n_numbers"), F.array_join("unmatched", " ").alias("unmatched"), "flag")
 
 
 _CT = "list_distinct(list_concat(regexp_extract_all(lower(regexp_replace({0}, 'chunk_\\d+', ' ', 'g')), '[a-z][a-z0-9-]{{3,}}'), regexp_extract_all(regexp_replace({0}, 'chunk_\\d+', ' ', 'g'), '\\d+\\.\\d+|\\d+%|\\d{{3,}}')))"
@@ -673,9 +702,6 @@ def lookup_rollup(spark, d):
     return j.groupBy("n_name", "r_name").agg(F.count("*").alias("customers"), F.round(F.sum("c_acctbal"), 2).alias("balance"))
 
 
-__all__ = ["queries", "oracle_sql", "hash_vector", "token_count", "tokens"]
-
-
 @register()
 def caption_documents(spark, d):
     """The captions of the extraction log put into documents made of each paper's captions and image comments."""
@@ -687,9 +713,308 @@ def caption_documents(spark, d):
     return captions.caption_documents(docs, log)
 
 
-@register()
+@register(
+    f"""{BASE}, {SCALED}, {_capped(HYBRID.format(a='0.5'))}, e AS (SELECT query_id, CASE WHEN answerable THEN coalesce(relevant_doc_ids, []) ELSE [] END AS fr FROM g),
+j AS (SELECT e.query_id, any_value(len(fr)) > 0 AS reachable, coalesce(bool_or(rank <= 3 AND list_contains(fr, doc_id)), false) AS hit, max(score) FILTER (rank = 1) AS best FROM e LEFT JOIN top USING (query_id) GROUP BY 1)
+SELECT CASE WHEN reachable THEN 'reachable' ELSE 'unreachable' END AS "check", count(*) FILTER (CASE WHEN reachable THEN hit ELSE coalesce(best < 0.647, true) END) AS passed, count(*) AS total FROM j GROUP BY 1"""
+)
 def retrieval_quality(spark, d):
-    """Whether the gold passages' documents are found, and unanswerable queries score low."""
+    """Whether a gold query's documents are found, and unanswerable queries score low."""
     r = retrieve(gold(spark, d), _index(spark, d))
-    e = gold(spark, d).select("query_id", F.when(F.col("answerable"), F.get(F.col("relevant_doc_ids"), F.lit(0))).alias("fragment"))
-    return quality.reachability(r, e)
+    return quality.reachability(r, gold(spark, d).select("query_id", F.when(F.col("answerable"), F.col("relevant_doc_ids")).alias("fragments")))
+
+
+# answering
+
+
+_POOL = f"""{BASE}, {SCALED}, fu AS ({HYBRID.format(a='0.5')}), pool AS (SELECT fu.*, c.doc_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM fu JOIN c USING (chunk_id) QUALIFY rank <= 50),
+qt0 AS (SELECT query_id, list_distinct({TOK.format('query')}) AS qt FROM g),
+sc AS (SELECT pool.*, round(len(list_intersect(qt, {TOK.format('chunk_text')})) / greatest(len(qt), 1), 6) AS rs FROM pool JOIN qt0 USING (query_id) JOIN c USING (chunk_id)),
+rr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rs DESC, rank) AS r2 FROM sc),
+rc AS (SELECT * FROM rr QUALIFY row_number() OVER (PARTITION BY query_id, doc_id ORDER BY r2) <= 5),
+rt AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY r2) AS rn FROM rc) WHERE rn <= 10),
+oc AS (SELECT * FROM pool QUALIFY row_number() OVER (PARTITION BY query_id, doc_id ORDER BY rank) <= 5),
+ot AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS rn FROM oc) WHERE rn <= 10),
+fin AS (SELECT query_id, chunk_id, from_net, row_number() OVER (PARTITION BY query_id ORDER BY from_net, rn) AS rank FROM (SELECT query_id, chunk_id, false AS from_net, rn FROM rt UNION ALL
+ SELECT query_id, chunk_id, true, rn FROM ot WHERE rn <= 5 AND NOT EXISTS (SELECT 1 FROM rt WHERE rt.query_id = ot.query_id AND rt.chunk_id = ot.chunk_id)))"""
+
+
+@register(f"{_POOL} SELECT * FROM fin")
+def answer_sources(spark, d):
+    """What a model is given for each gold query: pool of 50, reranked, capped, and the safety net."""
+    return answering.answer_sources(gold(spark, d), _index(spark, d)).withColumn("rank", F.col("rank").cast("long"))
+
+
+@register(f"{_POOL} SELECT query_id, md5(coalesce(trim(chunk_text), '{cleaning.REFUSAL}')) AS answer, coalesce(n, 0) AS n_sources FROM g LEFT JOIN (SELECT query_id, count(*) AS n, any_value(chunk_id) FILTER (rank = 1) AS chunk_id FROM fin GROUP BY 1) USING (query_id) LEFT JOIN c USING (chunk_id)")
+def extractive_answers(spark, d):
+    """The answering path with the best source as the answer; a query without sources gets the refusal."""
+    g, i = gold(spark, d), _index(spark, d)
+    return answering.answers(g, answering.answer_sources(g, i), i.passages).withColumn("answer", F.md5("answer"))
+
+
+_BY = """rel AS (SELECT query_id, query_type, list_distinct(relevant_chunk_ids) AS rel FROM g WHERE answerable),
+{0} AS (SELECT rel.query_id, rel.query_type, round(coalesce(1.0 / min(rn), 0), 6) AS mrr, round(count(*) FILTER (rn <= 5) / greatest(any_value(len(rel)), 1), 6) AS r5 FROM rel LEFT JOIN {1} t ON t.query_id = rel.query_id AND list_contains(rel.rel, t.chunk_id) GROUP BY ALL)"""
+
+
+@register(f"{_POOL}, {_BY.format('eb', 'ot')}, {_BY.format('er', 'rt').partition(chr(10))[2]} SELECT coalesce(eb.query_type, 'all') AS query_type, count(*) AS n, round(avg(eb.r5), 6) AS base_recall_5, round(avg(er.r5), 6) AS reranked_recall_5, round(avg(eb.mrr), 6) AS base_mrr, round(avg(er.mrr), 6) AS reranked_mrr FROM eb JOIN er USING (query_id) GROUP BY ROLLUP (eb.query_type)")
+def rerank_delta(spark, d):
+    """One pool in two orders: recall and reciprocal rank by query type, before and after the reranker."""
+    g, i = gold(spark, d), _index(spark, d)
+    pooled = cut(answering.pool_of(g, i))
+    base = metrics.evaluate(g, fusion.cap_per_group(pooled.drop("doc_id"), i.passages, 5, 10)).select("query_id", F.col("recall_5").alias("b5"), F.col("mrr").alias("bm"))
+    new = metrics.evaluate(g, answering.reranked(g, pooled, i.passages)).select("query_id", "query_type", "recall_5", "mrr")
+    r = lambda c, n: F.round(F.avg(c), 6).alias(n)
+    out = new.join(base, "query_id").rollup("query_type").agg(F.count("*").alias("n"), r("b5", "base_recall_5"), r("recall_5", "reranked_recall_5"), r("bm", "base_mrr"), r("mrr", "reranked_mrr"))
+    return out.withColumn("query_type", F.coalesce("query_type", F.lit("all")))
+
+
+@register(f"{BASE}, {SCALED}, {_capped(HYBRID.format(a='0.5'))} SELECT query_id, md5(string_agg(rank || '|' || chunk_id || '|' || doc_id || '|' || coalesce(nullif(section_h2, ''), nullif(section_h1, ''), '—') || '|' || coalesce(title, '') || '|' || coalesce(CAST(pub_year AS VARCHAR), '') || '|' || coalesce(source_type, '') || '|' || chunk_text, chr(10) ORDER BY rank)) AS passages, count(*) AS n FROM top JOIN c USING (chunk_id, doc_id) WHERE rank <= 5 AND query_id IN (SELECT query_id FROM g WHERE answerable) GROUP BY query_id")
+def harness_inputs(spark, d):
+    """Answerable queries with their five best passages, eight fields each, as the input of a model's harness."""
+    p = passages(spark, d, "chunk_id", "doc_id", "chunk_text", "section_h1", "section_h2", "title", "pub_year", "source_type")
+    r = retrieve(gold(spark, d), _index(spark, d)).where("rank <= 5").drop("doc_id").join(gold(spark, d).where("answerable").select("query_id"), "query_id", "left_semi").join(p, "chunk_id")
+    e = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    line = F.concat_ws("|", F.col("rank").cast("string"), "chunk_id", "doc_id", cleaning.section_label(F.col("section_h2"), F.col("section_h1")), e("title"), e("pub_year"), e("source_type"), "chunk_text")
+    return r.groupBy("query_id").agg(F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", line.alias("l")))), lambda x: x["l"]), "\n")).alias("passages"), F.count("*").alias("n"))
+
+
+_ANSWERED = f"answer IS NOT NULL AND trim(answer) <> '{cleaning.REFUSAL}'"
+
+
+@register(f"{_FLAGS}, w AS (SELECT fl.* FROM fl JOIN a USING (answer_id) WHERE {_ANSWERED}) SELECT count(*) AS claims, count(*) FILTER (n_numbers > 0) AS with_numbers, count(*) FILTER ({_FLAG} = 'miscited') AS miscited, count(*) FILTER ({_FLAG} = 'unsupported') AS unsupported FROM w")
+def numeric_totals(spark, d):
+    """Claims of answers that aren't refusals: checked, with numbers, miscited, unsupported."""
+    f = grounding.numeric_flags(grounding.claims(answering.answered(answers(spark, d))), _sources(spark, d))
+    return f.agg(F.count("*").alias("claims"), F.count_if(F.col("n_numbers") > 0).alias("with_numbers"), F.count_if(F.col("flag") == "miscited").alias("miscited"), F.count_if(F.col("flag") == "unsupported").alias("unsupported"))
+
+
+@register(f"WITH {A}, {C}, {G}, {_CLAIMS}, {_SRC} SELECT answer_id, query_id, coalesce(query_type, '') AS query_type, claim_index, md5(claim) AS claim_text, array_to_string({_CITE.format('claim')}, ',') AS cited_sources, coalesce(n, 0) AS sources_seen, '' AS label_verdict, '' AS label_note FROM cl JOIN a USING (answer_id) LEFT JOIN sn USING (query_id) WHERE {_ANSWERED}")
+def labelling_sheet(spark, d):
+    """A row per claim of each answer, with empty fields for a verdict and a note."""
+    a = answering.answered(answers(spark, d))
+    n = _sources(spark, d).groupBy("answer_id").agg(F.count("*").alias("sources_seen"))
+    c = grounding.claims(a).join(a.select("answer_id", "query_id", "query_type"), "answer_id").join(n, "answer_id", "left")
+    return c.select("answer_id", "query_id", F.coalesce("query_type", F.lit("")).alias("query_type"), F.col("claim_index").cast("long").alias("claim_index"), F.md5("claim").alias("claim_text"), F.array_join(F.transform("cited", lambda x: x.cast("string")), ",").alias("cited_sources"), F.coalesce("sources_seen", F.lit(0)).alias("sources_seen"), F.lit("").alias("label_verdict"), F.lit("").alias("label_note"))
+
+
+@register(f"WITH {A}, b AS (SELECT CASE WHEN answerable THEN 'answer' ELSE 'abstain' END AS expected, coalesce(query_type, 'none') AS category, coalesce(trim(answer) = '{cleaning.REFUSAL}', false) AS no, answerable FROM a WHERE answerable IS NOT NULL) SELECT expected, coalesce(category, 'all') AS category, count(*) AS n, count(*) FILTER (no <> answerable) AS as_expected FROM b GROUP BY GROUPING SETS ((expected, category), (expected))")
+def behaviour(spark, d):
+    """Whether answers were given where one was expected, and refused where not, by query type."""
+    return answering.behaviour(answers(spark, d))
+
+
+@register(
+    f"""{BASE}, {SCALED}, {_capped(HYBRID.format(a='0.5'))}, {A}, h AS (SELECT g.query_id, count(top.chunk_id) > 0 AS hit FROM g LEFT JOIN top ON top.query_id = g.query_id AND list_contains(relevant_chunk_ids, top.chunk_id) WHERE answerable GROUP BY 1)
+SELECT coalesce(hit, false) AS hit, count(*) AS answers, count(*) FILTER (trim(answer) = '{cleaning.REFUSAL}') AS abstained FROM a LEFT JOIN h USING (query_id) WHERE answerable GROUP BY 1"""
+)
+def over_abstention(spark, d):
+    """Refusals of answerable queries, apart by whether a relevant passage had been retrieved."""
+    return answering.over_abstention(answers(spark, d), recall_mrr(spark, d).select("query_id", (F.col("mrr") > 0).alias("hit")))
+
+
+# review of gold queries and metadata
+
+_IGNORED = "[" + ", ".join(f"'{w}'" for w in review.NOTE_WORDS) + "]"
+_DRIFT = f"""WITH {C}, {G}, w0 AS (SELECT query_id, coalesce(notes, '') || '  ' || coalesce(query, '') AS t, relevant_chunk_ids AS ids FROM g WHERE answerable),
+w AS (SELECT query_id, list_filter({_CT.format('t')}, lambda x: NOT list_contains({_IGNORED}, x)) AS want, ids FROM w0),
+x AS (SELECT query_id, want, unnest(ids) AS chunk_id, generate_subscripts(ids, 1) - 1 AS no FROM w WHERE len(want) > 0),
+dr AS (SELECT x.*, c.chunk_id IS NULL AS missing, CASE WHEN c.chunk_id IS NULL THEN 0.0 ELSE round(len(list_intersect(want, {_CT.format("coalesce(chunk_text, '')")})) / len(want), 6) END AS share FROM x LEFT JOIN c USING (chunk_id)),
+v AS (SELECT *, share >= 0.4 AS valid, regexp_replace(chunk_id, '^(.*)_chunk_.*$', '\\1') AS doc_id FROM dr)"""
+
+
+@register(f"{_DRIFT} SELECT query_id, chunk_id, CAST(no AS BIGINT) AS no, share, missing, valid FROM v")
+def gold_drift(spark, d):
+    """Cited passages against the tokens of their gold entry: share, and whether it reaches 0.40."""
+    return review.drift(gold(spark, d), passages(spark, d)).select("query_id", "chunk_id", F.col("no").cast("long").alias("no"), "share", "missing", "valid")
+
+
+@register(f"{_DRIFT}, e AS (SELECT query_id, bool_and(valid) AS ok, min_by(doc_id, no) AS doc_id FROM v GROUP BY 1) SELECT doc_id, count(*) FILTER (ok) AS valid, count(*) FILTER (NOT ok) AS drifted FROM e GROUP BY 1")
+def drift_counts(spark, d):
+    return review.drift_counts(review.drift(gold(spark, d), passages(spark, d)))
+
+
+@register(f"{_DRIFT} SELECT query_id, v.chunk_id, c.chunk_id AS proposed, round(len(list_intersect(want, {_CT.format('chunk_text')})) / len(want), 6) AS share, row_number() OVER (PARTITION BY query_id, v.chunk_id ORDER BY round(len(list_intersect(want, {_CT.format('chunk_text')})) / len(want), 6) DESC, c.chunk_id) AS rank FROM v JOIN c USING (doc_id) WHERE NOT valid QUALIFY rank <= 2")
+def drift_proposals(spark, d):
+    """For each drifted passage the two of its document that hold most of the entry's tokens."""
+    p = passages(spark, d)
+    return review.proposals(review.drift(gold(spark, d), p), p).withColumn("rank", F.col("rank").cast("long"))
+
+
+@register(f"WITH {G}, f AS (SELECT min(relevant_doc_ids[1]) AS d FROM g WHERE len(relevant_doc_ids) > 0) SELECT query_id FROM g, f WHERE list_contains(relevant_doc_ids, d)")
+def review_filter(spark, d):
+    """The gold queries of one document."""
+    g = gold(spark, d)
+    first = g.where(F.size("relevant_doc_ids") > 0).select(F.min(F.get("relevant_doc_ids", F.lit(0))).alias("d"))
+    return g.crossJoin(F.broadcast(first)).where(F.array_contains("relevant_doc_ids", F.col("d"))).select("query_id")
+
+
+_EMPTY = ", ".join(f"CASE WHEN coalesce(trim({f}), '') = '' THEN '{f}' END" for f in ("title", "source_type", "population", "line_of_therapy"))
+
+
+@register(f"WITH {M} SELECT doc_id, array_to_string(list_filter([{_EMPTY}], lambda x: x IS NOT NULL), ',') AS missing FROM m")
+def missing_report(spark, d):
+    return review.missing(meta(spark, d)).withColumn("missing", F.array_join("missing", ","))
+
+
+@register(
+    f"""WITH {C}, {M}, {_LLM}, t AS (SELECT m.*, lower(coalesce(m.title, '') || ' ' || coalesce(m.notes, '')) AS t FROM m),
+o AS (SELECT doc_id, title, journal, doi, CASE WHEN coalesce(trim(source_type), '') <> '' THEN source_type WHEN contains(t, 'randomized controlled trial') OR contains(t, 'clinical trial, phase iii') OR contains(t, 'clinical trial, phase ii') THEN 'rct' WHEN contains(t, 'meta-analysis') THEN 'meta_analysis' WHEN contains(t, 'systematic review') THEN 'review' WHEN contains(t, 'practice guideline') THEN 'guideline' WHEN contains(t, 'review') THEN 'review' END AS source_type,
+ CASE WHEN trim(cancer_type) <> '' THEN cancer_type ELSE 'Breast' END AS cancer_type, len(coalesce(cancer_subtype, [])) AS subtypes, coalesce(_llm_confidence, 0) AS conf FROM t)
+SELECT doc_id, {', '.join(f"CASE WHEN coalesce(trim(o.{f}), '') <> '' THEN o.{f} ELSE l.{f} END AS {f}" for f in _FIELDS)}, coalesce(cancer_type, 'Breast') AS cancer_type, coalesce(subtypes, 0) AS subtypes, ({_CONF.replace('m.', 'o.')}) > 0 OR coalesce(conf, 0) < 0.85 AS needs_review FROM o FULL JOIN l USING (doc_id)"""
+)
+def build_meta(spark, d):
+    """Metadata from blank to merged: defaults, the type its texts hint at, then what the passages say, and whether a review is needed."""
+    m = review.with_defaults(meta(spark, d))
+    hint = metadata.source_type(F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("notes", F.lit(""))))
+    off = m.withColumn("source_type", F.when(F.coalesce(F.trim("source_type"), F.lit("")) != "", F.col("source_type")).otherwise(hint))
+    said = passages(spark, d, "chunk_id", "doc_id", *_FIELDS).groupBy("doc_id").agg(F.max("title").alias("title"), F.min("source_type").alias("source_type"), F.max("journal").alias("journal"), F.max("doi").alias("doi"))
+    said = said.join(m.select("doc_id", F.col("_llm_confidence").alias("confidence")), "doc_id", "left")
+    out = metadata.defensive_merge(off, said, list(_FIELDS)).join(m.select("doc_id", "cancer_type", F.size("cancer_subtype").alias("n")), "doc_id", "left")
+    return out.select("doc_id", *_FIELDS, F.coalesce("cancer_type", F.lit("Breast")).alias("cancer_type"), F.coalesce("n", F.lit(0)).cast("long").alias("subtypes"), "needs_review")
+
+
+@register(f"WITH {C}, {M}, p AS (SELECT doc_id, min_by(chunk_text, chunk_id) AS t FROM c GROUP BY 1) SELECT doc_id, md5(CASE WHEN coalesce(notes, '') <> '' THEN 'ABSTRACT:' || chr(10) || notes || chr(10) || chr(10) ELSE '' END || 'FIRST-PAGE TEXT:' || chr(10) || substr(coalesce(t, ''), 1, 1500)) AS context FROM m LEFT JOIN p USING (doc_id)")
+def meta_context(spark, d):
+    """What a model is shown of each paper: its notes as the abstract and the start of its first passage."""
+    p = passages(spark, d).groupBy("doc_id").agg(F.min_by("chunk_text", "chunk_id").alias("t"))
+    return meta(spark, d).join(p, "doc_id", "left").select("doc_id", F.md5(review.context(F.col("t"), F.col("notes"))).alias("context"))
+
+
+@register(f"WITH {C}, {M}, l AS (SELECT doc_id, any_value(cancer_subtype) AS s FROM (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY chunk_id) = 1) GROUP BY 1) SELECT doc_id, list_sort(list_transform(coalesce(m.cancer_subtype, []), lambda x: lower(trim(x)))) = list_sort(list_transform(coalesce(s, []), lambda x: lower(trim(x)))) AS same FROM m JOIN l USING (doc_id)")
+def list_conflicts(spark, d):
+    """Whether a paper's list of subtypes agrees with its first passage's, but for case, blanks and order."""
+    f = passages(spark, d, "chunk_id", "doc_id", "cancer_subtype").groupBy("doc_id").agg(F.min_by(F.struct("cancer_subtype"), "chunk_id").alias("x")).select("doc_id", F.col("x.cancer_subtype").alias("s"))
+    return meta(spark, d).join(f, "doc_id").select("doc_id", review.same_lists(F.col("cancer_subtype"), F.col("s")).alias("same"))
+
+
+@register(f"WITH {M} SELECT doc_id, to_base64(encode(doi)) AS doi64, url_encode(replace(doi, ' ', '')) AS doi_url FROM m")
+def encoded_keys(spark, d):
+    """DOIs as they go into a request."""
+    return meta(spark, d).select("doc_id", F.base64("doi").alias("doi64"), F.url_encode(F.replace("doi", F.lit(" "), F.lit(""))).alias("doi_url"))
+
+
+@register()
+def normalised_titles(spark, d):
+    """Titles in Unicode's compatibility form; SQL has no such function, tested on a fixture."""
+    return meta(spark, d).select("doc_id", review.nfkc(F.col("title")).alias("title"))
+
+
+# figures
+
+_BLOCKS = r"""f AS (SELECT DISTINCT doc_id, x."index" AS i, x AS f FROM (SELECT doc_id, unnest(figures) AS x FROM extraction_log)),
+q AS (SELECT doc_id, i, f, f.extraction_metadata AS em FROM f WHERE coalesce(f.status, '') <> 'skipped' AND coalesce(f.filename, '') <> '' AND f.extraction_metadata IS NOT NULL),
+b AS (SELECT DISTINCT doc_id, i, '![' || coalesce(nullif(f.caption_text, ''), 'Figure from oncology document: ' || regexp_replace(f.filename, '\.[^.]*$', '')) || '](figures/' || f.filename || ')' || chr(10) || '<!-- FIGURE_METADATA: {"figure_id": ' || QUO(em.figure_id) || ', "figure_type": ' || QUO(em.figure_type) || ', "extraction_status": ' || QUO(em.extraction_status) || ', "grounding_flags": [' || array_to_string(list_transform(coalesce(em.grounding_flags, []), lambda z: QUO(z)), ', ') || ']} -->' || coalesce(chr(10) || nullif(f.clinical_extraction.enriched_text, ''), '') AS b FROM q)"""
+
+
+def _blocks_sql() -> str:
+    out = _BLOCKS
+    for x in ("em.figure_id", "em.figure_type", "em.extraction_status", "z"):
+        out = out.replace(f"QUO({x})", f"coalesce('\"' || replace(replace({x}, '\\', '\\\\'), '\"', '\\\"') || '\"', 'null')")
+    return out
+
+
+@register(f"WITH {_blocks_sql()} SELECT doc_id, i, md5(b) AS block FROM b")
+def figure_blocks(spark, d):
+    """The exact text of each captioned figure."""
+    f = table(spark, d, "extraction_log").select("doc_id", F.explode("figures").alias("f"))
+    return f.select("doc_id", F.col("f.index").alias("i"), F.md5(figures.block(F.col("f"))).alias("block")).where("block is not null").distinct()
+
+
+@register(
+    f"""WITH {_blocks_sql()}, s AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i, b) AS n, b FROM b),
+u AS (SELECT doc_id, n * 2 - 1 AS k, 'Before figure ' || n || '.' AS t, false AS fig FROM s UNION ALL SELECT doc_id, n * 2, b, true FROM s UNION ALL SELECT doc_id, max(n) * 2 + 1, 'End.', false FROM s GROUP BY doc_id)
+SELECT doc_id, CAST(k - 1 AS BIGINT) AS segment_no, fig AS is_figure, md5(t) AS segment FROM u"""
+)
+def figure_segments(spark, d):
+    """Documents made of each log's figure blocks and text around them, cut at the blocks again."""
+    log = table(spark, d, "extraction_log").dropDuplicates(["doc_id"])
+    b = log.select("doc_id", F.explode("figures").alias("f")).select("doc_id", F.col("f.index").alias("i"), figures.block(F.col("f")).alias("b")).where("b is not null").distinct()
+    each = F.array_sort(F.collect_list(F.struct("i", "b")))
+    text = F.concat(F.array_join(F.transform(each, lambda x, n: F.concat(F.lit("Before figure "), (n + 1).cast("string"), F.lit(".\n"), x["b"])), "\n"), F.lit("\nEnd."))
+    docs = b.groupBy("doc_id").agg(text.alias("text"))
+    return figures.split_documents(docs, log).select("doc_id", F.col("segment_no").cast("long").alias("segment_no"), "is_figure", F.md5(F.regexp_replace("segment", r"^\n+|\n+$", "")).alias("segment"))
+
+
+@register("""WITH f AS (SELECT DISTINCT doc_id, x."index" AS i, x.size[1] AS w, x.size[2] AS h, coalesce(x.docling_context, '') AS t FROM (SELECT doc_id, unnest(figures) AS x FROM extraction_log)),
+s AS (SELECT *, coalesce(w < 250 OR h < 200, false) AS small FROM f), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, small, md5(t) ORDER BY i) AS n FROM s)
+SELECT doc_id, i, CASE WHEN small THEN 'too small' WHEN n > 1 THEN 'duplicate' END AS reason, CASE WHEN small OR n > 1 THEN 'skipped' ELSE 'saved' END AS kept_status FROM r""")
+def figure_filter(spark, d):
+    """Figures kept by size and content; the log has no bytes, so the context stands for them."""
+    x = table(spark, d, "extraction_log").select("doc_id", F.explode("figures").alias("f"))
+    x = x.select("doc_id", F.col("f.index").alias("i"), F.get("f.size", F.lit(0)).alias("w"), F.get("f.size", F.lit(1)).alias("h"), F.coalesce("f.docling_context", F.lit("")).alias("t")).distinct()
+    return figures.kept(x, "t", F.col("w"), F.col("h")).select("doc_id", "i", "reason", "kept_status")
+
+
+@register("""WITH f AS (SELECT DISTINCT doc_id, x."index" AS i, x.clinical_extraction AS e FROM (SELECT doc_id, unnest(figures) AS x FROM extraction_log)) SELECT doc_id, count(*) AS figures, count(*) FILTER (e IS NOT NULL) AS extracted, count(*) FILTER (e.figure_id IS NOT NULL AND e.figure_type IS NOT NULL AND e.summary IS NOT NULL) AS valid FROM f GROUP BY 1""")
+def valid_extractions(spark, d):
+    """Extractions read back from JSON by the schema, and those that hold every required field."""
+    schema = "figure_id string, figure_type string, summary string, clinical_relevance string, enriched_text string"
+    x = table(spark, d, "extraction_log").select("doc_id", F.explode("figures").alias("f")).select("doc_id", F.col("f.index").alias("i"), F.from_json(F.to_json("f.clinical_extraction"), schema, {"mode": "PERMISSIVE"}).alias("e")).distinct()
+    ok = F.col("e.figure_id").isNotNull() & F.col("e.figure_type").isNotNull() & F.col("e.summary").isNotNull()
+    return x.groupBy("doc_id").agg(F.count("*").alias("figures"), F.count_if(F.col("e").isNotNull()).alias("extracted"), F.count_if(ok).alias("valid"))
+
+
+@register(f"WITH {C} SELECT doc_id, count(*) AS n FROM c WHERE content_type IS NULL OR content_type <> 'figure_caption' GROUP BY 1")
+def without_figures(spark, d):
+    """Passages of each paper with figures switched off."""
+    return chunking.without_figures(passages(spark, d, "chunk_id", "doc_id", "content_type"), True).groupBy("doc_id").agg(F.count("*").alias("n"))
+
+
+@register(f"WITH {C} SELECT coalesce(doc_id, 'all') AS doc_id, CAST(sum(len(list_filter({_LINES}, lambda x: regexp_matches(x, '\\(20\\d\\d\\)$')))) AS BIGINT) AS removed FROM c GROUP BY ROLLUP (doc_id)".replace("\\\\", "\\"))
+def boilerplate_totals(spark, d):
+    """Boilerplate lines by paper and in all, with the pattern of strip_boilerplate."""
+    c = passages(spark, d).select("doc_id", cleaning.boilerplate_lines(F.col("chunk_text"), (r"\(20\d\d\)$",)).alias("n"))
+    return c.rollup("doc_id").agg(F.sum("n").alias("removed")).withColumn("doc_id", F.coalesce("doc_id", F.lit("all")))
+
+
+# checks
+
+@register(f"{BASE}, r AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM ({RRF})) SELECT query_id, rank, max(chunk_id) FILTER (src = 's') AS sparse, max(chunk_id) FILTER (src = 'd') AS dense, max(chunk_id) FILTER (src = 'r') AS fused FROM (SELECT query_id, chunk_id, rank, 's' AS src FROM sparse UNION ALL SELECT query_id, chunk_id, rank, 'd' FROM dense UNION ALL SELECT query_id, chunk_id, rank, 'r' FROM r) WHERE rank <= 5 GROUP BY ALL")
+def side_by_side(spark, d):
+    """The five best passages of each query by BM25, by vectors and fused, next to each other."""
+    a, b = pools(gold(spark, d), _index(spark, d), 50)
+    a, b = cut(a), cut(b)
+    every = [(fusion.reciprocal_rank([a, b]), "fused"), (b, "sparse"), (a, "dense")]
+    u = None
+    for x, n in every:
+        y = x.where("rank <= 5").select("query_id", F.col("rank").cast("long").alias("rank"), "chunk_id", F.lit(n).alias("src"))
+        u = y if u is None else u.union(y)
+    return u.groupBy("query_id", "rank").pivot("src", ["sparse", "dense", "fused"]).agg(F.max("chunk_id"))
+
+
+@register("""WITH q AS (SELECT vec_id AS query_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id % 20 = 0), t AS (SELECT query_id, vec_id FROM q, embeddings QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(list_inner_product(q.v, CAST(embedding AS DOUBLE[])), 6) DESC, vec_id) = 1) SELECT count(*) AS asked, count(*) FILTER (query_id = vec_id) AS itself FROM t""")
+def self_retrieval(spark, d):
+    """Whether a vector's nearest is itself."""
+    return dense_topk(spark, d).where("rank = 1").agg(F.count("*").alias("asked"), F.count_if(F.col("query_id") == F.col("vec_id")).alias("itself"))
+
+
+_TITLED_VEC = _vec("coalesce(title, '') || ' ' || coalesce(chunk_text, '')")
+
+
+@register(
+    f"""WITH {C}, {G}, cv0 AS (SELECT chunk_id, {_TITLED_VEC} AS v FROM c), qv0 AS (SELECT query_id, {_vec('query')} AS v FROM g), cv AS (SELECT chunk_id, v, sqrt(list_inner_product(v, v)) AS nv FROM cv0), qv AS (SELECT query_id, v, sqrt(list_inner_product(v, v)) AS nv FROM qv0),
+dall AS (SELECT query_id, chunk_id, round(coalesce(list_inner_product(list_transform(qv.v, lambda x: CASE WHEN qv.nv > 0 THEN x / qv.nv ELSE 0 END), list_transform(cv.v, lambda x: CASE WHEN cv.nv > 0 THEN x / cv.nv ELSE 0 END)), 0), 6) AS score FROM qv, cv)
+SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM dall QUALIFY rank <= 10"""
+)
+def second_vectors(spark, d):
+    """A second vector set: titles before the texts on one side, plain queries on the other."""
+    p = passages(spark, d, "chunk_id", "title", "chunk_text")
+    v = p.select("chunk_id", hash_vector(F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("chunk_text", F.lit("")))).alias("vector"))
+    q = gold(spark, d).select("query_id", hash_vector(F.col("query")).alias("vector"))
+    return dense.search(q, spread(v), 10).withColumn("rank", F.col("rank").cast("long"))
+
+
+@register(f"WITH {C}, {G} SELECT 'passages' AS metric, CAST(count(*) AS BIGINT) AS value FROM c UNION ALL SELECT 'documents', count(DISTINCT doc_id) FROM c UNION ALL SELECT 'without year', count(*) FROM c WHERE pub_year IS NULL UNION ALL SELECT 'short', count(*) FROM c WHERE len({TOK.format('chunk_text')}) < 80 UNION ALL SELECT 'queries', count(*) FROM g UNION ALL SELECT 'missing references', count(*) FROM (SELECT DISTINCT query_id, unnest(relevant_chunk_ids) AS x FROM g) WHERE x NOT IN (SELECT chunk_id FROM c)")
+def check_report(spark, d):
+    """One table of all checks' counts; the passages' come from a single pass."""
+    c = passages(spark, d, "chunk_id", "doc_id", "pub_year", "chunk_text").agg(F.count("*").alias("passages"), F.count_distinct("doc_id").alias("documents"), F.count_if(F.col("pub_year").isNull()).alias("without year"), F.count_if(token_count(F.col("chunk_text")) < 80).alias("short"))
+    g = gold(spark, d).agg(F.count("*").alias("queries"))
+    m = gold_references(spark, d).agg(F.count_if("missing").alias("missing references"))
+    rows = [x.select(F.explode(F.map_from_arrays(F.array(*[F.lit(n) for n in x.columns]), F.array(*[F.col(f"`{n}`").cast("long") for n in x.columns]))).alias("metric", "value")) for x in (c, g, m)]
+    return rows[0].union(rows[1]).union(rows[2])
+
+
+@register(f"WITH {A}, {G} SELECT query_id FROM g WHERE query_id NOT IN (SELECT query_id FROM a WHERE query_id IS NOT NULL AND answerable) ORDER BY query_id LIMIT 10")
+def next_to_do(spark, d):
+    """The first ten queries without an answer that was meant to answer, in order of their ids."""
+    return incremental.remaining(gold(spark, d), answers(spark, d).where("answerable"), "query_id").select("query_id").orderBy("query_id").limit(10)
