@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ribbonmill.session import cut
+
 DEPTHS = (1, 3, 5, 10)
 
 
@@ -53,8 +55,23 @@ def percentile_p90(rows: DataFrame, value: str, by: str) -> DataFrame:
 
 
 def stride_sample(rows: DataFrame, key: str, n: int = 10) -> DataFrame:
-    """Every ⌊rows / n⌋-th row in the order of key, the first n of them."""
-    w = Window.partitionBy(F.lit(1)).orderBy(key)
-    ids = rows.select(key).withColumn("_i", F.row_number().over(w) - 1).crossJoin(F.broadcast(rows.agg(F.count("*").alias("_n"))))
-    step = F.greatest(F.floor(F.col("_n") / n), F.lit(1))
-    return ids.where((F.col("_i") % step == 0) & (F.col("_i") / step < n)).select(key)
+    """Every ⌊rows / n⌋-th row in the order of key, the first n of them.
+
+    The keys are written in ranges; a range's rows are numbered only if it holds one of the n, from the rows of
+    the ranges before it, of which there is one a task.
+    """
+    ids = cut(rows.select(key).repartitionByRange(key).withColumn("_r", F.spark_partition_id()))
+    ranges = [(r["_r"], r["n"]) for r in ids.groupBy("_r").agg(F.count("*").alias("n")).orderBy("_r").collect()]
+    total = sum(c for _, c in ranges)
+    step = max(total // n, 1)
+    at, before = {}, 0
+    for r, c in ranges:
+        if any(before <= i * step < before + c for i in range(n)):
+            at[r] = before
+        before += c
+    if not at:
+        return rows.select(key).where("false")
+    first = F.create_map(*[F.lit(x) for pair in at.items() for x in pair])
+    i = F.row_number().over(Window.partitionBy("_r").orderBy(key)) - 1 + first[F.col("_r")]
+    picked = ids.where(F.col("_r").isin(*at)).withColumn("_i", i)
+    return picked.where((F.col("_i") % step == 0) & (F.col("_i") / step < n)).select(key)

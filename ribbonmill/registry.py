@@ -530,7 +530,10 @@ def caption_totals(spark, d):
     return _figures(spark, d).groupBy(F.coalesce("status", F.lit("none")).alias("status")).agg(F.count("*").alias("n"), F.count_if(F.coalesce("summary", F.lit("")) == "").alias("without_summary"))
 
 
-@register(f"WITH {C} SELECT CASE WHEN regexp_matches(chunk_text, '(?i)<!--\\s*image') THEN 'html_comment' WHEN regexp_matches(chunk_text, '!\\[\\]\\(') THEN 'empty_alt' WHEN regexp_matches(chunk_text, '(?i)!\\[image\\]') THEN 'image_alt' WHEN regexp_matches(chunk_text, '(?i)!\\[Figure from oncology document') THEN 'fallback_alt' WHEN regexp_matches(chunk_text, '!\\[[^\\]]{{10,}}\\]\\(figures/[^)]+\\.png\\)') THEN 'previous_output' WHEN regexp_matches(chunk_text, '(?i)!\\[[^\\]]*\\]\\([^)]*figure[^)]*\\)') THEN 'any_alt_figure' ELSE 'unknown' END AS format, count(*) AS n FROM c GROUP BY 1")
+_PLACEHOLDER = "CASE " + " ".join(f"WHEN regexp_matches(chunk_text, '{p}') THEN '{n}'" for n, p in cleaning.PLACEHOLDERS) + " ELSE 'unknown' END"
+
+
+@register(f"WITH {C} SELECT {_PLACEHOLDER} AS format, count(*) AS n FROM c GROUP BY 1")
 def placeholder_formats(spark, d):
     return passages(spark, d).groupBy(cleaning.placeholder_format(F.col("chunk_text")).alias("format")).agg(F.count("*").alias("n"))
 

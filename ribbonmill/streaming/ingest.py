@@ -28,10 +28,11 @@ def append_new(stream: DataFrame, target: str, checkpoint: str, key: str = "chun
 
     def write(batch: DataFrame, _: int) -> None:
         one = batch.dropDuplicates([key])
-        try:
-            have = batch.sparkSession.read.parquet(target).select(key)
-        except Exception:
-            have = None
+        spark = batch.sparkSession
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(target)
+        # only a target that isn't there counts as empty; any other failure to read it is one
+        there = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
+        have = spark.read.parquet(target).select(key) if there else None
         (one if have is None else one.join(have, key, "left_anti")).write.mode("append").parquet(target)
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
