@@ -1,43 +1,60 @@
 """Sentence units across languages and scripts.
 
 Rules over character properties, one pass over the marks of a text: a line break ends a unit; so does a
-sentence mark of any script with the closers and citations behind it, unless an abbreviation, an initial,
-a date or a number explains it, or a quotation holds it that goes on or is part of a longer sentence; and
-so does, in Thai, a space between two Thai characters. The rules know no language of a text beforehand:
-each abbreviation carries its own language's use.
+sentence mark of any script (Unicode's Sentence_Break classes STerm and ATerm) with the closers (its closing
+and final punctuation) and citations behind it, unless an abbreviation, an initial, a date or a number explains
+it, or a quotation holds it that goes on or is part of a longer sentence; and so does, in Thai, a space between two
+Thai characters. Marks other than . ? ! need no space after them.
+
+Abbreviations are suppressed by language: those of every language, and those of the languages whose function
+words a record holds (or all of them, where it holds none).
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Line breaks (a pair counts once).
 BREAK = re.compile("\r\n|[\n\r\x0b\x0c\x85  ]")
-#: Marks that end a sentence.
-MARK = re.compile("[.?!。？！।]+")
-WIDE = frozenset("。？！।")
+#: Marks that end a sentence, in any script.
+MARK = regex.compile(r"[\p{Sentence_Break=STerm}\p{Sentence_Break=ATerm}]+")
+NARROW = frozenset(".?!")
 #: Quotation marks and their closers.
 QUOTES = {"“": "”", "„": "“”", "«": "»", "「": "」", "『": "』", '"': '"', "›": "‹", "‹": "›"}
 QUOTE = re.compile('["“”„«»「」『』]|\n[ \t]*\n')
-CLOSERS = frozenset(")]}\"'”’»」』】）*_`")
+CLOSER = regex.compile(r"[\p{Pe}\p{Pf}\"'*_`]")
 CITATION = re.compile(r"[ \t ]*(?:\[(?:SOURCES? ?)?\d+(?:(?:, ?|; ?| and | ?[-–] ?)(?:SOURCES? ?)?\d+)*\]|\((?:SOURCES? ?)\d+(?:(?:, ?|; ?| and | ?[-–] ?)(?:SOURCES? ?)?\d+)*\))", re.I)
 THAI_SPACE = re.compile("(?<=[฀-๿])[  ]+(?=[฀-๿])")
 WORD_BEFORE = re.compile(r"[^\s()\[\]{}\"“”„«»‘’'<>|/,;:]+$")
-#: Abbreviations after which a sentence goes on, by language (en; de; fr; es; hi).
-GOES_ON = frozenset(
-    "dr prof ms mr mrs st vs e.g i.e cf fig figs sect sec suppl approx incl pp p vol eq ref refs tab dept resp viz ca al.d nos max min avg "
-    "nr bzw z.b u.a d.h evtl ggf inkl vgl abb bd hr fr usw.d "
-    "env mme mlle p.ex art ex "
-    "dra sra sr srta p.ej ej núm aprox "
-    "डॉ श्री प्रो".split()
-)
+#: Abbreviations after which a sentence goes on, in any language and by language.
+COMMON = frozenset("dr prof ms mr mrs st vs cf ca fig figs p pp vol nr no.s e.g i.e sect approx abb".split())
+GOES_ON = {
+    "en": frozenset("sec suppl incl eq ref refs tab dept resp viz al.d nos".split()),
+    "de": frozenset("bzw z.b u.a d.h evtl ggf inkl vgl bd hr usw.d".split()),
+    "fr": frozenset("env mme mlle p.ex art ex fr".split()),
+    "es": frozenset("dra sra sr srta p.ej ej núm aprox".split()),
+    "hi": frozenset("डॉ श्री प्रो".split()),
+}
+#: Function words by which the languages of a record are told.
+FUNCTION_WORDS = {
+    "en": frozenset("the of and was were with for that by from is not but which".split()),
+    "de": frozenset("der die und das mit den nicht ein eine von zu bei im auf wurde".split()),
+    "fr": frozenset("le les des et une dans pour est du par chez la sur aux".split()),
+    "es": frozenset("el los las del con para una por se la que en y".split()),
+}
+_LATIN_WORD = re.compile(r"[a-zà-ÿ]+")
+_EVERY = frozenset().union(COMMON, *GOES_ON.values())
+
+
 #: Abbreviations that may stand last in a sentence; it then ends if a new one plainly begins.
-MAY_END = frozenset("etc al a.m p.m q.d b.i.d t.i.d u.s e.u u.k inc ltd jr sr usw jan feb mar apr jun jul aug sep sept oct nov dec ph.d m.d".split())
+MAY_END = frozenset("max min avg etc al a.m p.m q.d b.i.d t.i.d u.s e.u u.k inc ltd jr sr usw jan feb mar apr jun jul aug sep sept oct nov dec ph.d m.d".split())
 #: German months, after an ordinal day.
 MONTHS = ("Januar", "Februar", "März", "April", "Mai", "Juni", "Juli", "August", "September", "Oktober", "November", "Dezember", "Jänner")
 
@@ -59,6 +76,17 @@ def _quote_spans(text: str) -> list[tuple[int, int]]:
     return spans
 
 
+def suppressed_in(text: str) -> frozenset[str]:
+    """The abbreviations to suppress in a record: those of any language and of the languages it is in."""
+    ws = Counter(_LATIN_WORD.findall(text.lower()))
+    hits = {k: sum(ws[w] for w in v) for k, v in FUNCTION_WORDS.items()}
+    best = max(hits.values())
+    known = [k for k, n in hits.items() if n and 3 * n >= best]
+    if "ऀ" <= max(text) and any("ऀ" <= c <= "ॿ" for c in text):
+        known.append("hi")
+    return COMMON.union(*(GOES_ON[k] for k in known)) if known else _EVERY
+
+
 def _begins(text: str, q: int) -> bool:
     """Whether what stands at q looks like the start of a sentence in a script with letter case."""
     c = text[q]
@@ -68,7 +96,7 @@ def _begins(text: str, q: int) -> bool:
     return True
 
 
-def _explained(text: str, s: int, e: int, line_start: int, q: int, line_end: int, cited: bool) -> bool:
+def _explained(text: str, s: int, e: int, line_start: int, q: int, line_end: int, cited: bool, goes_on: frozenset[str]) -> bool:
     """Whether the single full stop at s is part of an abbreviation, initial, ordinal or list number."""
     m = WORD_BEFORE.search(text, max(line_start, s - 24), s)
     if not m:
@@ -80,7 +108,7 @@ def _explained(text: str, s: int, e: int, line_start: int, q: int, line_end: int
         return not at_end
     if at_end or cited:
         return False
-    if low in GOES_ON:
+    if low in goes_on:
         return True
     if low == "no":
         return text[q].isdigit()
@@ -99,6 +127,7 @@ def unit_ends(text: str | None) -> list[int]:
     spans = _quote_spans(text)
     opens = {o for o, _ in spans}
     k = 0
+    goes_on = suppressed_in(text) if "." in text else COMMON
     pos, n = 0, len(text)
     while pos <= n:
         br = BREAK.search(text, pos)
@@ -109,7 +138,7 @@ def unit_ends(text: str | None) -> list[int]:
             ends.add(line_end)
             for m in MARK.finditer(text, pos, line_end):
                 s, e = m.span()
-                wide = any(c in WIDE for c in m[0])
+                wide = any(c not in NARROW for c in m[0])
                 if not wide and m[0].count(".") >= 2 and not set(m[0]) - {"."}:
                     continue
                 while k < len(spans) and spans[k][1] < s:
@@ -120,7 +149,7 @@ def unit_ends(text: str | None) -> list[int]:
                     if text[e:span[1]].strip():
                         continue
                     p = span[1] + 1
-                while p < line_end and text[p] in CLOSERS and p not in opens:
+                while p < line_end and p not in opens and CLOSER.match(text, p):
                     p += 1
                 quoted = any(c in "\"'”’»」』" for c in text[e:p])
                 if p > line_end:
@@ -134,7 +163,7 @@ def unit_ends(text: str | None) -> list[int]:
                 q = p
                 while q < line_end and text[q].isspace():
                     q += 1
-                if m[0] == "." and not quoted and _explained(text, s, e, pos, q, line_end, cited):
+                if m[0] == "." and not quoted and _explained(text, s, e, pos, q, line_end, cited, goes_on):
                     continue
                 if q < line_end and not cited:
                     nxt = text[q]

@@ -54,6 +54,10 @@ def test_truncation_by_trigrams(spark):
         ("委员会写道：“有效。安全。”约一半。", ["委员会写道：“有效。安全。”", "约一半。"]),
         ("पहला वाक्य। दूसरा!", ["पहला वाक्य।", "दूसरा!"]),
         ("ผู้ป่วย 12 คน ดีขึ้น ยา abc ดี", ["ผู้ป่วย 12 คน", "ดีขึ้น", "ยา abc ดี"]),
+        ("The dose was max. Then more came.", ["The dose was max.", "Then more came."]),
+        ("Le traitement dure env. Deux mois et une dose par jour.", ["Le traitement dure env. Deux mois et une dose par jour."]),
+        ("They had it with env. Then the rest of it.", ["They had it with env.", "Then the rest of it."]),
+        *[(f"aa{m} bb{m}", [f"aa{m}", f"bb{m}"]) for m in "؟។။։።॥．｡۔‼"],
         ("Am 13. Mai wurde z. B. nichts. Ende", ["Am 13. Mai wurde z. B. nichts.", "Ende"]),
     ],
 )
