@@ -57,6 +57,10 @@ def p7_clean(spark: SparkSession, d: str) -> DataFrame:
     return markup.clean_table(_wide(spark, d, "chunk"))
 
 
+def p7_slots(spark: SparkSession, d: str) -> DataFrame:
+    return markup.slot_table(_wide(spark, d, "chunk"))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return scans.found(_wide(spark, d, "chunk"))
 

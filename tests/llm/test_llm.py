@@ -164,6 +164,24 @@ def test_markup(spark):
     assert "```r\nx <- 1\n```" in markup.clean("a\n```r\nx <- 1\n```\n<br>b")
 
 
+def test_markup_by_its_class(spark):
+    """Tags of no known element are markup only through a class that holds both, in order and nested on all pages of their host."""
+    rows = [
+        ("a1", "a", "<sect1>One <xterm id='1'>term</xterm> here.</sect1>"), ("a2", "a", "<sect1>Two</sect1> and <xterm>x</xterm>"),
+        ("b1", "b", "<sect1>One"), ("b2", "b", "Two</sect1>"),  # equal counts over the host, but never on one page
+        ("c1", "c", "<aa>one <bb>two</aa> three</bb>"),  # badly nested
+        ("d1", "d", "n <five and m> six, <figno> 3"),
+    ]
+    df = spark.createDataFrame([(*r, "prose") for r in rows], "chunk_id string, doc_id string, chunk_text string, content_type string")
+    assert {(r[0], r[1]) for r in markup.found(df).collect()} == {("a1", "html"), ("a2", "html")}
+    out = {r["chunk_id"]: r["clean_text"] for r in markup.clean_table(df).collect()}
+    assert out["a1"] == "One term here." and out["a2"] == "Two and x" and all(out[k] == t for k, _, t in rows[2:])
+    got = {(r["chunk_id"], r["path"], r["slot"]) for r in markup.slot_table(df).collect()}
+    assert {("a1", "weak_tag sect1", "One  here."), ("a1", "weak_tag sect1/weak_tag xterm", "term"), ("a2", "weak_tag xterm", "x")} <= got
+    valid = {(r["host"], r["token"]): r["valid"] for r in markup.classes(markup.occurrences(df)).collect()}
+    assert valid["a", "weak_tag sect1<"] and not any(v for (h, _), v in valid.items() if h in "bcd")
+
+
 def test_encoding(spark):
     t = encoding.tokenizer()
     r = random.Random(3)
