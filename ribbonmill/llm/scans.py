@@ -139,7 +139,7 @@ def word_counts(df: DataFrame, text: str = "chunk_text") -> DataFrame:
             yield pd.DataFrame({"w": list(c), "n": list(c.values())})
 
     raw = df.select(F.col(text).alias("t")).where("t is not null").mapInPandas(run, "w string, n long")
-    raw = raw.where(~F.col("w").rlike("^[0-9-]+$") & (F.length("w") <= 60))
+    raw = raw.where(~F.col("w").rlike("^[0-9-]+$"))
     parts = raw.select(F.explode(F.array_union(F.array("w"), F.when(F.col("w").contains("-"), F.filter(F.split("w", "-"), lambda x: x.rlike(r"\p{L}"))).otherwise(F.array()))).alias("w"), "n")
     return parts.groupBy("w").agg(F.sum("n").alias("n"))
 
@@ -195,8 +195,8 @@ def train_ranker(words: dict[str, int], seed: int = 11) -> Boosted:
 
 
 def corrections(vocabulary: DataFrame, least: int, model: Boosted, ratio: float = 8.0) -> DataFrame:
-    """w, printed: each misread word and what was printed."""
-    usable = vocabulary.where(F.col("w").rlike(r"^[a-zà-öø-ýœ0-9]*[a-zà-öø-ýœ][a-zà-öø-ýœ0-9]*$") & F.length("w").between(2, 40))
+    """w, printed: each misread word, of any length, in scripts with letter case, and what was printed."""
+    usable = vocabulary.where(F.col("w").rlike(r"^[\p{Ll}0-9]*\p{Ll}[\p{Ll}0-9]*$") & (F.length("w") > 1))
 
     def keyed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -205,7 +205,7 @@ def corrections(vocabulary: DataFrame, least: int, model: Boosted, ratio: float
                 yield pd.DataFrame(rows, columns=["w", "n", "g"])
 
     read = usable.mapInPandas(keyed, "w string, n long, g string")
-    printed = usable.where((F.col("n") >= least) & F.col("w").rlike(r"^[a-zà-öø-ýœ]{2,}$")).mapInPandas(keyed, "w string, n long, g string").select(F.col("w").alias("printed"), F.col("n").alias("n_printed"), "g")
+    printed = usable.where((F.col("n") >= least) & F.col("w").rlike(r"^\p{Ll}{2,}$")).mapInPandas(keyed, "w string, n long, g string").select(F.col("w").alias("printed"), F.col("n").alias("n_printed"), "g")
     pairs = read.join(printed, "g").where((F.col("w") != F.col("printed")) & (F.col("n_printed") >= ratio * F.col("n")) & (F.abs(F.length("w") - F.length("printed")) <= 2))
     shared = pairs.groupBy("w", "n", "printed", "n_printed").agg((F.count("*") / (2 * F.length("w") + 1)).alias("shared"), F.bool_or(F.startswith("g", F.lit("~"))).alias("alike"))
     shared = shared.where("alike OR shared >= 0.2")
@@ -367,7 +367,7 @@ class Reader:
         for k, i in enumerate(full):
             v = lines[i].strip()
             last = v[-1]
-            if len(v) > 130 or v[0] == "|" and last == "|":
+            if v[0] == "|" and last == "|":
                 continue
             if len(v) < 24 and PAGE.fullmatch(v):
                 before = lines[full[k - 1]].strip() if k else ""
@@ -420,7 +420,7 @@ class Reader:
         if "<" in body or "&" in body:
             body = TAG.sub(" ", body)
         found = LETTERED.findall(body.lower())
-        new = {w for w in set(found) - self.known if max(w) < "ɐ"}
+        new = {w for w in set(found) - self.known if w.isascii() or all(c.upper() != c for c in w if c.isalpha())}
         parts = {p for w in new for p in (w.split("-") if "-" in w else (w,))} - self.known
         unknown = {w for w in parts if len(w) > 1 and not w.isdigit()}
         symbol = ("¼" in text or "þ" in text) and SYMBOL.search(text)

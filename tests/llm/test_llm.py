@@ -280,3 +280,15 @@ def test_pairs_hash_whole_answers():
     head, tail = "肝" * 1000, "尾声结束"
     assert len(pairs.words(head + tail)) > 1000
     assert set(pairs.hashed(tail)) <= set(pairs.hashed(head + tail))
+
+
+def test_scans_judge_long_lines_and_words():
+    """What was beyond a bound of length is treated like what was under it."""
+    class Yes:
+        def score_one(self, x):
+            return 1.0
+
+    reader = scans.Reader(frozenset(), Yes(), Yes())
+    for n in (100, 129, 131, 400):
+        head = "Journal of Made Names  " + "x" * (n - 23)
+        assert reader.furniture(["A line of text that goes on", head, "and ends here."], "t", None) == {1: {"running_header"}}
