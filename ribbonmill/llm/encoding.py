@@ -9,6 +9,9 @@ part's and its last token the right part's, in both cases at the same character;
 parts are then right as they are. The ids are exactly those of the whole text. A text, its leaves and
 its ids always fit in a row, as the text does in the table.
 
+Where all of a text's cuts are at white space nothing needs repair, so the faster of two libraries encodes its leaves,
+as it does texts of one leaf; the other one, which tells where tokens end, serves texts with a cut inside.
+
 Null and empty texts both give an empty list. Special tokens' strings are ordinary text.
 """
 
@@ -16,7 +19,7 @@ from __future__ import annotations
 
 import functools
 import os
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import Any
 
 import pandas as pd
@@ -42,6 +45,32 @@ def tokenizer(folder: str = TOKENIZERS, name: str = NAME) -> Any:
     return t
 
 
+#: Fixed value: how byte-level vocabularies of this kind split a text before merging.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
+@functools.lru_cache(maxsize=4)
+def fast(folder: str = TOKENIZERS, name: str = NAME) -> Callable[[list[str]], list[list[int]]]:
+    """ids of each of some texts; from the vocabulary's file of ranks if there is one, else from the tokenizer."""
+    ranks = f"{folder}/{name}.tiktoken"
+    if not os.path.exists(ranks):
+        t = tokenizer(folder, name)
+        return lambda texts: [e.ids for e in t.encode_batch_fast(texts, add_special_tokens=False)]
+    import base64
+
+    import tiktoken
+
+    with open(ranks, "rb") as f:
+        merges = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    e = tiktoken.Encoding(name, pat_str=PATTERN, mergeable_ranks=merges, special_tokens={})
+    return lambda texts: [e.encode_ordinary(x) for x in texts]
+
+
+def is_free(text: str, cut: int) -> bool:
+    """Whether no token can go across the cut."""
+    return text[cut] in " \n" and not text[cut - 1].isspace()
+
+
 def encode(t: Any, text: str) -> tuple[list[int], list[int]]:
     """ids and, for each, the character it ends at (tokens inside a character end at the one's end)."""
     e = t.encode(text, add_special_tokens=False)
@@ -61,7 +90,7 @@ def leaf_cuts(text: str, leaf_chars: int) -> list[int]:
 
 def join(t: Any, text: str, left: list[int], left_ends: list[int], right: list[int], right_ends: list[int], cut: int) -> tuple[list[int], list[int]]:
     """The encoding of text from those of text[:cut] and text[cut:]; ends count from the start of each part."""
-    if not left or not right or (text[cut] in " \n" and not text[cut - 1].isspace()):
+    if not left or not right or is_free(text, cut):
         return left + right, left_ends + [cut + e for e in right_ends]
     k = WINDOW
     while True:
@@ -102,9 +131,12 @@ def encode_text(text: str | None, folder: str = TOKENIZERS, name: str = NAME, le
     """ids of one text, by the tree, in one process."""
     if not text:
         return []
-    t = tokenizer(folder, name)
     cuts = leaf_cuts(text, leaf_chars)
-    return merge_tree(t, text, [encode(t, text[a:b]) for a, b in zip([0, *cuts], cuts)], cuts)
+    leaves = [text[a:b] for a, b in zip([0, *cuts], cuts)]
+    if all(is_free(text, c) for c in cuts[:-1]):
+        return [i for x in fast(folder, name)(leaves) for i in x]
+    t = tokenizer(folder, name)
+    return merge_tree(t, text, [encode(t, x) for x in leaves], cuts)
 
 
 def encode_corpus(df: DataFrame, key: str = "doc_id", text: str = "text", folder: str = TOKENIZERS, name: str = NAME, leaf_chars: int = LEAF_CHARS) -> DataFrame:
@@ -117,46 +149,62 @@ def encode_corpus(df: DataFrame, key: str = "doc_id", text: str = "text", folder
     kind = src.schema["k"].dataType.simpleString()
 
     def short(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        t = tokenizer(folder, name)
+        run = fast(folder, name)
         for b in batches:
-            if not len(b):
-                continue
-            texts = [x or "" for x in b["t"]]
-            yield pd.DataFrame({"k": b["k"], "ids": [e.ids for e in t.encode_batch_fast(texts, add_special_tokens=False)]})
+            if len(b):
+                yield pd.DataFrame({"k": b["k"], "ids": run([x or "" for x in b["t"]])})
 
     def cut_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
-            for r, k, x in zip(b["r"], b["k"], b["t"]):
+            for r, r2, k, n, x in zip(b["r"], b["r2"], b["k"], b["n"], b["t"]):
                 cuts = leaf_cuts(x, leaf_chars)
-                rows += [(r, k, i, x[a:c]) for i, (a, c) in enumerate(zip([0, *cuts], cuts))]
+                free = all(is_free(x, c) for c in cuts[:-1])
+                rows += [(r, r2, k, n, i, free, x[a:c]) for i, (a, c) in enumerate(zip([0, *cuts], cuts))]
             if rows:
-                yield pd.DataFrame(rows, columns=["r", "k", "i", "leaf"])
+                yield pd.DataFrame(rows, columns=["r", "r2", "k", "n", "i", "free", "leaf"])
 
     def leaves(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        t = tokenizer(folder, name)
+        run, t = fast(folder, name), tokenizer(folder, name)
         for b in batches:
-            es = [encode(t, x) for x in b["leaf"]]
+            es = [(x, []) if f else encode(t, leaf) for f, leaf, x in zip(b["free"], b["leaf"], run([x if f else "" for f, x in zip(b["free"], b["leaf"])]))]
             yield b.assign(ids=[e[0] for e in es], ends=[e[1] for e in es])
 
     def rejoin(b: pd.DataFrame) -> pd.DataFrame:
-        t = tokenizer(folder, name)
         b = b.drop_duplicates("i").sort_values("i")
-        text_, cuts, at = "".join(b["leaf"]), [], 0
-        for x in b["leaf"]:
-            at += len(x)
-            cuts.append(at)
-        ids = merge_tree(t, text_, [(list(i), list(e)) for i, e in zip(b["ids"], b["ends"])], cuts)
-        return pd.DataFrame({"k": [b["k"].iloc[0]], "ids": [ids]})
+        if b["free"].iloc[0]:
+            ids = [int(i) for x in b["ids"] for i in x]
+        else:
+            text_, cuts, at = "".join(b["leaf"]), [], 0
+            for x in b["leaf"]:
+                at += len(x)
+                cuts.append(at)
+            ids = merge_tree(tokenizer(folder, name), text_, [(list(i), list(e)) for i, e in zip(b["ids"], b["ends"])], cuts)
+        return pd.DataFrame({"k": [b["k"].iloc[0]], "n": [b["n"].iloc[0]], "ids": [ids]})
 
     is_long = F.coalesce(F.length("t") > leaf_chars, F.lit(False))
     a = src.where(~is_long).mapInPandas(short, f"k {kind}, ids array<int>")
-    parts = src.where(is_long).withColumn("r", F.monotonically_increasing_id())
-    parts = parts.mapInPandas(cut_up, f"r long, k {kind}, i int, leaf string").repartition("r", "i")
-    b = parts.mapInPandas(leaves, f"r long, k {kind}, i int, leaf string, ids array<int>, ends array<int>").groupBy("r").applyInPandas(rejoin, f"k {kind}, ids array<int>")
-    return a.union(b).withColumnRenamed("k", key)
+    # leaves meet again by a hash of their row; equal rows are encoded once and come out as often as they are
+    whole = src.where(is_long).groupBy("k", "t").agg(F.count("*").alias("n"))
+    parts = whole.select(F.xxhash64("k", "t").alias("r"), F.xxhash64(F.lit("second"), "k", "t").alias("r2"), "k", "n", "t")
+    parts = parts.mapInPandas(cut_up, f"r long, r2 long, k {kind}, n long, i int, free boolean, leaf string").repartition("r", "i")
+    b = parts.mapInPandas(leaves, f"r long, r2 long, k {kind}, n long, i int, free boolean, leaf string, ids array<int>, ends array<int>")
+    b = b.groupBy("r", "r2").applyInPandas(rejoin, f"k {kind}, n long, ids array<int>")
+    return a.union(b.select("k", "ids", F.explode(F.sequence(F.lit(1), F.col("n").cast("int")))).select("k", "ids")).withColumnRenamed("k", key)
 
 
-def token_counts(df: DataFrame, key: str = "doc_id", text: str = "text", folder: str = TOKENIZERS, name: str = NAME) -> DataFrame:
-    """key, tokens of every row of df."""
-    return encode_corpus(df, key, text, folder, name).select(key, F.size("ids").alias("tokens"))
+def token_counts(df: DataFrame, key: str = "doc_id", text: str = "text", folder: str = TOKENIZERS, name: str = NAME, keep: tuple[str, ...] = (), leaf_chars: int = LEAF_CHARS) -> DataFrame:
+    """key, keep, tokens of every row of df: counted where the row is, so that no text and no ids move."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            if not len(b):
+                continue
+            texts = [x or "" for x in b["t"]]
+            small = fast(folder, name)([x if len(x) <= leaf_chars else "" for x in texts])
+            yield b.drop(columns="t").assign(tokens=[len(i) if len(x) <= leaf_chars else len(encode_text(x, folder, name, leaf_chars)) for x, i in zip(texts, small)])
+
+    src = df.select(F.col(key).alias("k"), *[F.col(c).alias(f"_{i}") for i, c in enumerate(keep)], F.col(text).alias("t"))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema if f.name != "t")
+    out = src.mapInPandas(run, f"{schema}, tokens int")
+    return out.select(F.col("k").alias(key), *[F.col(f"_{i}").alias(c) for i, c in enumerate(keep)], "tokens")

@@ -31,11 +31,11 @@ def plain_source(c: Column) -> Column:
     return F.lower(F.regexp_replace(c, r"(?U)^[\s ]+|[\s ]+$", ""))
 
 
-def sized(documents: DataFrame, targets: DataFrame, sizes: DataFrame, key: str = "doc_id") -> DataFrame:
-    """key, source, tokens, h: the documents of listed sources; h has BITS * LEVELS bits. targets is a fixed table and is broadcast."""
+def sized(documents: DataFrame, targets: DataFrame, tokens: str = "tokens", key: str = "doc_id") -> DataFrame:
+    """key, source, tokens, h: the documents of listed sources, from a table with their tokens; h has BITS * LEVELS bits. targets is a fixed table and is broadcast. A repeated row stays a row of its own."""
     listed = F.broadcast(targets.select(plain_source(F.col("source")).alias("source")).distinct())
-    d = documents.select(key, plain_source(F.col("source")).alias("source")).join(listed, "source", "left_semi").join(sizes, key)
-    return d.select(key, "source", F.col("tokens").cast("long").alias("tokens"), F.shiftrightunsigned(F.xxhash64(F.lit("mix"), key), 64 - BITS * LEVELS).alias("h")).where("tokens > 0")
+    d = documents.select(key, plain_source(F.col("source")).alias("source"), F.col(tokens).cast("long").alias("tokens")).join(listed, "source", "left_semi")
+    return d.select(key, "source", "tokens", F.shiftrightunsigned(F.xxhash64(F.lit("mix"), key), 64 - BITS * LEVELS).alias("h")).where("tokens > 0")
 
 
 def thresholds(docs: DataFrame, rest: dict[str, float]) -> dict[str, int]:
@@ -71,10 +71,13 @@ def thresholds(docs: DataFrame, rest: dict[str, float]) -> dict[str, int]:
     return out
 
 
-def mix(documents: DataFrame, targets: DataFrame, sizes: DataFrame | None = None, key: str = "doc_id") -> tuple[DataFrame, DataFrame]:
-    """(key, source, tokens, repeats of each document in the mix; source, target_share, target_tokens, available_tokens, max_repeats, actual_tokens, actual_share, share_of_size)."""
-    sizes = token_counts(documents, key) if sizes is None else sizes
-    docs = cut(sized(documents, targets, sizes, key))
+def mix(documents: DataFrame, targets: DataFrame, tokens: str | None = None, key: str = "doc_id") -> tuple[DataFrame, DataFrame]:
+    """tokens: the column that has them, if they are counted already. Returns (key, source, tokens, repeats of each document in the mix; source, target_share, target_tokens, available_tokens, max_repeats, actual_tokens, actual_share, share_of_size)."""
+    if tokens is None:  # only listed sources' texts are encoded; the counts stay beside their rows
+        listed = F.broadcast(targets.select(plain_source(F.col("source")).alias("_s")).distinct())
+        rows = documents.join(listed, plain_source(F.col("source")) == F.col("_s"), "left_semi")
+        documents, tokens = token_counts(rows, key, keep=("source",)), "tokens"
+    docs = cut(sized(documents, targets, tokens, key))
     # fixed table: a row a source
     want = {r["s"]: (r["t"] or 0.0, max(0, r["m"] or 0)) for r in targets.select(plain_source(F.col("source")).alias("s"), F.col("target_share").alias("t"), F.col("max_repeats").alias("m")).where("s is not null").collect()}
     have = {r["source"]: r["n"] for r in docs.groupBy("source").agg(F.sum("tokens").alias("n")).collect()}

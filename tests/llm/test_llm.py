@@ -194,13 +194,19 @@ def test_encoding(spark):
     for d, x in rows:
         assert [g["ids"] for g in got if g["doc_id"] == d][0] == t.encode(x or "", add_special_tokens=False).ids
     assert len(got) == 6 and [g["ids"] for g in got if g["doc_id"] == 2] == [[]]
+    long = [(1, "word and more " * 900), (1, "word and more " * 900), (1, "y" * 9000 + " é" * 3000), (2, "中" * 9000)]  # equal rows, and another text under one key
+    df = spark.createDataFrame(long, "doc_id bigint, text string")
+    want = sorted(t.encode(x, add_special_tokens=False).ids for _, x in long)
+    assert sorted(g["ids"] for g in encoding.encode_corpus(df).collect()) == want
+    assert sorted(g["tokens"] for g in encoding.token_counts(df).collect()) == sorted(map(len, want))
 
 
 def test_mixing(spark):
     r = random.Random(1)
     docs = [(i, f" {r.choice('AABC')} ", "x") for i in range(3000)]
     df = spark.createDataFrame(docs, "doc_id bigint, source string, text string").withColumn("source", F.when(F.col("doc_id") == 7, None).otherwise(F.col("source")))
-    sizes = spark.createDataFrame([(i, 1 + i % 50) for i, _, _ in docs], "doc_id bigint, tokens int")
+    sizes = "size"
+    df = df.withColumn(sizes, (1 + F.col("doc_id") % 50).cast("int"))
     targets = spark.createDataFrame([("a", 0.2, 1), ("b", 0.5, 2), ("c", 0.3, 1), ("zz", 0.0, 3)], "source string, target_share double, max_repeats int")
     used, report = mixing.mix(df, targets, sizes)
     rep = {x["source"]: x for x in report.collect()}
@@ -209,6 +215,9 @@ def test_mixing(spark):
     assert rep["c"]["actual_tokens"] == rep["c"]["available_tokens"] < rep["c"]["target_tokens"]
     assert used.where("repeats > 2 OR doc_id = 7").count() == 0 and used.select("doc_id").distinct().count() == used.count()
     assert mixing.mix(df.where("false"), targets, sizes)[0].count() == 0
+    three = spark.createDataFrame([(1, "a", "x y"), (1, "a", "x y"), (2, "A ", "z")], "doc_id bigint, source string, text string")  # a row delivered twice stays two rows
+    used, report = mixing.mix(three, spark.createDataFrame([("a", 1.0, 1)], "source string, target_share double, max_repeats int"))
+    assert sorted((x["doc_id"], x["tokens"]) for x in used.collect()) == [(1, 2), (1, 2), (2, 1)] and report.first()["actual_tokens"] == 5
 
 
 def test_repetition(spark):
