@@ -93,9 +93,12 @@ def subsplit(body: Column, most: int = 512) -> Column:
     return again(out, r"(?<=[.!?])\s+", " ")
 
 
-def chunk_documents(docs: DataFrame, metadata: DataFrame | None = None, key: str = "doc_id", text: str = "text", most: int = 512, least: int = 80) -> DataFrame:
+def chunk_documents(docs: DataFrame, metadata: DataFrame | None = None, key: str = "doc_id", text: str = "text", most: int = 512, least: int = 80, log: DataFrame | None = None) -> DataFrame:
     """chunk_id, key, section_h1..h3, content_type, page_hint, chunk_text, token_count, and the metadata's columns.
 
+    With an extraction log, bodies are first cut at the exact blocks of its captioned figures: each is a passage of
+    its own, whatever its size, and what stands around it is packed apart.
+
     Sections under junk headings, empty bodies, table noise and pieces under ``least`` tokens (figures but)
     are left out. Ids count the kept pieces of a document. Documents without metadata have nulls.
     """
@@ -104,10 +107,18 @@ def chunk_documents(docs: DataFrame, metadata: DataFrame | None = None, key: str
     secs = sections(docs, key, text)
     titles = metadata.select(key, "title") if metadata is not None and "title" in metadata.columns else None
     x = breadcrumbs(with_suppressed(secs, key), titles, key).where("NOT suppressed AND body != ''")
-    x = x.select(key, "section_no", "section_h1", "section_h2", "section_h3", F.posexplode(subsplit(F.col("body"), most)).alias("sub", "chunk_text"))
-    x = x.where(~is_table_noise(F.col("chunk_text"))).withColumn("content_type", content_type(F.col("chunk_text"))).withColumn("token_count", token_count(F.col("chunk_text")))
+    if log is not None:
+        from ribbonmill.operators.figures import block_lists, segments
+
+        x = x.join(block_lists(log, key), key, "left").select("*", F.posexplode(segments(F.col("body"), F.col("blocks"))).alias("seg", "s"))
+        x = x.select("*", F.col("s.is_figure").alias("fig")).withColumn("body", F.regexp_replace("s.text", r"^\s+|\s+$", ""))
+    else:
+        x = x.withColumn("seg", F.lit(0)).withColumn("fig", F.lit(False))
+    pieces = F.when(F.col("fig"), F.array("body")).otherwise(subsplit(F.col("body"), most))
+    x = x.select(key, "section_no", "section_h1", "section_h2", "section_h3", "seg", "fig", F.posexplode(pieces).alias("sub", "chunk_text"))
+    x = x.where(~is_table_noise(F.col("chunk_text"))).withColumn("content_type", F.when(F.col("fig"), "figure_caption").otherwise(content_type(F.col("chunk_text")))).withColumn("token_count", token_count(F.col("chunk_text")))
     x = x.where((F.col("token_count") >= least) | (F.col("content_type") == "figure_caption"))
-    no = F.row_number().over(Window.partitionBy(key).orderBy("section_no", "sub")) - 1
+    no = F.row_number().over(Window.partitionBy(key).orderBy("section_no", "seg", "sub")) - 1
     x = x.withColumn("chunk_id", F.format_string("%s_chunk_%04d", F.col(key), no)).withColumn("page_hint", F.lit(None).cast("int"))
     cols = ["chunk_id", key, "section_h1", "section_h2", "section_h3", "content_type", "page_hint", "chunk_text", "token_count"]
     out = x.select(*cols)

@@ -54,8 +54,13 @@ def segments(body: Column, blocks: Column) -> Column:
     return F.when(F.size(spans) == 0, F.array(piece(body, False))).otherwise(F.aggregate(spans, first, step, finish))
 
 
-def split_documents(docs: DataFrame, log: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, segment_no, is_figure, segment of each document, cut at the blocks of its log's figures. A document's figures, some dozens, are one array."""
+def block_lists(log: DataFrame, key: str = "doc_id") -> DataFrame:
+    """key, blocks: the blocks of each document's figures in order. A document's figures, some dozens, are one array."""
     b = log.select(key, F.explode("figures").alias("f")).select(key, F.col("f.index").alias("i"), block(F.col("f")).alias("b")).where("b is not null").distinct()
-    b = b.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "b"))), lambda x: x["b"]).alias("blocks"))
-    return docs.select(key, text).join(b, key, "left").select(key, F.posexplode(segments(F.col(text), F.col("blocks"))).alias("segment_no", "s")).select(key, "segment_no", "s.is_figure", F.col("s.text").alias("segment"))
+    return b.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "b"))), lambda x: x["b"]).alias("blocks"))
+
+
+def split_documents(docs: DataFrame, log: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """key, segment_no, is_figure, segment of each document, cut at the blocks of its log's figures."""
+    j = docs.select(key, text).join(block_lists(log, key), key, "left")
+    return j.select(key, F.posexplode(segments(F.col(text), F.col("blocks"))).alias("segment_no", "s")).select(key, "segment_no", "s.is_figure", F.col("s.text").alias("segment"))

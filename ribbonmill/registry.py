@@ -270,12 +270,13 @@ def sweep_cap(spark, d):
 
 
 @register(
-    f"""WITH {C}, {G}, {STATS}, {BM}, t AS (SELECT query_type, max(score) FILTER (rank = 1) AS s FROM g LEFT JOIN sparse USING (query_id) GROUP BY g.query_id, query_type)
+    f"""WITH {C}, {G}, {DENSE}, t AS (SELECT query_type, max(score) FILTER (rank = 1) AS s FROM g LEFT JOIN dense USING (query_id) GROUP BY g.query_id, query_type)
 SELECT query_type AS tier, count(*) AS queries, round(min(s), 4) AS min_score, round(max(s), 4) AS max_score, round(avg(s), 4) AS mean_score, round(median(s), 4) AS median_score FROM t GROUP BY 1"""
 )
 def tier_summary(spark, d):
-    g = gold(spark, d)
-    top = sparse.search(g, passages(spark, d), 1).select("query_id", "score")
+    """The best vector score of each query, by type."""
+    g, i = gold(spark, d), _index(spark, d)
+    top = dense.search(g.select("query_id", hash_vector(F.col("query")).alias("vector")), i.vectors, 1).select("query_id", "score")
     s = g.select("query_id", F.col("query_type").alias("tier")).join(top, "query_id", "left")
     r = lambda c, n: F.round(c, 4).alias(n)
     return s.groupBy("tier").agg(F.count("*").alias("queries"), r(F.min("score"), "min_score"), r(F.max("score"), "max_score"), r(F.avg("score"), "mean_score"), r(F.percentile("score", F.lit(0.5)), "median_score"))
@@ -938,6 +939,17 @@ def figure_segments(spark, d):
     return figures.split_documents(docs, log).select("doc_id", F.col("segment_no").cast("long").alias("segment_no"), "is_figure", F.md5(F.regexp_replace("segment", r"^\n+|\n+$", "")).alias("segment"))
 
 
+@register(f"WITH {_blocks_sql()} SELECT doc_id, count(*) AS figures, count(*) + 1 AS others, min(md5(b)) AS first_figure FROM b GROUP BY 1")
+def chunk_with_figures(spark, d):
+    """Documents of figure blocks and text cut into passages, each figure a passage of its own."""
+    log = table(spark, d, "extraction_log").dropDuplicates(["doc_id"])
+    t = F.array_join(F.transform("blocks", lambda b, n: F.concat(F.lit("Before figure "), (n + 1).cast("string"), F.lit(".\n"), b)), "\n")
+    docs = figures.block_lists(log).select("doc_id", F.concat(F.lit("# Figures\n"), t, F.lit("\nEnd.")).alias("text"))
+    c = chunking.chunk_documents(docs, least=0, log=log)
+    fig = F.col("content_type") == "figure_caption"
+    return c.groupBy("doc_id").agg(F.count_if(fig).alias("figures"), F.count_if(~fig).alias("others"), F.min(F.when(fig, F.md5("chunk_text"))).alias("first_figure"))
+
+
 @register("""WITH f AS (SELECT DISTINCT doc_id, x."index" AS i, x.size[1] AS w, x.size[2] AS h, coalesce(x.docling_context, '') AS t FROM (SELECT doc_id, unnest(figures) AS x FROM extraction_log)),
 s AS (SELECT *, coalesce(w < 250 OR h < 200, false) AS small FROM f), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, small, md5(t) ORDER BY i) AS n FROM s)
 SELECT doc_id, i, CASE WHEN small THEN 'too small' WHEN n > 1 THEN 'duplicate' END AS reason, CASE WHEN small OR n > 1 THEN 'skipped' ELSE 'saved' END AS kept_status FROM r""")

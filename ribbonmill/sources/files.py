@@ -57,15 +57,33 @@ def write_lines(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     df.write.mode(mode).json(path)
 
 
+def write_array(df: DataFrame, path: str, order: str | None = None) -> int:
+    """Writes the rows as one JSON array, as other programs expect it, and returns their number; rows come to the driver a partition at a time. For result tables, not for corpora."""
+    rows = (df.orderBy(order) if order else df).select(F.to_json(F.struct("*")).alias("j"))
+    n = 0
+    with open(path, "w", encoding="utf-8") as f:
+        f.write("[")
+        for r in rows.toLocalIterator():
+            f.write(("," if n else "") + "\n" + r["j"])
+            n += 1
+        f.write("\n]\n")
+    return n
+
+
 def write_index(postings: DataFrame, lengths: DataFrame, stats: DataFrame, vectors: DataFrame, folder: str) -> None:
     """The index as tables; postings by term, so that a search reads its terms only."""
     postings.repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{folder}/postings")
     for name, df in (("lengths", lengths), ("term_stats", stats), ("vectors", vectors)):
         df.write.mode("overwrite").parquet(f"{folder}/{name}")
+    # where each vector is: its file and place, so that a row can be found from a hit and a hit from a row
+    stored = vectors.sparkSession.read.parquet(f"{folder}/vectors")
+    key = stored.columns[0]
+    at = stored.select(key, F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("position"))
+    at.write.mode("overwrite").parquet(f"{folder}/positions")
 
 
 def read_index(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
-    return {n: spark.read.parquet(f"{folder}/{n}") for n in ("postings", "lengths", "term_stats", "vectors")}
+    return {n: spark.read.parquet(f"{folder}/{n}") for n in ("postings", "lengths", "term_stats", "vectors", "positions")}
 
 
 def bibliographic_record(reply: Column) -> Column:

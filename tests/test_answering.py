@@ -7,8 +7,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from ribbonmill import registry
-from ribbonmill.operators import answering, chunking, dense, figures, review, sparse
+from ribbonmill.operators import answering, captions, chunking, dense, figures, review, sparse
 from ribbonmill.operators.cleaning import REFUSAL
+from ribbonmill.sources import files
 
 
 def one(spark, column, lists=False, **values):
@@ -31,6 +32,28 @@ def test_kept_figures(spark):
     assert figures.kept(df.where("false"), "t", F.col("w"), F.col("h")).count() == 0
 
 
+def test_all_placeholder_formats():
+    fig = lambda n: {"figure_no": n, "filename": f"f{n}.png", "action": "caption", "summary": f"S{n}", "enriched": None, "metadata": "{}"}
+    text = "<!-- image -->\n![](figures/f2.png)\n![image](x/f3.png)\n![Figure from oncology document: z](f4.png)\n![a caption made before](figures/f5.png)\n![other](other.png)"
+    out, made, lost = captions.inject(text, [fig(n) for n in range(1, 7)])
+    assert made == 5 and [x["figure_no"] for x in lost] == [6] and all(f"![S{n}](figures/f{n}.png)" in out for n in range(1, 6)) and "![other](other.png)" in out
+    again, made, lost = captions.inject(out, [fig(n) for n in range(1, 6)])
+    assert again == out and made == 5 and not lost
+
+
+def test_written_array_and_positions(spark, tmp_path):
+    import json
+
+    df = spark.createDataFrame([(2, "b\n"), (1, None)], "i int, t string")
+    assert files.write_array(df, str(tmp_path / "a.json"), "i") == 2
+    assert json.load(open(tmp_path / "a.json")) == [{"i": 1}, {"i": 2, "t": "b\n"}] and files.write_array(df.where("false"), str(tmp_path / "e.json")) == 0
+    v = spark.createDataFrame([(f"c{i}", [float(i)]) for i in range(9)], "chunk_id string, vector array<double>")
+    p = spark.createDataFrame([("x", "c0", 1)], "term string, chunk_id string, tf int")
+    files.write_index(p, p.select("chunk_id"), p.select("term"), v, str(tmp_path / "index"))
+    at = files.read_index(spark, str(tmp_path / "index"))["positions"].collect()
+    assert len({(r["file"], r["position"]) for r in at}) == 9 and {r["chunk_id"] for r in at} == {f"c{i}" for i in range(9)}
+
+
 def test_answers(spark):
     q = spark.createDataFrame([("a",), ("b",)], "query_id string")
     p = spark.createDataFrame([("c1", " text ", 1)], "chunk_id string, chunk_text string, answer int")  # a clashing name
@@ -91,7 +114,7 @@ def test_approximate_search(spark):
     assert dense.approximate(q.where("false"), v).count() == 0
 
 
-NAMES = ("line_pack", "numeric_flags", "numeric_totals", "labelling_sheet", "behaviour", "gold_drift", "drift_counts", "drift_proposals", "review_filter", "missing_report", "build_meta", "meta_context", "list_conflicts", "encoded_keys", "figure_blocks", "figure_segments", "figure_filter", "valid_extractions", "without_figures", "boilerplate_totals", "check_report", "next_to_do", "ungrounded_tokens", "answer_sources", "rerank_delta", "retrieval_quality")
+NAMES = ("line_pack", "numeric_flags", "numeric_totals", "labelling_sheet", "behaviour", "gold_drift", "drift_counts", "drift_proposals", "review_filter", "missing_report", "build_meta", "meta_context", "list_conflicts", "encoded_keys", "figure_blocks", "figure_segments", "figure_filter", "chunk_with_figures", "tier_summary", "valid_extractions", "without_figures", "boilerplate_totals", "check_report", "next_to_do", "ungrounded_tokens", "answer_sources", "rerank_delta", "retrieval_quality")
 
 
 @pytest.mark.parametrize("name", NAMES)
