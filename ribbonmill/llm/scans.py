@@ -347,11 +347,55 @@ def train_lines(rows: list[tuple[str, str, str]], seed: int = 9) -> Boosted:
     return Boosted(trees=30, depth=3).fit(np.array(x), np.array(y))
 
 
+_NUMERIC = re.compile(r"[\d\s.%()-]+")
+
+
+def page_features(line: str, before: str, after: str, edge: bool) -> tuple[float, ...]:
+    """What the classifier knows of a line that has the form of a page number: its form and the pairs it makes with its neighbours."""
+    numeric = [float(_NUMERIC.fullmatch(z) is not None and PAGE.fullmatch(z) is None) for z in (before, after)]
+    alike = [float(z != "" and PAGE.fullmatch(z) is not None) for z in (before, after)]
+    wordy = [sum(map(str.isalpha, z)) / max(1, len(z)) for z in (before, after)]
+    return (*numeric, *alike, *wordy, float(before == ""), float(after == ""), float(ENDS.search(before) is not None), float(after[:1].islower()), float(line.isdigit()), float(len(line)), float(edge))
+
+
+def train_pages(rows: list[tuple[str, str, str]], seed: int = 6) -> Boosted:
+    """Classifier of printed page numbers among lines of their form, from texts of a bounded sample: numbers put between real lines, and numbers within made columns."""
+    r = random.Random(seed)
+    x, y = [], []
+    for text, _, _ in rows:
+        lines = [v.strip() for v in text.split("\n") if v.strip()]
+        if len(lines) < 2:
+            w = text.split()
+            lines = [" ".join(w[i : i + 10]) for i in range(0, len(w), 10)]
+        n = r.randrange(1, 999)
+        page = r.choice((f"{n}", f"{n}", f"- {n} -", f"Page {n}", f"p. {n}", f"Page {n} of {n + r.randrange(90)}", f"{n}/{n + r.randrange(90)}"))
+        if len(lines) > 1 and PAGE.fullmatch(page):
+            i = r.choice((0, len(lines), r.randrange(len(lines) + 1), r.randrange(len(lines) + 1)))
+            before, after = lines[i - 1] if i else "", lines[i] if i < len(lines) else ""
+            x.append(page_features(page, before, after, i in (0, len(lines))))
+            y.append(1)
+        cell = lambda: r.choice((f"{r.random() * 99:.1f}", f"{r.randrange(100)}%", f"{r.randrange(300)} ({r.randrange(99)})", f"{r.randrange(99)}.{r.randrange(9)} {r.randrange(99)}"))
+        around = [cell(), cell()]
+        k = r.random()
+        if k < 0.3:
+            around[r.randrange(2)] = r.choice(lines)
+        elif k < 0.4:
+            around[r.randrange(2)] = ""
+        elif k < 0.5:
+            around[r.randrange(2)] = str(r.randrange(400))
+        if PAGE.fullmatch(str(n)):
+            x.append(page_features(str(n), *around, "" in around))
+            y.append(0)
+    if not x:
+        x, y = [(0.0,) * 13], [0]
+    return Boosted(trees=20, depth=3).fit(np.array(x), np.array(y))
+
+
 class Reader:
-    """The dictionary and the two line classifiers, as tasks use them."""
+    """The dictionary and the line classifiers, as tasks use them."""
 
-    def __init__(self, known: frozenset[str], joins: Boosted, lines: Boosted) -> None:
-        self.known, self.joins, self.lines = known, joins, lines
+    def __init__(self, known: frozenset[str], joins: Boosted, lines: Boosted, pages: Boosted) -> None:
+        self.known, self.joins, self.lines, self.pages = known, joins, lines, pages
 
     def readable(self, words: list[str]) -> bool:
         """Whether most words are in the dictionary; junk isn't read."""
@@ -372,7 +416,7 @@ class Reader:
             if len(v) < 24 and PAGE.fullmatch(v):
                 before = lines[full[k - 1]].strip() if k else ""
                 after = lines[full[k + 1]].strip() if k + 1 < len(full) else ""
-                if not any(re.fullmatch(r"[\d\s.%()-]+", z) and not PAGE.fullmatch(z) for z in (before, after)):
+                if self.pages.score_one(page_features(v, before, after, k in (0, len(full) - 1))) >= 0.5:
                     out[i] = {"page_number"}
                 continue
             volume = last == ")" and VOLUME.search(v)
@@ -494,7 +538,8 @@ def prepare(chunk: DataFrame) -> tuple[Reader, DataFrame]:
         words.pop(r["w"], None)
     rows = chunk.where("length(chunk_text) > 200 AND content_type = 'prose'").select("chunk_id", "chunk_text", F.coalesce("title", F.lit("")).alias("t"), F.coalesce("journal", "guideline_version", F.lit("")).alias("j"))
     sample = [tuple(r) for r in hash_sample(rows, chunk.count(), "chunk_id", SAMPLE).select("chunk_text", "t", "j").collect()]
-    return Reader(frozenset(words), train_joins(words), train_lines(sorted(sample))), fixes
+    sample.sort()
+    return Reader(frozenset(words), train_joins(words), train_lines(sample), train_pages(sample)), fixes
 
 
 def observed(chunk: DataFrame, reader: Reader) -> DataFrame:

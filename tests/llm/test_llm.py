@@ -291,13 +291,21 @@ def test_pairs_hash_whole_answers():
     assert set(pairs.hashed(tail)) <= set(pairs.hashed(head + tail))
 
 
+def test_scans_page_numbers_by_their_neighbours():
+    texts = [(" ".join(f"word{i} of the text {j} goes on and on." for i in range(12)), "t", "j") for j in range(200)]
+    m = scans.train_pages(texts)
+    f = lambda line, before, after, edge=False: m.score_one(scans.page_features(line, before, after, edge)) >= 0.5
+    assert f("12", "The text goes on", "to the next page.") and f("- 12 -", "It ends here.", "", True)
+    assert not f("12", "45.1", "33%") and not f("12", "14 (3)", "9.5")
+
+
 def test_scans_judge_long_lines_and_words():
     """What was beyond a bound of length is treated like what was under it."""
     class Yes:
         def score_one(self, x):
             return 1.0
 
-    reader = scans.Reader(frozenset(), Yes(), Yes())
+    reader = scans.Reader(frozenset(), Yes(), Yes(), Yes())
     for n in (100, 129, 131, 400):
         head = "Journal of Made Names  " + "x" * (n - 23)
         assert reader.furniture(["A line of text that goes on", head, "and ends here."], "t", None) == {1: {"running_header"}}
