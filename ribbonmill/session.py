@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
 import os
 import tempfile
 import uuid
@@ -42,23 +41,34 @@ def shared_dir(spark: SparkSession) -> str:
     return d
 
 
-def _remove(spark: SparkSession, path: str) -> None:
-    try:
-        jvm = spark.sparkContext._jvm
-        jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(jvm.org.apache.hadoop.fs.Path(path), True)
-    except Exception:  # the session is gone, and with it the way to the folder
-        pass
+_TABLES: list[str] = []
+
+
+def _file_system(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Compute df once and cut its lineage: a table written to the shared folder, so that a lost executor costs only its own tasks. It is removed when the session's program ends."""
+    """Compute df once and cut its lineage: a table written to the shared folder, so that a lost executor costs only its own tasks. The driver removes it when it ends, or earlier by ``clean``."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/ribbonmill_{uuid.uuid4().hex}"
-    atexit.register(_remove, spark, path)
     df.write.parquet(path)
+    fs, p = _file_system(spark, path)
+    fs.deleteOnExit(p)
+    _TABLES.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def clean(spark: SparkSession) -> int:
+    """Remove the tables that ``cut`` wrote, once the results made of them are stored; their number."""
+    n = len(_TABLES)
+    while _TABLES:
+        fs, p = _file_system(spark, _TABLES.pop())
+        fs.delete(p, True)
+    return n
+
+
 def ship(spark: SparkSession) -> None:
     """Makes this package importable on all executors, wherever the driver has it from; once a session's context."""
     sc = spark.sparkContext

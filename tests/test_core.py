@@ -1,5 +1,6 @@
 """Core operators against small cases, and every query against its SQL on the smallest tables."""
 
+import os
 import random
 
 import pytest
@@ -228,3 +229,13 @@ def test_think_strip_all(spark, data, tmp_path):
         want = {r[0]: r[1] if r[1] is None else re.sub(r"<think>.*?</think>", "", r[1], flags=re.S).strip() for r in rows}
         got = registry.queries()["think_strip_all"](spark, folder).collect()
         assert len(got) == len(want) and {r[0]: r[1] for r in got} == want
+
+
+def test_cut_tables_are_removed(spark):
+    from ribbonmill import session
+
+    session.clean(spark)
+    df = session.cut(spark.range(5).selectExpr("id", "array(id) AS a"))
+    assert df.count() == 5 and df.schema["a"].dataType.simpleString() == "array<bigint>" and "Range" not in df._jdf.queryExecution().toString()
+    path = session._TABLES[-1].removeprefix("file://")
+    assert os.path.isdir(path) and session.clean(spark) == 1 and not os.path.exists(path)
