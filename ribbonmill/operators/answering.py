@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ribbonmill.operators import fusion
 from ribbonmill.operators.cleaning import REFUSAL, is_abstention
 from ribbonmill.operators.retrieve import Index, Params, fuse, pools
+from ribbonmill.session import cut
 
 #: A cap that no document reaches.
 NO_CAP = 1_000_000
@@ -29,7 +30,7 @@ def reranked(queries: DataFrame, pooled: DataFrame, passages: DataFrame, cap: in
 
 def answer_sources(queries: DataFrame, index: Index, k: int = 10, pool: int = 50, cap: int = 5, net: int = 5, scorer: Callable | None = None) -> DataFrame:
     """query_id, chunk_id, from_net, rank: what a model is given: the reranked pool, capped, and behind it those of the pool's own best ``net``, capped likewise, that it left out."""
-    pooled = pool_of(queries, index, pool)
+    pooled = cut(pool_of(queries, index, pool))  # about pool rows a query, read three times
     top = reranked(queries, pooled, index.passages, cap, k, scorer)
     own = fusion.cap_per_group(pooled.drop("doc_id"), index.passages, cap, net)
     return fusion.with_safety_net(top, own).select("query_id", "chunk_id", "from_net", "rank")
@@ -66,3 +67,9 @@ def over_abstention(rows: DataFrame, hits: DataFrame, text: str = "answer") -> D
     """hit (a relevant passage was retrieved), answers, abstained: of answerable queries. hits: query_id, hit."""
     x = rows.where("answerable").join(hits, "query_id", "left").select(F.coalesce("hit", F.lit(False)).alias("hit"), is_abstention(F.col(text)).alias("no"))
     return x.groupBy("hit").agg(F.count("*").alias("answers"), F.count_if("no").alias("abstained"))
+
+
+def harness(queries: DataFrame, done: DataFrame, index: Index, generate: Callable[[Column], Column] = extractive) -> DataFrame:
+    """query_id, answer, n_sources of the queries that have no answer yet: run again after a stop, it goes on where it was."""
+    todo = queries.join(done.select("query_id").where("query_id is not null").distinct(), "query_id", "left_anti")
+    return answers(todo, answer_sources(todo, index), index.passages, generate)

@@ -550,10 +550,19 @@ def ungrounded_tokens(spark, d):
     return k.where("prose").select("doc_id", "code").distinct().join(k.where("NOT prose"), ["doc_id", "code"], "left_anti")
 
 
-@register(f"WITH {A}, r AS (SELECT answer_id, '```json' || chr(10) || '{{\"n\": ' || answer_id || '}}' || chr(10) || '```' AS raw FROM a) SELECT answer_id, CAST(json_extract('{{\"n\": ' || answer_id || '}}', '$.n') AS BIGINT) AS n FROM r")
+@register(f"WITH {A} SELECT answer_id, answer_id AS n, kind FROM a, (VALUES ('fenced'), ('bare fence'), ('in prose'), ('no braces'), ('trailing comma')) v(kind)")
 def heal_json(spark, d):
-    raw = F.concat(F.lit('```json\n{"n": '), F.col("answer_id").cast("string"), F.lit("}\n```"))
-    return answers(spark, d).select("answer_id", F.from_json(cleaning.heal_json(raw), "n bigint")["n"].alias("n"))
+    """Replies of several shapes, read back: in a fence of either kind, within prose, without braces."""
+    n = F.col("answer_id").cast("string")
+    shapes = {
+        "fenced": F.concat(F.lit('```json\n{"n": '), n, F.lit("}\n```")),
+        "bare fence": F.concat(F.lit('```\n{"n": '), n, F.lit("}\n```")),
+        "in prose": F.concat(F.lit('Here it is: {"n": '), n, F.lit("} as asked.")),
+        "no braces": F.concat(F.lit('"n": '), n),
+        "trailing comma": F.concat(F.lit('"n": '), n, F.lit(",")),
+    }
+    rows = answers(spark, d).select("answer_id", F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), v.alias("raw")) for k, v in shapes.items()])).alias("x"))
+    return rows.select("answer_id", F.from_json(cleaning.heal_json(F.col("x.raw")), "n bigint")["n"].alias("n"), "x.kind")
 
 
 @register(f"WITH {A} SELECT answer_id, trim(answer) AS reply FROM a WHERE answer IS NOT NULL AND NOT regexp_matches(answer, '[\\s\\x{{200b}}]$|^[\\s\\x{{200b}}]|^$')")
@@ -816,6 +825,38 @@ def over_abstention(spark, d):
     return answering.over_abstention(answers(spark, d), recall_mrr(spark, d).select("query_id", (F.col("mrr") > 0).alias("hit")))
 
 
+@register(f"{_POOL}, {A} SELECT query_id, md5(coalesce(trim(chunk_text), '{cleaning.REFUSAL}')) AS answer, coalesce(n, 0) AS n_sources FROM g LEFT JOIN (SELECT query_id, count(*) AS n, any_value(chunk_id) FILTER (rank = 1) AS chunk_id FROM fin GROUP BY 1) USING (query_id) LEFT JOIN c USING (chunk_id) WHERE query_id NOT IN (SELECT query_id FROM a WHERE query_id IS NOT NULL AND answerable)")
+def harness_run(spark, d):
+    """The answering path over the gold queries that have no answer meant to answer yet."""
+    return answering.harness(gold(spark, d), answers(spark, d).where("answerable"), _index(spark, d)).withColumn("answer", F.md5("answer"))
+
+
+@register(f"WITH {M} SELECT doc_id, CASE WHEN doi IS NOT NULL THEN doc_id ELSE left(lower(regexp_replace(regexp_replace(coalesce(title, 'untitled'), '[^a-zA-Z0-9]+', '_', 'g'), '^_+|_+$', '', 'g')), 50) || '_' || left(md5(doc_id), 8) END AS id FROM m")
+def known_ids(spark, d):
+    """Ids of papers: the known one of those with a DOI, a slug for the others."""
+    m = meta(spark, d).select("doc_id", "title", "doi")
+    return metadata.document_ids(m, m.where("doi is not null").select("doc_id", F.col("doc_id").alias("id")), F.coalesce("title", F.lit("untitled")), F.col("doc_id"), "doc_id").select("doc_id", "id")
+
+
+_LISTED = "list_filter(list_transform(coalesce({0}, []), lambda x: trim(x)), lambda x: x IS NOT NULL AND lower(x) NOT IN ('null', 'none', ''))"
+_SORTED = "list_sort(list_transform({0}, lambda x: lower(trim(x))))"
+
+
+@register(
+    f"""WITH {C}, {M}, l AS (SELECT doc_id, max(title) AS title, min_by({_LISTED.format('cancer_subtype')}, chunk_id) AS s FROM c GROUP BY 1),
+j AS (SELECT doc_id, m.title AS mt, l.title AS lt, {_LISTED.format('m.cancer_subtype')} AS ms, coalesce(l.s, []) AS ls, m._llm_confidence AS conf, m.notes IS NOT NULL AS err FROM m LEFT JOIN l USING (doc_id))
+SELECT doc_id, array_to_string(CASE WHEN len(ms) > 0 THEN ms ELSE ls END, '|') AS subtypes, CAST(coalesce(trim(mt), '') <> '' AND coalesce(trim(lt), '') <> '' AND lower(trim(mt)) <> lower(trim(lt)) AS INTEGER) + CAST(len(ms) > 0 AND len(ls) > 0 AND {_SORTED.format('ms')} <> {_SORTED.format('ls')} AS INTEGER) AS conflicts,
+ (coalesce(trim(mt), '') <> '' AND coalesce(trim(lt), '') <> '' AND lower(trim(mt)) <> lower(trim(lt))) OR (len(ms) > 0 AND len(ls) > 0 AND {_SORTED.format('ms')} <> {_SORTED.format('ls')}) OR coalesce(conf, 0) < 0.85 OR err AS needs_review FROM j"""
+)
+def merge_lists(spark, d):
+    """The merge with a list field and an error flag; notes stand for the error of a reply."""
+    m = meta(spark, d)
+    said = passages(spark, d, "chunk_id", "doc_id", "title", "cancer_subtype").groupBy("doc_id").agg(F.max("title").alias("title"), F.min_by(F.struct(metadata.list_field(F.col("cancer_subtype")).alias("s")), "chunk_id").alias("x"))
+    said = m.select("doc_id", F.col("_llm_confidence").alias("confidence"), F.col("notes").alias("error")).join(said, "doc_id", "left").withColumn("cancer_subtype", F.col("x.s"))
+    out = metadata.defensive_merge(m, said, ["title"], lists=("cancer_subtype",), error="error")
+    return out.select("doc_id", F.array_join("cancer_subtype", "|").alias("subtypes"), F.size("conflicts").alias("conflicts"), "needs_review")
+
+
 # review of gold queries and metadata
 
 _IGNORED = "[" + ", ".join(f"'{w}'" for w in review.NOTE_WORDS) + "]"

@@ -114,7 +114,7 @@ def test_approximate_search(spark):
     assert dense.approximate(q.where("false"), v).count() == 0
 
 
-NAMES = ("line_pack", "numeric_flags", "numeric_totals", "labelling_sheet", "behaviour", "gold_drift", "drift_counts", "drift_proposals", "review_filter", "missing_report", "build_meta", "meta_context", "list_conflicts", "encoded_keys", "figure_blocks", "figure_segments", "figure_filter", "chunk_with_figures", "tier_summary", "valid_extractions", "without_figures", "boilerplate_totals", "check_report", "next_to_do", "ungrounded_tokens", "answer_sources", "rerank_delta", "retrieval_quality")
+NAMES = ("line_pack", "numeric_flags", "numeric_totals", "labelling_sheet", "behaviour", "gold_drift", "drift_counts", "drift_proposals", "review_filter", "missing_report", "build_meta", "meta_context", "list_conflicts", "encoded_keys", "figure_blocks", "figure_segments", "figure_filter", "heal_json", "harness_run", "known_ids", "merge_lists", "defensive_merge", "chunk_with_figures", "tier_summary", "valid_extractions", "without_figures", "boilerplate_totals", "check_report", "next_to_do", "ungrounded_tokens", "answer_sources", "rerank_delta", "retrieval_quality")
 
 
 @pytest.mark.parametrize("name", NAMES)
