@@ -431,10 +431,28 @@ def line_pack(spark, d):
     return x.select("chunk_id", F.col("group_no").cast("long").alias("group_no"), F.md5("text").alias("text"))
 
 
-@register()
+_FOLD = """l AS (SELECT doc_id, i, CAST(i % 3 + 1 AS INTEGER) AS level, regexp_matches(trim(heading), '(?i)^(author contributions?|references?|bibliography|funding|acknowledge?ments?|conflicts? of interest|competing interests?|data availability( statement)?|supplementary material(s)?|disclosures?)\\b') AS junk FROM h),
+f AS (SELECT doc_id, i, CASE WHEN junk THEN level ELSE 0 END AS j FROM l WHERE i = 0
+UNION ALL SELECT l.doc_id, l.i, CASE WHEN l.junk THEN CASE WHEN f.j = 0 THEN l.level ELSE least(f.j, l.level) END WHEN f.j > 0 AND l.level <= f.j THEN 0 ELSE f.j END FROM f JOIN l ON l.doc_id = f.doc_id AND l.i = f.i + 1)"""
+
+
+@register(
+    f"""WITH RECURSIVE {C}, {M}, {_H}, {_FOLD},
+b AS (SELECT h.doc_id, i, trim(first_value(heading) OVER w) AS section_h1, CASE WHEN i % 3 >= 1 THEN trim(nth_value(heading, 2) OVER w) END AS section_h2, CASE WHEN i % 3 = 2 THEN trim(heading) END AS section_h3, trim(regexp_replace(coalesce(chunk_text, ''), '\\s+', ' ', 'g')) AS body
+ FROM h JOIN c USING (chunk_id) WINDOW w AS (PARTITION BY h.doc_id, i // 3 ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
+k AS (SELECT b.*, len({TOK.format('body')}) AS n FROM b JOIN f USING (doc_id, i) WHERE j = 0 AND body <> ''),
+s0 AS (SELECT doc_id, i, unnest(string_split(regexp_replace(body, '([.!?])\\s+', '\\1' || chr(57345), 'g'), chr(57345))) AS t, generate_subscripts(string_split(regexp_replace(body, '([.!?])\\s+', '\\1' || chr(57345), 'g'), chr(57345)), 1) AS p FROM k WHERE n > 512),
+s AS (SELECT doc_id, i, trim(t) AS t, len({TOK.format('t')}) AS n, row_number() OVER (PARTITION BY doc_id, i ORDER BY p) AS p FROM s0 WHERE trim(t) <> ''),
+pk AS (SELECT doc_id, i, p, 0 AS g, n FROM s WHERE p = 1 UNION ALL SELECT s.doc_id, s.i, s.p, CASE WHEN pk.n + s.n <= 512 THEN pk.g ELSE pk.g + 1 END, CASE WHEN pk.n + s.n <= 512 THEN pk.n + s.n ELSE s.n END FROM pk JOIN s ON s.doc_id = pk.doc_id AND s.i = pk.i AND s.p = pk.p + 1),
+x AS (SELECT doc_id, i, 0 AS sub, body AS t FROM k WHERE n <= 512 UNION ALL SELECT doc_id, i, g, string_agg(s.t, ' ' ORDER BY p) FROM pk JOIN s USING (doc_id, i, p) GROUP BY doc_id, i, g),
+y AS (SELECT *, CASE WHEN starts_with(trim(t), '|') AND instr(substr(trim(t), 2), '|') > 0 THEN 'table' WHEN starts_with(trim(t), '![') THEN 'figure_caption' ELSE 'prose' END AS content_type, CAST(len({TOK.format('t')}) AS BIGINT) AS token_count FROM x WHERE regexp_replace(t, '[\\s\\-|]', '', 'g') <> ''),
+z AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i, sub) - 1 AS no FROM y WHERE token_count >= 80 OR content_type = 'figure_caption')
+SELECT z.doc_id || '_chunk_' || lpad(CAST(no AS VARCHAR), CAST(greatest(4, length(CAST(no AS VARCHAR))) AS INTEGER), '0') AS chunk_id, z.doc_id, section_h1, section_h2, section_h3, content_type, md5(t) AS chunk_text, token_count, m.title, m.pub_year, m.source_type FROM z JOIN b USING (doc_id, i) LEFT JOIN m ON m.doc_id = z.doc_id""".replace("\\\\", "\\")
+)
 def chunk_documents(spark, d):
     """The papers cut into passages again, with their metadata."""
-    return chunking.chunk_documents(_papers(spark, d), meta(spark, d).select("doc_id", "title", "pub_year", "source_type"), most=512, least=80)
+    c = chunking.chunk_documents(_papers(spark, d), meta(spark, d).select("doc_id", "title", "pub_year", "source_type"), most=512, least=80)
+    return c.drop("page_hint").withColumn("chunk_text", F.md5("chunk_text")).withColumn("token_count", F.col("token_count").cast("long"))
 
 
 @register(f"WITH {C}, {M} SELECT c.chunk_id, m.doc_id IS NULL AS unknown, m.pub_year, m.source_type FROM c LEFT JOIN m USING (doc_id)")
