@@ -744,6 +744,19 @@ def caption_documents(spark, d):
     return captions.caption_documents(docs, log)
 
 
+@register(
+    f"""WITH {C}, p AS (SELECT doc_id, chunk_text AS t FROM c WHERE content_type = 'figure_caption' AND chunk_text IS NOT NULL), d AS (SELECT doc_id, bool_or(contains(t, '<!-- FIGURE_METADATA:')) AS again, count(*) - 1 AS comments FROM p GROUP BY 1),
+r AS (SELECT DISTINCT doc_id, regexp_extract(unnest(regexp_extract_all(t, '!\\[[^\\]]*\\]\\(([^)]*)\\)', 1)), '[^/]*$') AS name FROM p),
+f0 AS (SELECT DISTINCT doc_id, x."index" AS i, coalesce(x.status = 'skipped', false) AS gone, regexp_extract(x.filename, '[^/]*$') AS name FROM (SELECT doc_id, unnest(figures) AS x FROM extraction_log)),
+f AS (SELECT f0.*, coalesce(r.name IS NOT NULL AND f0.name <> '', false) AS named FROM f0 LEFT JOIN r ON r.doc_id = f0.doc_id AND r.name = f0.name),
+o AS (SELECT *, row_number() OVER (PARTITION BY doc_id, named ORDER BY i NULLS LAST) AS n FROM f), u AS (SELECT d.doc_id, o.i IS NOT NULL AS there, coalesce(named OR (NOT again AND n <= comments), false) AS used, coalesce(gone, true) AS gone FROM d LEFT JOIN o USING (doc_id))
+SELECT doc_id, count(*) FILTER (used) AS replaced, count(*) FILTER (there AND NOT used AND NOT gone) AS orphans FROM u GROUP BY 1""".replace("\\\\", "\\")
+)
+def caption_counts(spark, d):
+    """Of each paper's captions: figures put in place, by name and otherwise by order, and those without a place."""
+    return caption_documents(spark, d).select("doc_id", F.col("replaced").cast("long").alias("replaced"), F.col("orphans").cast("long").alias("orphans"))
+
+
 @register(
     f"""{BASE}, {SCALED}, {_capped(HYBRID.format(a='0.5'))}, e AS (SELECT query_id, CASE WHEN answerable THEN coalesce(relevant_doc_ids, []) ELSE [] END AS fr FROM g),
 j AS (SELECT e.query_id, any_value(len(fr)) > 0 AS reachable, coalesce(bool_or(rank <= 3 AND list_contains(fr, doc_id)), false) AS hit, max(score) FILTER (rank = 1) AS best FROM e LEFT JOIN top USING (query_id) GROUP BY 1)
