@@ -154,6 +154,16 @@ def test_pairs(spark, data):
     assert pairs.is_empty(" ​") and not pairs.is_empty("No")
 
 
+def test_pairs_are_the_models(spark, data, monkeypatch):
+    """Without the model none of its four labels comes out; only what is empty does."""
+    a, w = spark.read.parquet("/root/testdata/sf0.01/answers_llama3_natural.parquet"), spark.read.parquet(f"{data}/common_word.parquet")
+    with_model = {r[0]: r[1] for r in pairs.found(a, w).groupBy("defect").count().collect()}
+    assert set(with_model) == {"empty", *pairs.LABELS}
+    monkeypatch.setattr(pairs.Classifier, "fit", lambda self, rows: setattr(self, "cut", np.full(len(pairs.LABELS), 2.0)) or setattr(self, "wd", np.zeros((len(rows[0][0]), len(pairs.LABELS)))) or self)
+    without = {r[0]: r[1] for r in pairs.found(a, w).groupBy("defect").count().collect()}
+    assert without == {"empty": with_model["empty"]}
+
+
 def test_markup(spark):
     rows = [("a", "d", "<p>x &amp; y</p>\n<li>one", "prose"), ("b", "d", "## Head\n**bold** text", "prose"), ("c", "d", "== H ==\n[[A|b]] ''it''", None), ("e", "d", r"\section{T} $x^2$ 5\%", "table"), ("f", "d", "costs $5 and $6 in arm_4 & arm_7, n < 3 and p > 2 in {C} * or #\n* item\n| a | b |\n|---|---|\n=====", "prose"), ("g", "d", "<b>x</b>", "figure_caption"), ("h", None, None, "prose"), ("i", "d", "", "prose")]
     df = spark.createDataFrame(rows, "chunk_id string, doc_id string, chunk_text string, content_type string")
