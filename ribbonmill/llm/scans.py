@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ribbonmill.llm.boosting import Boosted
+from ribbonmill.llm.truncation import distinct_answers
 from ribbonmill.session import cut, hash_sample
 
 #: Bound of the dictionary, which is broadcast, and of the samples that train the classifiers.
@@ -577,7 +578,8 @@ def repaired(chunk: DataFrame) -> DataFrame:
     kinds, misread, reader = noise(chunk)
     by = kinds.groupBy("chunk_id").agg(F.array_sort(F.collect_set("kind")).alias("noise"))
     fixes = misread.groupBy("chunk_id").agg(F.map_from_entries(F.collect_list(F.struct("w", "printed"))).alias("fixes"))
-    rows = chunk.select("chunk_id", "chunk_text", "title", "journal").dropDuplicates(["chunk_id"]).join(by, "chunk_id", "left").join(fixes, "chunk_id", "left")
+    order = ["loaded_at"] if "loaded_at" in chunk.columns else []
+    rows = distinct_answers(chunk.select("chunk_id", "chunk_text", "title", "journal", *order), "chunk_id").join(by, "chunk_id", "left").join(fixes, "chunk_id", "left")
 
     @F.pandas_udf("string")
     def mend(t: pd.Series, n: pd.Series, title: pd.Series, journal: pd.Series, f: pd.Series) -> pd.Series:
