@@ -295,6 +295,34 @@ def test_markup_classes(spark):
     assert out["a"] == "x *one two* three y" and out["b"] == "x one two three y" and out["c"] == "P 5* and *more" and out["e"] == "it x" and out["f"] == "a *b c* d"
 
 
+def test_markup_template_deduction(spark):
+    """All tokens of a host form classes; one that isn't ordered or nested is divided; a tag that is never closed counts only through its class."""
+    hosts = {
+        "class": ["<figno> one {{a}} two [[b]]"] * 3,
+        "order": ["<figno> one {{a}} two [[b]]"] * 2 + ["[[b]] one {{a}} two <figno>"],
+        "nesting": [r"<figno> one \foo {{a}} two ''' [[b]]"] * 3 + [r"\foo x '''"],  # \foo and ''' reach over a gap of the others
+        "nested": [r"<figno> one \foo ''' {{a}} two [[b]]"] * 3 + [r"\foo x '''"],
+        "pages": ["<figno> one {{a}} two [[b]]"] * 2,
+        "closed": ["<figno> one {{a}} two [[b]]"] * 3 + ["end</figno>"],
+        "alone": ["<figno> one <pageno> two <lineno>"] * 3,
+        "crossing": ["a *b <xx>c* d</xx>"],
+        "deep": ["<div>a <div>b <b>c</b> d</div></div> <i>e"],
+    }
+    rows = [(f"{h}{i}", h, t, "prose") for h, ts in hosts.items() for i, t in enumerate(ts)]
+    df = spark.createDataFrame(rows, "chunk_id string, doc_id string, chunk_text string, content_type string")
+    got = markup.found(df).collect()
+    assert {r["chunk_id"] for r in got if r["markup"] == "html"} == {"class0", "class1", "class2", "nested0", "nested1", "nested2", "deep0"}
+    assert not any(r["chunk_id"].startswith(("alone", "crossing")) for r in got)
+    c = markup.classes(markup.occurrences(df)).collect()
+    size = {(r["host"], r["token"]): r["size"] for r in c}
+    assert size["class", "wiki_template"] == 3 and size["order", "wiki_template"] == size["nesting", "wiki_template"] == 1 and size["nested", "wiki_template"] == 3 and size["nested", "latex_command"] == 2
+    assert len({r["path"] for r in c if r["host"] == "deep" and r["token"] == "<div>"}) == 2
+    out = {r["chunk_id"]: r["clean_text"] for r in markup.clean_table(df).collect()}
+    assert out["class0"] == "one  two b" and "<figno>" in out["order0"] and "<figno>" in out["nesting0"] and out["crossing0"] == hosts["crossing"][0]
+    slot = {(r["path"], r["slot"]) for r in markup.slot_table(df.where("doc_id = 'deep'")).collect()}
+    assert slot == {("html div", "a "), ("html div/html div", "b  d"), ("html div/html div/html b", "c")}
+
+
 def test_pairs_hash_whole_answers():
     head, tail = "肝" * 1000, "尾声结束"
     assert len(pairs.words(head + tail)) > 1000
