@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ribbonmill.operators import fusion
 from ribbonmill.operators.cleaning import REFUSAL, is_abstention
 from ribbonmill.operators.retrieve import Index, Params, fuse, pools
-from ribbonmill.session import cut
+from ribbonmill.session import cut, few
 
 #: A cap that no document reaches.
 NO_CAP = 1_000_000
@@ -19,20 +19,20 @@ NO_CAP = 1_000_000
 def pool_of(queries: DataFrame, index: Index, pool: int = 50) -> DataFrame:
     """query_id, chunk_id, doc_id, score, rank: the best ``pool`` passages of each query, documents uncapped."""
     d, s = pools(queries, index, pool)
-    return fusion.cap_per_group(fuse(d, s, Params()), index.passages, NO_CAP, pool)
+    return fusion.cap_per_group(fuse(d, s, Params(), index.passages), index.passages, NO_CAP, pool)
 
 
 def reranked(queries: DataFrame, pooled: DataFrame, passages: DataFrame, cap: int = 5, k: int = 10, scorer: Callable | None = None) -> DataFrame:
     """The pool in the order of a scorer (queries, ranks, passages -> query_id, chunk_id, rerank_score), capped and cut to k."""
     scores = (scorer or fusion.overlap_scores)(queries, pooled, passages)
-    return fusion.cap_per_group(fusion.rerank(pooled, scores).drop("doc_id"), passages, cap, k)
+    return fusion.cap_per_group(fusion.rerank(pooled, scores), passages, cap, k)
 
 
 def answer_sources(queries: DataFrame, index: Index, k: int = 10, pool: int = 50, cap: int = 5, net: int = 5, scorer: Callable | None = None) -> DataFrame:
     """query_id, chunk_id, from_net, rank: what a model is given: the reranked pool, capped, and behind it those of the pool's own best ``net``, capped likewise, that it left out."""
     pooled = cut(pool_of(queries, index, pool))  # about pool rows a query, read three times
     top = reranked(queries, pooled, index.passages, cap, k, scorer)
-    own = fusion.cap_per_group(pooled.drop("doc_id"), index.passages, cap, net)
+    own = fusion.cap_per_group(pooled, index.passages, cap, net)
     return fusion.with_safety_net(top, own).select("query_id", "chunk_id", "from_net", "rank")
 
 
@@ -43,9 +43,9 @@ def extractive(text: Column) -> Column:
 
 def answers(queries: DataFrame, sources: DataFrame, passages: DataFrame, generate: Callable[[Column], Column] = extractive) -> DataFrame:
     """query_id, answer, n_sources: a query without sources gets the refusal."""
-    best = sources.where("rank = 1").select("query_id", "chunk_id").join(passages.select("chunk_id", "chunk_text"), "chunk_id").select("query_id", F.col("chunk_text").alias("_t"))
-    n = sources.groupBy("query_id").agg(F.count("*").alias("n_sources"))
-    j = queries.select("query_id").join(n, "query_id", "left").join(best, "query_id", "left")
+    n = cut(sources.groupBy("query_id").agg(F.count("*").alias("n_sources"), F.max(F.when(F.col("rank") == 1, F.col("chunk_id"))).alias("chunk_id")))  # a row a query
+    best = passages.select("chunk_id", F.col("chunk_text").alias("_t")).join(few(n.select("chunk_id", "query_id")), "chunk_id").select("query_id", "_t")
+    j = queries.select("query_id").join(n.select("query_id", "n_sources"), "query_id", "left").join(best, "query_id", "left")
     return j.select("query_id", F.coalesce(generate(F.col("_t")), F.lit(REFUSAL)).alias("answer"), F.coalesce("n_sources", F.lit(0)).alias("n_sources"))
 
 

@@ -11,11 +11,12 @@ from ribbonmill.session import cut
 DEPTHS = (1, 3, 5, 10)
 
 
-def evaluate(gold: DataFrame, ranks: DataFrame, depths: tuple[int, ...] = DEPTHS, by: tuple[str, ...] = ()) -> DataFrame:
-    """query_id, query_type, mrr, recall_k of answerable gold queries; misses count as 0, as does an empty relevant set."""
+def evaluate(gold: DataFrame, ranks: DataFrame, depths: tuple[int, ...] = DEPTHS, each: DataFrame | None = None) -> DataFrame:
+    """query_id, query_type, mrr, recall_k of answerable gold queries; misses count as 0, as does an empty relevant set. each: a small table of the settings that ranks has."""
     g = gold.where("answerable").select("query_id", "query_type", F.array_distinct("relevant_chunk_ids").alias("rel"))
+    by = [] if each is None else each.columns
     if by:
-        g = g.crossJoin(F.broadcast(ranks.select(*by).distinct()))  # a row a setting
+        g = g.crossJoin(F.broadcast(each))  # a row a setting
     e = g.select("*", F.explode_outer("rel").alias("chunk_id"))
     deep = max(depths)
     j = e.join(ranks.where(F.col("rank") <= deep).select(*by, "query_id", "chunk_id", "rank"), [*by, "query_id", "chunk_id"], "left")

@@ -7,40 +7,35 @@ from pyspark.sql import functions as F
 
 from ribbonmill.operators import fusion, metrics
 from ribbonmill.operators.retrieve import Index, pools
-from ribbonmill.session import cut
 
 
-def _each(ranks: DataFrame, name: str, values: list) -> DataFrame:
-    return ranks.crossJoin(F.broadcast(ranks.sparkSession.createDataFrame([(float(v),) for v in values], f"{name} double")))
+def _values(index: Index, name: str, values: list) -> DataFrame:
+    return index.passages.sparkSession.createDataFrame([(float(v),) for v in values], f"{name} double")
 
 
-def _score(gold: DataFrame, fused: DataFrame, index: Index, name: str, cap=5) -> DataFrame:
+def _score(gold: DataFrame, fused: DataFrame, index: Index, each: DataFrame, cap=5) -> DataFrame:
+    (name,) = each.columns
     top = fusion.cap_per_group(fused, index.passages, cap, 10, query=[name, "query_id"])
-    rows = metrics.evaluate(gold, top, (5, 10), by=(name,))
+    rows = metrics.evaluate(gold, top, (5, 10), each)
     return rows.groupBy(name).agg(F.count("*").alias("n"), F.round(F.avg("mrr"), 6).alias("mrr"), F.round(F.avg("recall_5"), 6).alias("recall_5"), F.round(F.avg("recall_10"), 6).alias("recall_10"))
 
 
-def _pools(gold: DataFrame, index: Index, pool: int = 50) -> tuple[DataFrame, DataFrame]:
-    d, s = pools(gold, index, pool)
-    return cut(d), cut(s)
-
-
 def alpha(gold: DataFrame, index: Index, values: list[float]) -> DataFrame:
-    d, s = _pools(gold, index)
-    x, y = _each(d, "alpha", values), _each(s, "alpha", values)
-    return _score(gold, fusion.weighted(x, y, F.col("alpha"), query=["alpha", "query_id"]), index, "alpha")
+    each = _values(index, "alpha", values)
+    d, s = pools(gold, index, 50)
+    return _score(gold, fusion.weighted(d, s, F.col("alpha"), groups=index.passages, each=each), index, each)
 
 
 def rrf_k(gold: DataFrame, index: Index, values: list[int]) -> DataFrame:
-    x, y = (_each(z, "rrf_k", values) for z in _pools(gold, index))
-    return _score(gold, fusion.reciprocal_rank([x, y], F.col("rrf_k"), query=["rrf_k", "query_id"]), index, "rrf_k")
+    each = _values(index, "rrf_k", values)
+    return _score(gold, fusion.reciprocal_rank([*pools(gold, index, 50)], F.col("rrf_k"), groups=index.passages, each=each), index, each)
 
 
 def pool(gold: DataFrame, index: Index, values: list[int]) -> DataFrame:
-    x, y = (_each(z, "pool", values).where("rank <= pool") for z in _pools(gold, index, max(values)))
-    return _score(gold, fusion.reciprocal_rank([x, y], query=["pool", "query_id"]), index, "pool")
+    each = _values(index, "pool", values)
+    return _score(gold, fusion.reciprocal_rank([*pools(gold, index, max(values))], groups=index.passages, each=each, counts=F.col("rank") <= F.col("pool")), index, each)
 
 
 def cap(gold: DataFrame, index: Index, values: list[int]) -> DataFrame:
-    x, y = (_each(z, "cap", values) for z in _pools(gold, index))
-    return _score(gold, fusion.reciprocal_rank([x, y], query=["cap", "query_id"]), index, "cap", F.col("cap"))
+    each = _values(index, "cap", values)
+    return _score(gold, fusion.reciprocal_rank([*pools(gold, index, 50)], groups=index.passages, each=each), index, each, F.col("cap"))

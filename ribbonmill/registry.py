@@ -12,7 +12,7 @@ from ribbonmill.functions import hash_vector, token_count, tokens
 from ribbonmill.operators import answering, chunking, cleaning, dense, figures, fusion, grounding, incremental, metadata, metrics, quality, review, sparse
 from ribbonmill.operators.retrieve import Index, Params, pools, retrieve
 from ribbonmill.plans import sweep
-from ribbonmill.session import cut, spread
+from ribbonmill.session import cut, few, spread
 from ribbonmill.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -38,10 +38,12 @@ def oracle_sql() -> dict[str, str]:
     return dict(_SQL)
 
 
-def passages(spark: SparkSession, d: str, *cols: str) -> DataFrame:
-    """Passages, each once: rows delivered twice are equal but for loaded_at."""
-    c = table(spark, d, "chunk").select(*(cols or ("chunk_id", "doc_id", "chunk_text"))).dropDuplicates(["chunk_id"])
-    return spread(c, "chunk_id") if not cols else c
+def passages(spark: SparkSession, d: str, *cols: str, of: DataFrame | None = None) -> DataFrame:
+    """Passages, each once: rows delivered twice are equal but for loaded_at. of: a stored table; only passages whose chunk_id it has."""
+    c = table(spark, d, "chunk").select(*(cols or ("chunk_id", "doc_id", "chunk_text")))
+    if of is not None:
+        return c.join(few(of.select("chunk_id").distinct()), "chunk_id", "left_semi").dropDuplicates(["chunk_id"])
+    return (c if cols else spread(c, "chunk_id")).dropDuplicates(["chunk_id"])  # what is spread by the id isn't moved again
 
 
 def gold(spark: SparkSession, d: str) -> DataFrame:
@@ -200,8 +202,9 @@ SELECT query_id, chunk_id, score, rerank_score, rank AS retrieval_rank, row_numb
 )
 def rerank_overlap(spark, d):
     g, p = gold(spark, d), passages(spark, d)
-    r = retrieve(g, Index.of(p))
-    out = fusion.rerank(r, fusion.overlap_scores(g, r, p))
+    i = Index.of(p)
+    r = cut(retrieve(g, i))
+    out = fusion.rerank(r, fusion.overlap_scores(g, r, i.passages))
     return out.select("query_id", "chunk_id", "score", "rerank_score", F.col("retrieval_rank").cast("long").alias("retrieval_rank"), F.col("rank").cast("long").alias("rank"))
 
 
@@ -212,7 +215,7 @@ net AS (SELECT query_id, chunk_id, rank FROM top WHERE rank <= 5 AND NOT EXISTS
 SELECT query_id, chunk_id, from_net, row_number() OVER (PARTITION BY query_id ORDER BY from_net, rank) AS rank FROM (SELECT query_id, chunk_id, rank, false AS from_net FROM ra UNION ALL SELECT query_id, chunk_id, rank, true FROM net)"""
 )
 def safety_net(spark, d):
-    r = retrieve(gold(spark, d), _index(spark, d))
+    r = cut(retrieve(gold(spark, d), _index(spark, d)))
     first = r.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("chunk_id"))).where("rank <= 5")
     out = fusion.with_safety_net(first, r.where("rank <= 5"))
     return out.select("query_id", "chunk_id", "from_net", F.col("rank").cast("long").alias("rank"))
@@ -719,9 +722,9 @@ SELECT query_id, md5('SOURCES:' || chr(10) || string_agg('[SOURCE ' || rank || '
 def prompt_text(spark, d):
     from ribbonmill.operators import prompt
 
-    c = passages(spark, d, "chunk_id", "chunk_text", "source_type", "recency_weight", "title", "pub_year", "section_h1", "section_h2")
+    r = cut(sparse_topk(spark, d).where("rank <= 3"))
+    c = passages(spark, d, "chunk_id", "chunk_text", "source_type", "recency_weight", "title", "pub_year", "section_h1", "section_h2", of=r)
     c = c.withColumn("recency_weight", F.round(F.col("recency_weight") * 1000).cast("long"))
-    r = sparse_topk(spark, d).where("rank <= 3")
     return prompt.user_messages(r, c, gold(spark, d)).select("query_id", F.md5("message").alias("prompt"))
 
 
@@ -805,7 +808,7 @@ def rerank_delta(spark, d):
     """One pool in two orders: recall and reciprocal rank by query type, before and after the reranker."""
     g, i = gold(spark, d), _index(spark, d)
     pooled = cut(answering.pool_of(g, i))
-    base = metrics.evaluate(g, fusion.cap_per_group(pooled.drop("doc_id"), i.passages, 5, 10)).select("query_id", F.col("recall_5").alias("b5"), F.col("mrr").alias("bm"))
+    base = metrics.evaluate(g, fusion.cap_per_group(pooled, i.passages, 5, 10)).select("query_id", F.col("recall_5").alias("b5"), F.col("mrr").alias("bm"))
     new = metrics.evaluate(g, answering.reranked(g, pooled, i.passages)).select("query_id", "query_type", "recall_5", "mrr")
     r = lambda c, n: F.round(F.avg(c), 6).alias(n)
     out = new.join(base, "query_id").rollup("query_type").agg(F.count("*").alias("n"), r("b5", "base_recall_5"), r("recall_5", "reranked_recall_5"), r("bm", "base_mrr"), r("mrr", "reranked_mrr"))
@@ -815,8 +818,10 @@ def rerank_delta(spark, d):
 @register(f"{BASE}, {SCALED}, {_capped(HYBRID.format(a='0.5'))} SELECT query_id, md5(string_agg(rank || '|' || chunk_id || '|' || doc_id || '|' || coalesce(nullif(section_h2, ''), nullif(section_h1, ''), '—') || '|' || coalesce(title, '') || '|' || coalesce(CAST(pub_year AS VARCHAR), '') || '|' || coalesce(source_type, '') || '|' || chunk_text, chr(10) ORDER BY rank)) AS passages, count(*) AS n FROM top JOIN c USING (chunk_id, doc_id) WHERE rank <= 5 AND query_id IN (SELECT query_id FROM g WHERE answerable) GROUP BY query_id")
 def harness_inputs(spark, d):
     """Answerable queries with their five best passages, eight fields each, as the input of a model's harness."""
-    p = passages(spark, d, "chunk_id", "doc_id", "chunk_text", "section_h1", "section_h2", "title", "pub_year", "source_type")
-    r = retrieve(gold(spark, d), _index(spark, d)).where("rank <= 5").drop("doc_id").join(gold(spark, d).where("answerable").select("query_id"), "query_id", "left_semi").join(p, "chunk_id")
+    r = retrieve(gold(spark, d), _index(spark, d)).where("rank <= 5").drop("doc_id").join(gold(spark, d).where("answerable").select("query_id"), "query_id", "left_semi")
+    r = cut(r)
+    p = passages(spark, d, "chunk_id", "doc_id", "chunk_text", "section_h1", "section_h2", "title", "pub_year", "source_type", of=r)
+    r = few(r).join(p, "chunk_id")
     e = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     line = F.concat_ws("|", F.col("rank").cast("string"), "chunk_id", "doc_id", cleaning.section_label(F.col("section_h2"), F.col("section_h1")), e("title"), e("pub_year"), e("source_type"), "chunk_text")
     return r.groupBy("query_id").agg(F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", line.alias("l")))), lambda x: x["l"]), "\n")).alias("passages"), F.count("*").alias("n"))
