@@ -9,7 +9,7 @@ from ribbonmill import registry
 from ribbonmill.operators import dense, sparse, topk
 
 #: Queries, and how often they may read the passages after the index is stored.
-ONE_PASS = {"retrieve_hybrid": 0, "extractive_answers": 0, "safety_net": 0}
+ONE_PASS = {"retrieve_hybrid": 0, "extractive_answers": 0, "safety_net": 0, "side_by_side": 0}
 
 
 @pytest.fixture(scope="module")
@@ -64,3 +64,10 @@ def test_equal_queries_and_low_weights(spark):
     a = spark.createDataFrame([(7, [1.0, 0.0]), (8, [1.0, 0.0]), (9, None)], "query_id bigint, vector array<double>")
     got = [(r["query_id"], r["chunk_id"], r["rank"]) for r in dense.search(a, v, 2).orderBy("query_id", "rank").collect()]
     assert got == [(7, "c0", 1), (7, "c1", 2), (8, "c0", 1), (8, "c1", 2)]
+
+
+def test_one_pass_over_vectors(spark):
+    """More queries than two blocks had are searched in one pass."""
+    e = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("vector"))
+    q = e.limit(100).crossJoin(spark.range(21)).select(F.concat_ws("_", "chunk_id", "id").alias("query_id"), "vector")
+    assert dense.search(q, e, 3)._jdf.queryExecution().executedPlan().toString().count("FileScan parquet") == 1
