@@ -9,7 +9,7 @@ from ribbonmill import registry
 from ribbonmill.operators import dense, sparse, topk
 
 #: Queries, and how often they may read the passages after the index is stored.
-ONE_PASS = {"retrieve_hybrid": 0, "extractive_answers": 0, "safety_net": 0, "side_by_side": 0}
+ONE_PASS = {"retrieve_hybrid": 0, "extractive_answers": 0, "safety_net": 0, "side_by_side": 0, "sweep_alpha": 0}
 
 
 @pytest.fixture(scope="module")
