@@ -9,7 +9,7 @@ from ribbonmill import registry
 from ribbonmill.operators import dense, sparse, topk
 
 #: Queries, and how often they may read the passages after the index is stored.
-ONE_PASS = {"retrieve_hybrid": 0, "extractive_answers": 0, "safety_net": 0, "side_by_side": 0, "sweep_alpha": 0, "sweep_rrf_k": 0, "answer_sources": 0, "harness_inputs": 1, "over_abstention": 0, "prompt_text": 1, "rerank_delta": 0, "retrieval_quality": 0, "retrieve_rrf": 0, "harness_run": 0, "jaccard_overlap": 0, "metrics_rollup": 0, "negative_top1": 0, "recall_mrr": 0}
+ONE_PASS = {"retrieve_hybrid": 0, "extractive_answers": 0, "safety_net": 0, "side_by_side": 0, "sweep_alpha": 0, "sweep_rrf_k": 0, "answer_sources": 0, "harness_inputs": 1, "over_abstention": 0, "prompt_text": 1, "rerank_delta": 0, "retrieval_quality": 0, "retrieve_rrf": 0, "harness_run": 0, "jaccard_overlap": 0, "metrics_rollup": 0, "negative_top1": 0, "recall_mrr": 0, "rerank_overlap": 0}
 
 
 @pytest.fixture(scope="module")
